@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import mixing
+
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_join import ngram_jaccard_components
@@ -13,8 +15,38 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import poisson_mix
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return poisson_mix(docs).select("doc_id", "source", "copy_no", "mix_key")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_toxicity
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return score_toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op2_poisson_mix": op2_poisson_mix,
+    "op3_toxicity": op3_toxicity,
+    "op4_packing": op4_packing,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_poisson_mix": mixing.SQL}
