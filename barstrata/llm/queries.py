@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing
+from . import mixing, stream_dedup
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,11 +42,37 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
 
 
+def op5_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .stream_dedup import stream_dedup
+
+    return stream_dedup(spark, f"{sf_dir}/documents.parquet")
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .url_filter import filter_urls
+
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_sample
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_sample(docs, labels)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_stream_dedup": op5_stream_dedup,
+    "op8_url_filter": op8_url_filter,
+    "op9_quality": op9_quality,
 }
 
-ORACLES: dict[str, str] = {"op2_poisson_mix": mixing.SQL}
+ORACLES: dict[str, str] = {
+    "op2_poisson_mix": mixing.SQL,
+    "op5_stream_dedup": stream_dedup.SQL,
+}
