@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 
 from .common import materialize, shared_path, small
 
-_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Disk-backed state whose commits write changes only; without preallocated files
+#: the many small stores of a wide shuffle take little disk.
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,9 +59,9 @@ def update_state(
     schema = spark.read.parquet(path).select(id_col, text_col).schema
     # As a pattern, the path may be one file as well as a folder.
     files = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-    key = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, _PROVIDER)
+    before = {key: spark.conf.get(key, None) for key in _STATE_CONF}
+    for key, value in _STATE_CONF.items():
+        spark.conf.set(key, value)
     try:
         seen = _located(spark.readStream.schema(schema).parquet(files), id_col, text_col)
         state = (
@@ -72,10 +78,8 @@ def update_state(
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def read_state(spark: SparkSession, state_dir: str) -> DataFrame:
