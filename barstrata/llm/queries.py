@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, stream_dedup
+from . import line_dedup, mixing, stream_dedup
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +48,13 @@ def op5_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stream_dedup(spark, f"{sf_dir}/documents.parquet")
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import line_dedup
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -62,17 +69,26 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_sample(docs, labels)
 
 
+def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .paragraph_dedup import repeated_paragraphs
+
+    return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_poisson_mix": op2_poisson_mix,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_stream_dedup": op5_stream_dedup,
+    "op6_line_dedup": op6_line_dedup,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
+    "op10_paragraph_dedup": op10_paragraph_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op2_poisson_mix": mixing.SQL,
     "op5_stream_dedup": stream_dedup.SQL,
+    "op6_line_dedup": line_dedup.SQL,
 }
