@@ -55,6 +55,12 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
 
 
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media import media_columns
+
+    return media_columns(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import filter_urls
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_packing": op4_packing,
     "op5_stream_dedup": op5_stream_dedup,
     "op6_line_dedup": op6_line_dedup,
+    "op7_media": op7_media,
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_paragraph_dedup": op10_paragraph_dedup,
