@@ -5,20 +5,53 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barstrata.llm.common import materialize
+from barstrata.llm.line_dedup import line_dedup
+from barstrata.llm.mixing import poisson_mix
 from barstrata.llm.ngram_join import keep_one_per_component
+from barstrata.llm.packing import pack
+from barstrata.llm.queries import tokenizer_path
+from barstrata.llm.toxicity import drop_toxic
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    return drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later copies of repeated line runs are cut; documents that lose every line go."""
+    cut = line_dedup(docs).where("n_removed = 0 or n_removed < n_lines")
+    if "n_chars" in docs.columns:
+        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return cut.select(*docs.columns)
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return keep_one_per_component(docs)
 
 
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are repeated or left out to meet the sources' target weights."""
+    return poisson_mix(docs).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of at most 2048 ids; a document repeated by the mixture is packed as often."""
+    return pack(docs, tokenizer_path())
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", toxicity),
+    ("line_dedup", repeated_lines),
     ("ngram_jaccard", near_copies),
+    ("poisson_mix", mixture),
+    ("packing", packing),
 ]
 
 #: Learned scores and the tokenizer are beyond SQL.
