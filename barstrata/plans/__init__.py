@@ -1 +1,3 @@
 """Named queries over the driver's tables and their DuckDB SQL."""
+
+from . import catalog, market  # noqa: F401

@@ -6,5 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
+    """Register a query (spark, sf_dir) and, where SQL expresses it, its oracle."""
+
+    def register(run: Query) -> Query:
+        QUERIES[name] = run
+        if oracle is not None:
+            ORACLES[name] = oracle
+        return run
+
+    return register
