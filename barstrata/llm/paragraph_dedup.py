@@ -12,8 +12,8 @@ sentence in an otherwise clean text is left alone.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,81 +32,95 @@ RUN_WORDS = 25
 #: Five bands of two rows find a pair at 0.8 with probability 1 - (1 - 0.64) ** 5 = 0.994.
 BANDS, ROWS = 5, 2
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_END = re.compile(rb"[.!?]+[\"')\]]*[\x20\x09-\x0D]+|\n")
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?")] = True
+_QUOTE = np.zeros(256, bool)
+_QUOTE[list(b"\"')]")] = True
 
 
-def _cuts(raw: bytes, starts: np.ndarray, ends: np.ndarray, least: int) -> list[tuple[int, int]]:
-    """Word ranges of a text's paragraphs.
+@dataclass
+class Paragraphs:
+    """The paragraphs of a run of texts, as columns."""
+
+    text: np.ndarray  # number of the text in its run
+    no: np.ndarray  # number of the paragraph in its text
+    start: np.ndarray  # first byte in the text
+    length: np.ndarray  # bytes
+    words: np.ndarray
+    digest: np.ndarray
+    shingles: np.ndarray  # of all paragraphs, one after the other
+    heads: np.ndarray  # each paragraph's first shingle
 
-    A paragraph ends with a line or sentence once it has ``least`` words; what is
-    left over at a text's end is a paragraph as it is.
-    """
-    stops = np.array([m.end() for m in _END.finditer(raw)], np.int64)
-    edges = np.unique(np.searchsorted(starts, stops))
-    out, first = [], 0
-    for edge in edges.tolist():
-        if edge - first >= least:
-            out.append((first, edge))
-            first = edge
-    if first < len(starts):
-        out.append((first, len(starts)))
-    return out
-
-
-def paragraphs(texts: list[str | None], least: int = LEAST_WORDS) -> Iterator[list[tuple[int, int, np.ndarray]]]:
-    """For each text its paragraphs: byte start, byte length, word hashes."""
-    for _, _, joined, offsets in slices(texts):
-        hashes, bounds, starts, ends = word_hashes(joined, offsets)
-        for k in range(len(offsets) - 1):
-            a, b, base = bounds[k], bounds[k + 1], offsets[k]
-            own_s, own_e = starts[a:b] - base, ends[a:b] - base
-            yield [
-                (int(own_s[i]), int(own_e[j - 1] - own_s[i]), hashes[a + i : a + j])
-                for i, j in _cuts(joined[base : offsets[k + 1] - 1], own_s, own_e, least)
-            ]
 
+def _closing(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether a line or sentence ends with the word."""
+    last = raw[ends - 1]
+    before = raw[np.maximum(ends - 2, starts)]
+    stop = _STOP[last] | (_QUOTE[last] & _STOP[before])
+    lines = np.concatenate(([0], np.cumsum(raw == 10)))
+    after = np.concatenate((lines[starts[1:]], [lines[-1]]))
+    return stop | (after > lines[ends])
 
-def _shingles(words: np.ndarray) -> np.ndarray:
-    return np.unique(chain(words, WIDTH) if len(words) >= WIDTH else chain(words, len(words)))
 
+def _spans(closing: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
+    """(text, no, first word, last word + 1) of the paragraphs of ``least`` words and more.
 
-def _digest(words: np.ndarray) -> int:
-    return int(chain(words, len(words)).view(np.int64)[0])
+    A paragraph ends with a line or sentence once it has ``least`` words, and with
+    its text; a shorter rest of a text is none.
+    """
+    out, stops = [], np.flatnonzero(closing) + 1
+    for text in range(len(bounds) - 1):
+        first, end, no = int(bounds[text]), int(bounds[text + 1]), 0
+        lo, hi = np.searchsorted(stops, (first + least, end))
+        for stop in [*stops[lo:hi].tolist(), end]:
+            if stop - first >= least:
+                out.append((text, no, first, stop))
+                first, no = stop, no + 1
+    return np.array(out, np.int64).reshape(-1, 4)
+
+
+def paragraphs(texts: list[str | None], least: int = LEAST_WORDS) -> Iterator[tuple[int, Paragraphs]]:
+    """(number of the first text, paragraphs) for runs of texts; ``least`` >= WIDTH."""
+    for begin, _, joined, offsets in slices(texts):
+        hashes, bounds, starts, ends = word_hashes(joined, offsets)
+        if not len(starts):
+            continue
+        text, no, first, stop = _spans(_closing(np.frombuffer(joined, np.uint8), starts, ends), bounds, least).T
+        if not len(text):
+            continue
+        words = stop - first
+        place = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
+        signed = mix(hashes[np.repeat(first, words) + place] + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        digest = mix(np.add.reduceat(signed, np.cumsum(words) - words) + words.astype(np.uint64))
+        sizes = words - WIDTH + 1
+        heads = np.cumsum(sizes) - sizes
+        at = np.repeat(first - heads, sizes) + np.arange(sizes.sum())
+        yield begin, Paragraphs(text, no, starts[first] - offsets[text], ends[stop - 1] - starts[first], words, digest, chain(hashes, WIDTH)[at], heads)
+
+
+def _lists(values: np.ndarray, heads: np.ndarray) -> pa.Array:
+    offsets = np.concatenate((heads, [len(values)]))
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
 
 def _units(least: int):
-    """Rows doc, no, start, length, words, digest, bands for each paragraph."""
+    """Rows doc, tid, no, start, length, words, digest, bands for each paragraph."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                rows: list[tuple] = []
-                words: list[np.ndarray] = []
-                for doc, tid, found in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), paragraphs(part.column(2).to_pylist(), least), strict=True):
-                    for no, (start, length, hashes) in enumerate(found):
-                        if len(hashes) >= least:
-                            rows.append((doc, tid, no, start, length, len(hashes)))
-                            words.append(hashes)
-                if not rows:
-                    continue
-                runs = [chain(w, WIDTH) if len(w) >= WIDTH else chain(w, len(w)) for w in words]
-                sizes = np.array([len(r) for r in runs])
-                flat, heads = np.concatenate(runs), np.cumsum(sizes) - sizes
-                least_of = [np.minimum.reduceat(mix(flat ^ seed), heads) for seed in _SEEDS]
-                keys = np.stack(
+            docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for begin, x in paragraphs(batch.column(2).to_pylist(), least):
+                mins = [np.minimum.reduceat(mix(x.shingles ^ seed), x.heads) for seed in _SEEDS]
+                keys = np.stack([mix(mins[b * ROWS] * np.uint64(3) + mins[b * ROWS + 1] + np.uint64(b)) for b in range(BANDS)], axis=1).ravel()
+                rows = begin + x.text
+                yield pa.RecordBatch.from_arrays(
                     [
-                        mix(least_of[b * ROWS] * np.uint64(3) + least_of[b * ROWS + 1] + np.uint64(b))
-                        for b in range(BANDS)
+                        pa.array(docs[rows]),
+                        pa.array(tids[rows]),
+                        *(pa.array(c, pa.int32()) for c in (x.no, x.start, x.length, x.words)),
+                        pa.array(x.digest.view(np.int64)),
+                        _lists(keys, np.arange(0, len(keys), BANDS)),
                     ],
-                    axis=1,
-                )
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()), strict=True)]
-                bands = pa.ListArray.from_arrays(
-                    pa.array(np.arange(0, keys.size + 1, BANDS), pa.int32()), pa.array(keys.ravel().view(np.int64), pa.int64())
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array([_digest(w) for w in words], pa.int64()), bands],
                     names=["doc", "tid", "no", "start", "length", "words", "digest", "bands"],
                 )
 
@@ -114,18 +128,13 @@ def _units(least: int):
 
 
 def _sets(least: int):
+    """Rows digest, tokens: the shingles, with repeats, of each paragraph."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                digests, sets = [], []
-                for found in paragraphs(part.column(0).to_pylist(), least):
-                    for _, _, hashes in found:
-                        if len(hashes) >= least:
-                            digests.append(_digest(hashes))
-                            sets.append(_shingles(hashes).view(np.int64))
+            for _, x in paragraphs(batch.column(0).to_pylist(), least):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(digests, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["digest", "tokens"]
+                    [pa.array(x.digest.view(np.int64)), _lists(x.shingles, x.heads)], names=["digest", "tokens"]
                 )
 
     return run
@@ -135,8 +144,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both = pairs.join(sets.select(F.col("digest").alias("a"), F.col("tokens").alias("ta")), "a").join(
         sets.select(F.col("digest").alias("b"), F.col("tokens").alias("tb")), "b"
     )
-    shared = F.size(F.array_intersect("ta", "tb"))
-    union = F.size("ta") + F.size("tb") - shared
+    shared, union = F.size(F.array_intersect("ta", "tb")), F.size(F.array_union("ta", "tb"))
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
@@ -157,7 +165,7 @@ def repeated_paragraphs(
 
     ``start`` and ``length`` are bytes of the UTF-8 text. ``first_*`` name the
     component's paragraph that stays, ``copies`` counts the component's paragraphs.
-    Paragraphs of fewer than ``least`` words are not compared; null and empty texts
+    Paragraphs of fewer than ``least`` (at least ``WIDTH``) words are not compared; null and empty texts
     have none. Rows that repeat id and text are one document. A null id is kept as
     null and comes first. Other columns are not read. An empty table gives no rows.
     """
