@@ -52,6 +52,9 @@ RULES = (
 
 SIZES = (3, 4, 5)
 BITS = 16
+#: Score from which a page is unwanted; above one half, as hosts without any known
+#: n-gram score near it.
+THRESHOLD = 0.7
 
 
 def host_of(url: Column) -> Column:
@@ -121,7 +124,7 @@ def filter_urls(
     id_col: str = "page_id",
     url_col: str = "url",
     rules: Sequence[tuple[str, str]] = RULES,
-    threshold: float = 0.5,
+    threshold: float = THRESHOLD,
 ) -> DataFrame:
     """page_id, host, path, rule, verdict, score: one row per input row.
 

@@ -326,7 +326,7 @@ def test_media_store_keeps_shared_chunks_once(spark):
 
 
 def test_url_filter_equals_brute_force(spark):
-    from barstrata.llm.url_filter import RULES, features, filter_urls, model, score, split_url
+    from barstrata.llm.url_filter import RULES, THRESHOLD, features, filter_urls, model, score, split_url
 
     urls = [
         None, "", "no scheme", "http://A.Example.ORG/en/1x?q#f", "https://example.org/es/1", "http://x.com/fr/9", "http://com/de/1", "http://xcom/de/1",
@@ -338,7 +338,7 @@ def test_url_filter_equals_brute_force(spark):
     for i, u in enumerate(urls):
         host, path = split_url(u or "")
         fits = [(len(t), t, k) for k, t in RULES if (host == t.split("/")[0] or host.endswith("." + t.split("/")[0])) and path.startswith(t[len(t.split("/")[0]) :])]
-        rule = max(fits)[1:] if fits else (None, "block" if score(host, path, fitted) >= 0.5 else "allow")
+        rule = max(fits)[1:] if fits else (None, "block" if score(host, path, fitted) >= THRESHOLD else "allow")
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == (host, path, *rule), u
     assert got[None].rule == "example.org/en/1" and got[10].verdict == "block" and got[11].verdict == "allow"
     assert len(features("", "")) == 0 or features("", "").dtype == np.int64
@@ -346,13 +346,13 @@ def test_url_filter_equals_brute_force(spark):
 
 
 def test_url_model_on_unseen_hosts():
-    from barstrata.llm.url_filter import model, score
+    from barstrata.llm.url_filter import THRESHOLD, model, score
 
     fitted = model()
     bad = ["www.casino-bonus.net", "m.cheap-pills.info", "blog.spam-links.net", "ads-track.io"]
     good = ["www.gallery.net", "m.anthology.info", "blog.kitchen.net", "bicycle.io"]
-    assert all(score(h, "/en/12", fitted) >= 0.5 for h in bad)
-    assert all(score(h, "/en/12", fitted) < 0.5 for h in good)
+    assert all(score(h, "/en/12", fitted) >= THRESHOLD for h in bad)
+    assert all(score(h, "/en/12", fitted) < THRESHOLD for h in good)
 
 
 def test_quality_sample_prefers_the_target(spark):
