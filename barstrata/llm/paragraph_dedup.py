@@ -2,8 +2,10 @@
 
 Texts are cut at line ends and sentence ends into short paragraphs, so that a passage
 inside a longer text falls into paragraphs of its own. Equal paragraphs are one
-class. Classes that share the MinHash of a band are compared with the band's leader,
-then those outside the leader's component with the rest of the band; a pair links if
+class. Classes that share the MinHash of a band collide; a pair that reaches the
+threshold also shares one of its rarest shingles, so colliding classes are grouped by
+band and rare shingle. Each group is compared with its most central member, then
+those outside that leader's component with the rest of the group; a pair links if
 the exact Jaccard similarity of the word shingles reaches the threshold. Of each
 component the first paragraph in (id, number) order stays. Only passages count: runs
 of neighbouring repeated paragraphs with enough words together, so that a stock
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize, release, small
 from .components import connected_components
 from .kernels import chain, mix, slices, word_hashes
 
@@ -148,8 +150,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(shared * 100 >= union * percent).select("a", "b")
 
 
-def _pairs(joined: DataFrame) -> DataFrame:
-    return joined.select(F.least("l.digest", "r.digest").alias("a"), F.greatest("l.digest", "r.digest").alias("b")).distinct()
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """Rows digest, central, token: each set's prefix in the order of rarity.
+
+    Two sets at the threshold share a token of their prefixes in any one order.
+    Tokens of one set only come first and are left out, so that the many edited
+    words of distant copies fill their prefixes. ``central`` is large for sets
+    whose tokens many others have.
+    """
+    tokens = sets.select("digest", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "paragraph-df")
+    plain = F.col("n") - ((F.col("n") * percent + 99) / 100).cast("long") + 1
+    return (
+        tokens.join(small(counts), "token")
+        .groupBy("digest", "n")
+        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"), (F.sum(F.log2("df")) / F.col("n")).alias("central"))
+        .withColumn("prefix", plain - (F.col("n") - F.size("by_df")))
+        .where("prefix > 0")
+        .select("digest", "central", F.explode(F.slice("by_df", 1, F.col("prefix").cast("int"))).alias("item"))
+        .select("digest", "central", F.col("item.token").alias("token"))
+    )
 
 
 def repeated_paragraphs(
@@ -183,10 +203,10 @@ def repeated_paragraphs(
     # Band keys that paragraphs of different words share.
     keys = units.select("digest", F.explode("bands").alias("band"))
     common = materialize(
-        keys.groupBy("band").agg(F.min("digest").alias("lead"), F.max("digest").alias("last")).where("lead <> last").select("band", "lead"),
+        keys.groupBy("band").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("band"),
         "paragraph-bands",
     )
-    members = materialize(keys.join(small(common), "band").select("band", "lead", "digest").distinct(), "paragraph-members")
+    members = materialize(keys.join(small(common.select("band")), "band").distinct(), "paragraph-members")
     links = _links(narrow, units, members, least, percent)
     labels = materialize(connected_components(links), "paragraph-labels")
 
@@ -224,31 +244,50 @@ def repeated_paragraphs(
 
 def _links(narrow: DataFrame, units: DataFrame, members: DataFrame, least: int, percent: int) -> DataFrame:
     """Verified links (a, b) of digests that together span every component."""
-    wanted = members.select("digest").distinct()
+    spark = narrow.sparkSession
+    wanted = small(materialize(members.select("digest").distinct(), "paragraph-wanted"))
     owners = materialize(
-        units.select("digest", "doc", "tid").join(small(materialize(wanted, "paragraph-wanted")), "digest", "left_semi")
+        units.select("digest", "doc", "tid").join(wanted, "digest", "left_semi")
         .groupBy("digest").agg(F.min(F.struct("doc", "tid")).alias("o")).select(F.col("o.doc").alias("doc"), F.col("o.tid").alias("tid")).distinct(),
         "paragraph-owners",
     )
     sets = materialize(
         narrow.join(small(owners), ["doc", "tid"], "left_semi").select("text").mapInArrow(_sets(least), "digest long, tokens array<long>")
-        .join(small(materialize(wanted, "paragraph-wanted")), "digest", "left_semi").dropDuplicates(["digest"]),
+        .join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", F.array_distinct("tokens").alias("tokens")),
         "paragraph-sets",
     )
-    first = members.where("digest <> lead").select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
+    keyed = materialize(
+        members.join(_prefixes(sets, percent), "digest").select(F.xxhash64("band", "token").alias("key"), "digest", "central").distinct(),
+        "paragraph-keys",
+    )
+    leaders = materialize(
+        keyed.groupBy("key")
+        .agg(F.max(F.struct("central", "digest")).alias("top"), F.count("*").alias("size"))
+        .where("size > 1")
+        .select("key", F.col("top.digest").alias("lead")),
+        "paragraph-leaders",
+    )
+    led = materialize(keyed.select("key", "digest").join(small(leaders), "key"), "paragraph-led")
+    first = led.where("digest <> lead").select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
     starred = materialize(_verified(first, sets, percent), "paragraph-links")
     labels = materialize(connected_components(starred), "paragraph-labels")
-    node = labels.select(F.col("node").alias("digest"), "component")
-    lead = labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component"))
+    node = small(labels.select(F.col("node").alias("digest"), "component"))
+    lead = small(labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component")))
     owner = materialize(
-        members.join(node, "digest", "left").join(lead, "lead", "left").select(
-            "band", "digest", F.coalesce("component", "digest").alias("label"), F.coalesce("lead_component", "lead").alias("lead_label")
+        led.join(node, "digest", "left").join(lead, "lead", "left").select(
+            "key", "digest", F.coalesce("component", "digest").alias("label"), F.coalesce("lead_component", "lead").alias("lead_label")
         ),
         "paragraph-labelled",
     )
+    # The leader itself has been compared with the whole group.
     strays = materialize(owner.where("label <> lead_label"), "paragraph-strays")
-    second = _pairs(
-        strays.alias("l").join(owner.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.label") != F.col("r.label")))
+    others = owner.join(small(leaders.withColumnRenamed("lead", "digest")), ["key", "digest"], "left_anti")
+    second = (
+        strays.alias("l")
+        .join(others.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")))
+        .select(F.least("l.digest", "r.digest").alias("a"), F.greatest("l.digest", "r.digest").alias("b"))
+        .distinct()
     )
     rest = materialize(_verified(second, sets, percent), "paragraph-links")
+    release(spark, members, keyed, led, owner, strays)
     return starred.unionByName(rest)
