@@ -1,3 +1,3 @@
 """Named queries over the driver's tables and their DuckDB SQL."""
 
-from . import catalog, decisions, market  # noqa: F401
+from . import catalog, decisions, market, records  # noqa: F401
