@@ -10,6 +10,11 @@ the exact Jaccard similarity of the word shingles reaches the threshold. Of each
 component the first paragraph in (id, number) order stays. Only passages count: runs
 of neighbouring repeated paragraphs with enough words together, so that a stock
 sentence in an otherwise clean text is left alone.
+
+Two more kinds of units are passages in themselves. Whole lines are banded and
+verified like paragraphs, so that one edit does not lose a line of short sentences.
+Word windows start at anchors that the words alone choose, wherever sentences and
+lines end; equal windows are one class. Units of different kinds are never compared.
 """
 
 from __future__ import annotations
@@ -31,6 +36,12 @@ WIDTH, LEAST_WORDS, PERCENT = 5, 8, 80
 #: Words that a run of neighbouring repeated paragraphs has at least. A passage of
 #: 50 words may lose up to a paragraph at either end to the text around it.
 RUN_WORDS = 25
+#: Words that a line has at least and that a window has, and starts of which one is an
+#: anchor. Any WINDOW + ANCHORS - 1 words that two texts share hold an equal window.
+WINDOW, ANCHORS = RUN_WORDS, 12
+PARAGRAPH, LINE, WORDS = range(3)
+_KINDS = mix(np.arange(1, 4, dtype=np.uint64)) * np.array([0, 1, 1], np.uint64)
+_NEVER = np.uint64(2**64 - 1)
 #: Five bands of two rows find a pair at 0.8 with probability 1 - (1 - 0.64) ** 5 = 0.994.
 BANDS, ROWS = 5, 2
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -42,10 +53,11 @@ _QUOTE[list(b"\"')]")] = True
 
 @dataclass
 class Paragraphs:
-    """The paragraphs of a run of texts, as columns."""
+    """The paragraphs and then the lines of a run of texts, as columns."""
 
+    kind: np.ndarray
     text: np.ndarray  # number of the text in its run
-    no: np.ndarray  # number of the paragraph in its text
+    no: np.ndarray  # number of the unit in its text
     start: np.ndarray  # first byte in the text
     length: np.ndarray  # bytes
     words: np.ndarray
@@ -54,14 +66,26 @@ class Paragraphs:
     heads: np.ndarray  # each paragraph's first shingle
 
 
-def _closing(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Whether a line or sentence ends with the word."""
+@dataclass
+class Windows:
+    """The word windows of a run of texts, as columns."""
+
+    text: np.ndarray
+    no: np.ndarray
+    start: np.ndarray
+    length: np.ndarray
+    digest: np.ndarray
+
+
+def _closing(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a line or sentence ends with the word, and whether a line does."""
     last = raw[ends - 1]
     before = raw[np.maximum(ends - 2, starts)]
     stop = _STOP[last] | (_QUOTE[last] & _STOP[before])
     lines = np.concatenate(([0], np.cumsum(raw == 10)))
     after = np.concatenate((lines[starts[1:]], [lines[-1]]))
-    return stop | (after > lines[ends])
+    line = after > lines[ends]
+    return stop | line, line
 
 
 def _spans(closing: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
@@ -81,23 +105,89 @@ def _spans(closing: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
     return np.array(out, np.int64).reshape(-1, 4)
 
 
-def paragraphs(texts: list[str | None], least: int = LEAST_WORDS) -> Iterator[tuple[int, Paragraphs]]:
-    """(number of the first text, paragraphs) for runs of texts; ``least`` >= WIDTH."""
+def _line_spans(line: np.ndarray, bounds: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    """(text, no, first word, last word + 1) of the long lines that are not one of ``spans``.
+
+    A text's lines are numbered on from its spans.
+    """
+    closing = line.copy()
+    closing[bounds[1:][np.diff(bounds) > 0] - 1] = True
+    stop = np.flatnonzero(closing) + 1
+    first = np.concatenate(([0], stop[:-1]))
+    n = len(line) + 1
+    new = (stop - first >= WINDOW) & ~np.isin(first * n + stop, spans[:, 2] * n + spans[:, 3])
+    text = np.searchsorted(bounds, first[new], side="right") - 1
+    no = _numbers(text) + np.bincount(spans[:, 0], minlength=len(bounds))[text]
+    return np.stack([text, no, first[new], stop[new]], axis=1)
+
+
+def _numbers(text: np.ndarray) -> np.ndarray:
+    """0, 1, ... within each run of equal numbers."""
+    return np.arange(len(text)) - np.searchsorted(text, text)
+
+
+def _least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of each run of ``width`` values."""
+    size = 1
+    while 2 * size <= width:
+        values, size = np.minimum(values[:-size], values[size:]), 2 * size
+    rest = width - size
+    return np.minimum(values[:-rest], values[rest:]) if rest else values
+
+
+def _anchors(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """First words of windows: those least in some run of ANCHORS starts of their text."""
+    n = len(hashes)
+    if n < WINDOW:
+        return np.zeros(0, np.int64)
+    order = np.full(n + 2 * (ANCHORS - 1), _NEVER)
+    own = order[ANCHORS - 1 : ANCHORS - 1 + n]
+    own[: n - WIDTH + 1] = mix(chain(hashes, WIDTH) ^ _SEEDS[0]) >> np.uint64(1)
+    # Fewer words than a window are left: a gap that no run of starts spans.
+    own[np.arange(n) + WINDOW > np.repeat(bounds[1:], np.diff(bounds))] = _NEVER
+    return np.flatnonzero((own == ~_least(~_least(order, ANCHORS), ANCHORS)) & (own != _NEVER))
+
+
+def _windows(hashes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray, held: np.ndarray) -> Windows:
+    """The windows of all texts; a text's are numbered on from its ``held`` units."""
+    first = _anchors(hashes, bounds)
+    digest = np.full(len(first), WINDOW, np.uint64)
+    for k in range(WINDOW):
+        digest = digest * np.uint64(0xA24BAED4963EE407) + hashes[first + k]
+    digest = mix(digest ^ _KINDS[WORDS])
+    text = np.searchsorted(bounds, first, side="right") - 1
+    # A window that overlaps an equal one of its text is no copy of it.
+    order = np.lexsort((first, digest, text))
+    a, b = order[:-1], order[1:]
+    whole = np.ones(len(first), bool)
+    whole[b[(text[a] == text[b]) & (digest[a] == digest[b]) & (first[b] - first[a] < WINDOW)]] = False
+    first, digest, text = first[whole], digest[whole], text[whole]
+    return Windows(text, _numbers(text) + held[text], starts[first] - offsets[text], ends[first + WINDOW - 1] - starts[first], digest)
+
+
+def paragraphs(texts: list[str | None], least: int = LEAST_WORDS) -> Iterator[tuple[int, Paragraphs | Windows]]:
+    """(number of the first text, units) for runs of texts; ``least`` >= WIDTH."""
     for begin, _, joined, offsets in slices(texts):
         hashes, bounds, starts, ends = word_hashes(joined, offsets)
         if not len(starts):
             continue
-        text, no, first, stop = _spans(_closing(np.frombuffer(joined, np.uint8), starts, ends), bounds, least).T
+        closing, line = _closing(np.frombuffer(joined, np.uint8), starts, ends)
+        spans = _spans(closing, bounds, least)
+        lines = _line_spans(line, bounds, spans)
+        kind = np.repeat([PARAGRAPH, LINE], [len(spans), len(lines)])
+        text, no, first, stop = np.concatenate((spans, lines)).T
+        yield begin, _windows(hashes, bounds, starts, ends, offsets, np.bincount(text, minlength=len(bounds)))
         if not len(text):
             continue
         words = stop - first
         place = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
         signed = mix(hashes[np.repeat(first, words) + place] + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        digest = mix(np.add.reduceat(signed, np.cumsum(words) - words) + words.astype(np.uint64))
+        digest = mix(np.add.reduceat(signed, np.cumsum(words) - words) + words.astype(np.uint64) + _KINDS[kind])
         sizes = words - WIDTH + 1
         heads = np.cumsum(sizes) - sizes
         at = np.repeat(first - heads, sizes) + np.arange(sizes.sum())
-        yield begin, Paragraphs(text, no, starts[first] - offsets[text], ends[stop - 1] - starts[first], words, digest, chain(hashes, WIDTH)[at], heads)
+        shingles = chain(hashes, WIDTH)[at] ^ np.repeat(_KINDS[kind], sizes)
+        yield begin, Paragraphs(kind, text, no, starts[first] - offsets[text], ends[stop - 1] - starts[first], words, digest, shingles, heads)
 
 
 def _lists(values: np.ndarray, heads: np.ndarray) -> pa.Array:
@@ -106,38 +196,46 @@ def _lists(values: np.ndarray, heads: np.ndarray) -> pa.Array:
 
 
 def _units(least: int):
-    """Rows doc, tid, no, start, length, words, digest, bands for each paragraph."""
+    """Rows kind, doc, tid, no, start, length, words, digest, bands for each unit; windows have no bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for begin, x in paragraphs(batch.column(2).to_pylist(), least):
-                mins = [np.minimum.reduceat(mix(x.shingles ^ seed), x.heads) for seed in _SEEDS]
-                keys = np.stack([mix(mins[b * ROWS] * np.uint64(3) + mins[b * ROWS + 1] + np.uint64(b)) for b in range(BANDS)], axis=1).ravel()
+                if isinstance(x, Windows):
+                    kind, words = np.full(len(x.text), WORDS), np.full(len(x.text), WINDOW)
+                    bands = _lists(np.zeros(0, np.uint64), np.zeros(len(x.text), np.int64))
+                else:
+                    kind, words = x.kind, x.words
+                    mins = [np.minimum.reduceat(mix(x.shingles ^ seed), x.heads) for seed in _SEEDS]
+                    keys = np.stack([mix(mins[b * ROWS] * np.uint64(3) + mins[b * ROWS + 1] + np.uint64(b)) for b in range(BANDS)], axis=1).ravel()
+                    bands = _lists(keys, np.arange(0, len(keys), BANDS))
                 rows = begin + x.text
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(kind, pa.int32()),
                         pa.array(docs[rows]),
                         pa.array(tids[rows]),
-                        *(pa.array(c, pa.int32()) for c in (x.no, x.start, x.length, x.words)),
+                        *(pa.array(c, pa.int32()) for c in (x.no, x.start, x.length, words)),
                         pa.array(x.digest.view(np.int64)),
-                        _lists(keys, np.arange(0, len(keys), BANDS)),
+                        bands,
                     ],
-                    names=["doc", "tid", "no", "start", "length", "words", "digest", "bands"],
+                    names=["kind", "doc", "tid", "no", "start", "length", "words", "digest", "bands"],
                 )
 
     return run
 
 
 def _sets(least: int):
-    """Rows digest, tokens: the shingles, with repeats, of each paragraph."""
+    """Rows digest, tokens: the shingles, with repeats, of each paragraph and line."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, x in paragraphs(batch.column(0).to_pylist(), least):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x.digest.view(np.int64)), _lists(x.shingles, x.heads)], names=["digest", "tokens"]
-                )
+                if isinstance(x, Paragraphs):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x.digest.view(np.int64)), _lists(x.shingles, x.heads)], names=["digest", "tokens"]
+                    )
 
     return run
 
@@ -180,13 +278,15 @@ def repeated_paragraphs(
     percent: int = PERCENT,
     run_words: int = RUN_WORDS,
 ) -> DataFrame:
-    """One row per paragraph of a repeated passage: doc_id, paragraph, start,
+    """One row per unit of a repeated passage: doc_id, paragraph, start,
     length, words, first_doc_id, first_paragraph, copies, removed.
 
-    ``start`` and ``length`` are bytes of the UTF-8 text. ``first_*`` name the
-    component's paragraph that stays, ``copies`` counts the component's paragraphs.
+    Units are paragraphs, lines and word windows, numbered in this order in a text;
+    they may overlap. ``start`` and ``length`` are bytes of the UTF-8 text. ``first_*`` name the
+    component's unit that stays, ``copies`` counts the component's units.
     Paragraphs of fewer than ``least`` (at least ``WIDTH``) words are not compared; null and empty texts
-    have none. Rows that repeat id and text are one document. A null id is kept as
+    have none. ``run_words`` holds for runs of paragraphs; lines and windows have ``WINDOW``
+    words at least. Rows that repeat id and text are one document. A null id is kept as
     null and comes first. Other columns are not read. An empty table gives no rows.
     """
     narrow = docs.select(
@@ -194,12 +294,17 @@ def repeated_paragraphs(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"),
         F.col(text_col).alias("text"),
     )
-    units = materialize(
+    repeats = materialize(narrow.groupBy("doc", "tid").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", "tid"), "paragraph-rows")
+    if not repeats.isEmpty():
+        again = narrow.join(small(repeats), ["doc", "tid"], "left_semi").dropDuplicates(["doc", "tid"])
+        narrow = materialize(narrow.join(small(repeats), ["doc", "tid"], "left_anti").unionByName(again), "paragraph-texts")
+    everything = materialize(
         narrow.mapInArrow(
-            _units(least), "doc long, tid long, no int, start int, length int, words int, digest long, bands array<long>"
+            _units(least), "kind int, doc long, tid long, no int, start int, length int, words int, digest long, bands array<long>"
         ),
         "paragraphs",
     )
+    units = everything.where(F.col("kind") != WORDS)
     # Band keys that paragraphs of different words share.
     keys = units.select("digest", F.explode("bands").alias("band"))
     common = materialize(
@@ -211,7 +316,7 @@ def repeated_paragraphs(
     labels = materialize(connected_components(links), "paragraph-labels")
 
     place = F.struct("doc", "tid", "no")
-    named = units.select("doc", "tid", "no", "start", "length", "words", "digest").join(
+    named = units.select("kind", "doc", "tid", "no", "start", "length", "words", "digest").join(
         small(labels), F.col("digest") == F.col("node"), "left"
     ).withColumn("group", F.coalesce("component", "digest")).drop("node", "component")
     groups = materialize(
@@ -220,14 +325,19 @@ def repeated_paragraphs(
     )
     real = lambda c: F.when(F.col(c) == -(2**63), F.lit(None)).otherwise(F.col(c))
     repeated = named.join(small(groups.select("group", "lo", "copies")), "group")
-    # Windows over one document's paragraphs.
-    document = Window.partitionBy("doc", "tid")
+    # Windows over one document's paragraphs; a line is a passage in itself.
+    document = Window.partitionBy("doc", "tid", "kind")
     island = F.col("no") - F.row_number().over(document.orderBy("no"))
-    run = F.sum("words").over(Window.partitionBy("doc", "tid", "island"))
-    return (
+    run = F.sum("words").over(Window.partitionBy("doc", "tid", "kind", "island"))
+    passages = (
         repeated.withColumn("island", island)
         .withColumn("run_words", run)
-        .where(F.col("run_words") >= run_words)
+        .where((F.col("kind") == LINE) | (F.col("run_words") >= run_words))
+    )
+    columns = ["doc", "tid", "no", "start", "length", "words", "lo", "copies"]
+    return (
+        passages.select(*columns)
+        .unionByName(_repeated_windows(everything).select(*columns))
         .select(
             real("doc").alias("doc_id"),
             F.col("no").alias("paragraph"),
@@ -242,6 +352,15 @@ def repeated_paragraphs(
     )
 
 
+def _repeated_windows(everything: DataFrame) -> DataFrame:
+    """The windows whose words occur elsewhere, with their first place ``lo`` and ``copies``."""
+    windows = everything.where(F.col("kind") == WORDS).drop("kind", "bands")
+    twice = materialize(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "window-digests")
+    found = materialize(windows.join(small(twice), "digest"), "windows")
+    groups = materialize(found.groupBy("digest").agg(F.min(F.struct("doc", "tid", "no")).alias("lo"), F.count("*").alias("copies")), "window-groups")
+    return found.join(small(groups), "digest")
+
+
 def _links(narrow: DataFrame, units: DataFrame, members: DataFrame, least: int, percent: int) -> DataFrame:
     """Verified links (a, b) of digests that together span every component."""
     spark = narrow.sparkSession

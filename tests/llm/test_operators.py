@@ -406,6 +406,55 @@ def test_repeated_passages(spark):
     assert repeated_paragraphs(frame(spark, [])).count() == 0
 
 
+def plain(n, seed):
+    return words(n, seed, 10**6)
+
+
+def found_docs(spark, rows):
+    from barstrata.llm.paragraph_dedup import repeated_paragraphs
+
+    return {r.doc_id for r in repeated_paragraphs(frame(spark, rows)).collect()}
+
+
+def test_repeated_line_of_short_sentences_with_an_edit(spark):
+    line = [w + ("." if i % 10 == 9 else "") for i, w in enumerate(plain(50, 700))]
+    edited = line[:25] + ["changed"] + line[26:]
+    rows = [(k, "\n".join([" ".join(plain(20, 710 + k)), " ".join(x), " ".join(plain(20, 720 + k))]), "s") for k, x in enumerate((line, edited, plain(50, 701)))]
+    assert found_docs(spark, rows) == {0, 1}
+
+
+def test_passages_inside_sentences_and_without_punctuation(spark):
+    passages = [plain(51, 800 + k) for k in range(20)]
+    rows = []
+    for k, passage in enumerate(passages):
+        for copy in range(2):
+            rows.append((2 * k + copy, " ".join(plain(13 + 3 * k + 40 * copy, 900 + 2 * k + copy) + passage + plain(30 + k, 1000 + 2 * k + copy)), "s"))
+    rows.append((99, " ".join(plain(300, 1100)), "s"))
+    assert found_docs(spark, rows) == set(range(40))
+
+
+def test_passages_inside_sentences_with_an_edit(spark):
+    rows = []
+    for k in range(20):
+        passage = plain(75, 1200 + k)
+        edited = passage[:37] + ["changed"] + passage[38:]
+        rows += [(2 * k + copy, " ".join(plain(40 + k, 1300 + 2 * k + copy) + x + plain(35, 1400 + 2 * k + copy)), "s") for copy, x in enumerate((passage, edited))]
+    assert found_docs(spark, rows) == set(range(40))
+
+
+def test_repeated_rows_are_one_document(spark):
+    from barstrata.llm.paragraph_dedup import repeated_paragraphs
+
+    text = " ".join(plain(60, 1500))
+    rows = [(1, text, "s"), (1, text, "s"), (2, " ".join(plain(60, 1501)), "s"), (2, " ".join(plain(60, 1501)), "s")]
+    assert repeated_paragraphs(frame(spark, rows)).count() == 0
+    got = repeated_paragraphs(frame(spark, [*rows, (3, text, "s")])).collect()
+    assert {(r.doc_id, r.copies, r.removed) for r in got} == {(1, 2, False), (3, 2, True)}
+    assert len({(r.doc_id, r.paragraph) for r in got}) == len(got)
+    # Equal windows that overlap are no copies of each other.
+    assert repeated_paragraphs(frame(spark, [(4, "same " * 40, "s")])).count() == 0
+
+
 def test_minhash_pairs_are_mostly_found(spark):
     from barstrata.llm.paragraph_dedup import repeated_paragraphs
 
