@@ -16,14 +16,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 from .kernels import NOT_ALNUM, SPACE, chain, slices, word_hashes
 from .mixing import uniform
 
 #: Hashed n-gram buckets of each model.
 BUCKETS = 1 << 15
-#: Target texts that the target model is counted on, by least hash of the id.
-TARGET_ROWS = 20_000
 #: Keys that the last bin may have before it is ordered outright.
 _LAST = 5000
 _BINS = 512
@@ -55,8 +53,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     """log(target / raw) of every bucket, with one count added to each."""
-    # At most TARGET_ROWS ids.
-    told = docs.join(F.broadcast(target_ids), docs["id"] == target_ids["__target"], "left")
+    told = docs.join(small(target_ids), docs["id"] == target_ids["__target"], "left")
     counts = (
         told.select("text", F.col("__target").isNotNull().alias("target"))
         .mapInPandas(_counted, "bucket int, raw long, target long")
@@ -105,8 +102,7 @@ def importance_sample(
 ) -> DataFrame:
     """The sampled rows: doc_id, log_weight, key, n_grams.
 
-    ``target_ids`` has ids of target texts in ``doc_id``; at most ``TARGET_ROWS`` of
-    them, those of least hash, are counted. ``k``, or ``share`` of the rows, is the
+    ``target_ids`` has ids of target texts in ``doc_id``; all of them are counted. ``k``, or ``share`` of the rows, is the
     size of the sample. Null and empty texts have no n-grams and weight 0. Rows that
     repeat an id share their noise and are told apart by nothing: at the last place
     all of them are kept. An empty table gives no rows.
@@ -115,9 +111,7 @@ def importance_sample(
     picked = materialize(
         target_ids.where("doc_id is not null")
         .select(F.col("doc_id").cast("long").alias("__target"))
-        .distinct()
-        .orderBy(F.xxhash64("__target"), "__target")
-        .limit(TARGET_ROWS),
+        .distinct(),
         "quality-target",
     )
     ratios = docs.sparkSession.sparkContext.broadcast(log_ratios(narrow, picked))

@@ -372,6 +372,17 @@ def test_quality_sample_prefers_the_target(spark):
     assert quality_sample(docs, labels.where("false")).count() == 0
 
 
+def test_quality_counts_every_target_text(spark):
+    from barstrata.llm.quality import BUCKETS, importance_sample, ngram_buckets
+
+    docs = spark.range(25_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w"), F.col("id")).alias("text"))
+    got = {r.doc_id: r.log_weight for r in importance_sample(docs, docs.where("doc_id < 24000").select("doc_id"), k=25_000).collect()}
+    found = [int(ids[0]) for ids in ngram_buckets([f"w{i}" for i in range(25_000)])]
+    raw, target = (np.bincount(found[:n], minlength=BUCKETS) + 1.0 for n in (25_000, 24_000))
+    ratios = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    assert [got[i] for i in range(25_000)] == pytest.approx(ratios[found].tolist())
+
+
 def test_kth_largest_with_ties(spark):
     from barstrata.llm import quality
 
