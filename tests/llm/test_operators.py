@@ -113,6 +113,16 @@ def test_ngram_join_keeps_one_of_a_group(spark):
     assert ngram_jaccard_components(frame(spark, [])).count() == 0
 
 
+def test_pipeline_compares_five_words_at_80_percent(spark):
+    import corpus_pipeline
+
+    base = words(140, 31, 10**6)
+    edited = [f"e{i}" if i in (30, 70, 110) else w for i, w in enumerate(base)]
+    assert 0.80 <= len(shingles(" ".join(base), 5) & shingles(" ".join(edited), 5)) / len(shingles(" ".join(base), 5) | shingles(" ".join(edited), 5)) < 0.82
+    rows = [(1, " ".join(base), "s"), (2, " ".join(edited), "s"), (3, " ".join(words(140, 32, 10**6)), "s")]
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, frame(spark, rows), "").collect()} == {1, 3}
+
+
 def test_components_of_chains_and_stars(spark):
     from barstrata.llm.components import connected_components
 
