@@ -15,6 +15,9 @@ LOCAL_ATR, HELD_BARS = 0.75, 90
 WEIGHTS = {"margin": (18, 0.05), "reversal": (24, 15.0), "held": (14, 90.0), "volume": (12, 6.0), "impact": (26, 2.0)}
 LIQUIDITY_WEIGHT, DOMINANCE_WEIGHT = 8, 12
 MAJOR_SCORE, INTERMEDIATE_SCORE = 55, 30
+#: The one tier that structure reads in each timeframe, and the tiers of pools.
+STRUCTURE_TIER = {tf: "INTERMEDIATE" for tf in ("5m", "15m", "1H", "4H", "1W")} | {"1D": "MAJOR"}
+POOL_TIERS = ("INTERMEDIATE", "MAJOR")
 
 
 def _pivots():

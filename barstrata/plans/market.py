@@ -29,6 +29,12 @@ def _pivots(spark: SparkSession, d: str) -> DataFrame:
     return W.promote(W.alternate(W.local(W.micro(_analysed(spark, d)))))
 
 
+def _tiered(spark: SparkSession, d: str, *tiers: str) -> DataFrame:
+    """Scored swings of the tiers, known once their held window is closed."""
+    bars = _analysed(spark, d)
+    return W.scored(W.promote(W.alternate(W.local(W.micro(bars)))), bars).where(F.col("tier").isin(*tiers))
+
+
 def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -307,12 +313,12 @@ def structure_labels(spark, d):
 
 @query("structure_breaks")
 def structure_breaks(spark, d):
-    return X.breaks(_pivots(spark, d), _analysed(spark, d)).drop("tf")
+    return X.breaks(_tiered(spark, d, W.STRUCTURE_TIER[TF]), _analysed(spark, d)).drop("tf")
 
 
 @query("regime_changes")
 def regime_changes(spark, d):
-    pivots = _pivots(spark, d)
+    pivots = _tiered(spark, d, W.STRUCTURE_TIER[TF])
     return X.regimes(X.labels(pivots), X.breaks(pivots, _analysed(spark, d))).drop("tf")
 
 
@@ -340,12 +346,12 @@ def zone_events(spark, d):
 
 @query("liquidity_pools")
 def liquidity_pools(spark, d):
-    return X.pools(_pivots(spark, d)).drop("tf")
+    return X.pools(_tiered(spark, d, *W.POOL_TIERS)).drop("tf")
 
 
 @query("liquidity_events")
 def liquidity_events(spark, d):
-    return X.pool_events(X.pools(W.local(W.micro(_analysed(spark, d)))), _analysed(spark, d)).drop("tf")
+    return X.pool_events(X.pools(_tiered(spark, d, *W.POOL_TIERS)), _analysed(spark, d)).drop("tf")
 
 
 _FVG = with_tables("""

@@ -50,6 +50,29 @@ def test_query_without_oracle_is_repeatable(spark, sf_dir, name):
     assert once == again
 
 
+def test_structure_reads_scored_swings(spark, monkeypatch):
+    import numpy as np
+
+    from barstrata.plans import market
+
+    rng = np.random.default_rng(5)
+    close = np.round(200 + np.cumsum(rng.normal(0, 1, 700)) + 6 * np.sin(np.arange(700) / 9), 2)
+    rows = [("A", "1H", 3600 * k, float(c), float(c + a), float(c - b), float(c), float(v)) for k, (c, a, b, v) in enumerate(zip(close, *np.round(rng.uniform(0.1, 1.5, (2, 700)), 2), rng.integers(1, 50, 700), strict=True))]
+    bars = spark.createDataFrame(rows, "symbol string, tf string, open_ts long, open double, high double, low double, close double, volume double").localCheckpoint()
+    monkeypatch.setattr(market.C, "candles", lambda *_: bars)
+    scored = market.scored_swings(spark, "").collect()
+    tier = {(r.market_time, r.kind): r for r in scored}
+    assert {r.tier for r in scored} == {"INTERMEDIATE", "MAJOR"}
+    breaks = market.structure_breaks(spark, "").collect()
+    assert breaks
+    for r in breaks:
+        swing = tier[r.level_swing_ts, "HIGH" if r.direction == "BULL" else "LOW"]
+        assert swing.tier == "INTERMEDIATE" and swing.confirmed_at <= r.confirmed_at
+    known = {r.confirmed_at for r in scored if r.tier == "INTERMEDIATE"} | {r.confirmed_at for r in breaks}
+    regimes = market.regime_changes(spark, "").collect()
+    assert regimes and {r.confirmed_at for r in regimes} <= known
+
+
 def test_append_is_idempotent(spark):
     from barstrata.operators.facts import append, as_facts, superseded
 
