@@ -2,10 +2,10 @@
 
 A media item is a 44-byte WAVE header and the payload as 8-bit mono samples. A gear
 hash that rolls over its bytes cuts it into chunks where the content says so, so equal
-stretches give equal chunks wherever they stand. Equal media are stored once, and of
-equal chunks of different media the first owner stores the bytes: Spark joins on the
-digests find the owners. A stored row is one item's own chunks, compressed, with the
-ordered chunk list; reading joins in the chunks that others own, checks every chunk's
+stretches give equal chunks wherever they stand. Equal media are stored once, and so
+is a chunk that stands at several places: Spark joins on the digests find these and
+the first place of each. A stored item has its ordered chunk list and the bytes of its
+other chunks, compressed; reading joins in the shared chunks, checks every chunk's
 digest and the whole item's SHA-256, and computes features of the samples read.
 """
 
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize
 
 #: Payloads are padded with bytes of 255 to a multiple of this.
 BLOCK = 576
@@ -91,51 +91,40 @@ def _chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             payload, n = payload_of(text)
             media = encode_media(payload)
             ends = cut_points(media)
-            starts = [0, *ends[:-1]]
-            chunks = [chunk_digest(media[a:b]) for a, b in zip(starts, ends, strict=True)]
-            rows.append((doc, n, hashlib.sha256(media).digest(), chunks, [b - a for a, b in zip(starts, ends, strict=True)]))
-        out = pd.DataFrame(rows, columns=["doc", "n_bytes", "media", "chunks", "sizes"])
+            chunks = [chunk_digest(media[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            rows.append((doc, n, hashlib.sha256(media).digest(), chunks))
+        yield pd.DataFrame(rows, columns=["doc", "n_bytes", "media", "chunks"]).astype({"doc": "Int64"})
+
+
+def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each row's media digest and its bytes, compressed for the way to the store."""
+    for frame in frames:
+        media = [encode_media(payload_of(t)[0]) for t in frame["text"]]
+        out = pd.DataFrame({"doc": frame["doc"], "media": [hashlib.sha256(m).digest() for m in media], "packed": [zlib.compress(m, 6) for m in media]})
         yield out.astype({"doc": "Int64"})
 
 
-def _packed(texts: pd.Series) -> pd.Series:
-    """The media, compressed for the way to its owner list."""
-    return pd.Series([zlib.compress(encode_media(payload_of(t)[0]), 1) for t in texts], dtype=object)
+def _listed(numbers) -> list[int]:
+    return [] if numbers is None else np.asarray(numbers).tolist()
 
 
 def _stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of the store: the bytes of the chunks that the item owns."""
+    """Rows of the store: an item with the bytes of its own chunks, and the shared chunks that it lends."""
     for frame in frames:
         out = []
-        for packed, sizes, owned, key in zip(frame["packed"], frame["sizes"], frame["owned"], frame["media"], strict=True):
-            media, mine = zlib.decompress(packed), set() if owned is None else set(np.asarray(owned).tolist())
-            if hashlib.sha256(media).digest() != bytes(key):
-                out.append(None)  # another row of a repeated id
-            elif len(mine) == len(sizes):
-                out.append(packed)
-            else:
-                ends = np.cumsum(sizes).tolist()
-                out.append(zlib.compress(b"".join(media[e - n : e] for k, (e, n) in enumerate(zip(ends, sizes, strict=True)) if k in mine), 1))
-        rows = frame[["media", "chunks", "sizes", "owned"]].assign(blob=out)
-        yield rows[rows["blob"].notna()]
-
-
-def _own_chunks(blob: bytes, sizes, owned) -> dict[int, bytes]:
-    raw, at, found = zlib.decompress(blob), 0, {}
-    for k in sorted(() if owned is None else np.asarray(owned).tolist()):
-        found[k] = raw[at : at + sizes[k]]
-        at += sizes[k]
-    return found
-
-
-def _lent(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The stored chunks that other items ask for."""
-    for frame in frames:
-        rows = []
-        for blob, chunks, sizes, owned, asked in zip(frame["blob"], frame["chunks"], frame["sizes"], frame["owned"], frame["asked"], strict=True):
-            own = _own_chunks(blob, sizes, owned)
-            rows += [(bytes(chunks[k]), zlib.compress(own[k], 1)) for k in np.asarray(asked).tolist()]
-        yield pd.DataFrame(rows, columns=["digest", "bytes"])
+        for key, packed, shared, lends in zip(frame["media"], frame["packed"], frame["shared"], frame["lends"], strict=True):
+            media = zlib.decompress(packed)
+            ends = cut_points(media)
+            parts = [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            digests = [chunk_digest(p) for p in parts]
+            common = set(_listed(shared))
+            own = packed if not common else zlib.compress(b"".join(p for k, p in enumerate(parts) if k not in common), 6)
+            out.append((bytes(key), digests, [len(p) for p in parts], sorted(common), None, own))
+            out += [(None, None, None, None, digests[k], zlib.compress(parts[k], 6)) for k in _listed(lends)]
+        yield pd.DataFrame(out, columns=["media", "chunks", "sizes", "shared", "digest", "blob"])
+
+
+_STORE = "media binary, chunks array<binary>, sizes array<int>, shared array<int>, digest binary, blob binary"
 
 
 def features_of(payload: bytes) -> str:
@@ -154,10 +143,13 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rebuild, check and describe the stored items."""
     for frame in frames:
         rows = []
-        for key, blob, chunks, sizes, owned, borrowed in zip(frame["media"], frame["blob"], frame["chunks"], frame["sizes"], frame["owned"], frame["borrowed"], strict=True):
-            parts = _own_chunks(blob, sizes, owned)
-            for item in () if borrowed is None else borrowed:
-                parts[item["k"]] = zlib.decompress(item["bytes"])
+        for key, blob, chunks, sizes, borrowed in zip(frame["media"], frame["blob"], frame["chunks"], frame["sizes"], frame["borrowed"], strict=True):
+            parts = {} if borrowed is None else {item["k"]: zlib.decompress(item["bytes"]) for item in borrowed}
+            own, at = zlib.decompress(blob), 0
+            for k, size in enumerate(sizes):
+                if k not in parts:
+                    parts[k] = own[at : at + size]
+                    at += size
             media = b"".join(parts[k] for k in range(len(chunks)))
             if any(chunk_digest(parts[k]) != bytes(c) for k, c in enumerate(chunks)) or hashlib.sha256(media).digest() != bytes(key):
                 raise ValueError(f"stored media {bytes(key).hex()} is damaged")
@@ -169,67 +161,73 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, store): each row's media digest, and the chunk store in the shared folder."""
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = materialize(
-        narrow.mapInPandas(_chunked, "doc long, n_bytes long, media binary, chunks array<binary>, sizes array<int>"), "media-rows"
+def _exceptions(rows: DataFrame) -> DataFrame:
+    """(doc, media, keeps, shared, lends) of the rows that do not simply keep all of their own chunks.
+
+    ``keeps`` is false for a row whose item another row stores; ``shared`` numbers the
+    chunks that stand at two places or more, ``lends`` those of them whose first place
+    this is. All are aggregates of digests and numbers, summed before they are shuffled.
+    """
+    items = rows.groupBy("media").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n"), F.count("doc").alias("ids"))
+    # A null id is no owner where another row has one.
+    copies = items.where("n > 1 and (owner <> last or ids < n)").select("media", "owner")
+    # Rows of equal media hold equal places, so they make no chunk shared.
+    place = F.struct("media", "k")
+    places = rows.select("media", F.posexplode("chunks").alias("k", "digest"))
+    common = (
+        places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
     )
-    items = materialize(rows.groupBy("media").agg(F.min("doc").alias("doc")), "media-items")
-    lists = rows.select("doc", "media", F.posexplode("chunks").alias("k", "digest")).join(
-        items.withColumnRenamed("doc", "owner"), "media"
-    ).where(F.col("doc").eqNullSafe(F.col("owner"))).select("media", "k", "digest").distinct()
-    places = materialize(lists, "media-places")
-    owners = places.groupBy("digest").agg(F.min(F.struct("media", "k")).alias("first"), F.count("*").alias("n"))
-    owned = places.join(
-        small(materialize(owners.where("n > 1").select("digest", "first"), "media-owners")), "digest", "left"
-    ).where(F.col("first").isNull() | (F.col("first") == F.struct("media", "k")))
-    mine = owned.groupBy("media").agg(F.sort_array(F.collect_list("k")).alias("owned"))
-    plan = materialize(
-        rows.join(items.withColumnRenamed("doc", "owner"), "media")
-        .where(F.col("doc").eqNullSafe(F.col("owner")))
-        .dropDuplicates(["media"])
-        .join(mine, "media", "left")
-        .select("doc", "media", "n_bytes", "chunks", "sizes", "owned"),
-        "media-plan",
+    common = materialize(common, "media-common")
+    marks = (
+        places.join(common, "digest")
+        .groupBy("media")
+        .agg(F.collect_set("k").alias("shared"), F.collect_set(F.when(F.col("first") == place, F.col("k"))).alias("lends"))
     )
-    return rows, _write_store(narrow, plan)
-
-
-def _write_store(narrow: DataFrame, plan: DataFrame) -> DataFrame:
-    pack = F.pandas_udf(_packed, "binary")
-    sources = narrow.join(small(plan.select(F.col("doc").alias("__doc"))), F.col("doc").eqNullSafe(F.col("__doc")), "left_semi").select(
-        "doc", pack("text").alias("packed")
+    told = (
+        rows.select("doc", "media").distinct()
+        .join(materialize(copies, "media-copies"), "media", "left")
+        .join(materialize(marks, "media-marks"), "media", "left")
     )
-    full = sources.join(plan.withColumnRenamed("doc", "__doc"), F.col("doc").eqNullSafe(F.col("__doc")))
+    keeps = F.col("owner").isNull() | F.col("doc").eqNullSafe(F.col("owner"))
     return materialize(
-        full.mapInPandas(_stored, "media binary, chunks array<binary>, sizes array<int>, owned array<int>, blob binary"), "media-store"
+        told.select("doc", "media", keeps.alias("keeps"), F.array_sort("shared").alias("shared"), F.array_sort("lends").alias("lends")).where(
+            "not keeps or shared is not null"
+        ),
+        "media-exceptions",
     )
 
 
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, store): each row's media digest, and the store in the shared folder.
+
+    The store has one row per item (media, chunks, sizes, shared, and the bytes of the
+    chunks that no other place has) and one per shared chunk (digest and bytes).
+    Most rows are no exception: as long as the exceptions fit Spark's broadcast
+    threshold the bytes go straight to the store, beyond it they are shuffled once.
+    """
+    narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    rows = materialize(narrow.mapInPandas(_chunked, "doc long, n_bytes long, media binary, chunks array<binary>"), "media-rows")
+    odd = _exceptions(rows).withColumnsRenamed({"doc": "__doc", "media": "__media"})
+    packed = narrow.mapInPandas(_packed, "doc long, media binary, packed binary")
+    told = packed.join(odd, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("media") == F.col("__media")), "left")
+    kept = told.where("coalesce(keeps, true)").select("media", "packed", "shared", "lends")
+    return rows, materialize(kept.mapInPandas(_stored, _STORE), "media-store")
+
+
 def read_media(store: DataFrame) -> DataFrame:
     """One described row per stored item, rebuilt from the store and verified."""
-    chunks = store.select("media", "owned", F.posexplode("chunks").alias("k", "digest"))
-    foreign = materialize(
-        chunks.where(F.col("owned").isNull() | ~F.array_contains("owned", F.col("k"))).select("media", "k", "digest"), "media-foreign"
-    )
-    wanted = foreign.select("digest").distinct()
-    lenders = (
-        chunks.where(F.array_contains("owned", F.col("k")))
-        .join(wanted, "digest", "left_semi")
-        .groupBy("media")
-        .agg(F.sort_array(F.collect_list("k")).alias("asked"))
-    )
-    lent = materialize(
-        store.join(small(materialize(lenders, "media-lenders")), "media").mapInPandas(_lent, "digest binary, bytes binary"), "media-lent"
-    )
-    borrowed = (
-        foreign.join(lent, "digest").groupBy("media").agg(F.collect_list(F.struct("k", "bytes")).alias("borrowed"))
+    items = store.where("media is not null").drop("digest")
+    lent = store.where("digest is not null").dropDuplicates(["digest"]).select("digest", F.col("blob").alias("bytes"))
+    wanted = (
+        items.where("size(shared) > 0").dropDuplicates(["media"])
+        .select("media", F.explode("shared").alias("k"), "chunks")
+        .select("media", "k", F.element_at("chunks", F.col("k") + 1).alias("digest"))
     )
-    alone = store.join(small(materialize(foreign.select("media").distinct(), "media-borrowers")), "media", "left_anti")
-    whole = alone.withColumn("borrowed", F.lit(None).cast("array<struct<k:int,bytes:binary>>")).unionByName(store.join(borrowed, "media"))
+    borrowed = wanted.join(lent, "digest").groupBy("media").agg(F.collect_list(F.struct("k", "bytes")).alias("borrowed"))
+    whole = items.where("size(shared) = 0").withColumn("borrowed", F.lit(None).cast("array<struct<k:int,bytes:binary>>"))
+    parted = items.where("size(shared) > 0").join(borrowed, "media")
     # Rows that repeat an id and a text were stored alike.
-    return whole.mapInPandas(_read, _READ).dropDuplicates(["media"])
+    return whole.unionByName(parted).mapInPandas(_read, _READ).dropDuplicates(["media"])
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

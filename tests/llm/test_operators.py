@@ -322,7 +322,7 @@ def test_media_round_trip(spark):
 
 
 def test_media_store_keeps_shared_chunks_once(spark):
-    from barstrata.llm.media import cut_points, encode_media, payload_of, store_media
+    from barstrata.llm.media import cut_points, encode_media, payload_of, read_media, store_media
 
     shared = " ".join(words(6000, 22))
     rows = [(i, f"{i} " * 300 + shared, "s") for i in range(5)]
@@ -330,9 +330,28 @@ def test_media_store_keeps_shared_chunks_once(spark):
     for m in media:
         ends = cut_points(m)
         assert ends[-1] == len(m) and ends == sorted(set(ends))
-    _, store = store_media(frame(spark, rows))
-    owned = sum(sum(r.sizes[k] for k in r.owned) for r in store.collect())
-    assert owned < 0.45 * sum(map(len, media))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for threshold in (before, "-1"):  # the exceptions broadcast, and shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            _, store = store_media(frame(spark, rows))
+            held = sum(len(zlib.decompress(r.blob)) for r in store.collect())
+            assert held < 0.45 * sum(map(len, media))
+            assert {bytes.fromhex(r.media_sha256) for r in read_media(store).collect()} == {hashlib.sha256(m).digest() for m in media}
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_media_features_by_plain_definition():
+    from barstrata.llm.media import features_of
+
+    data = payload = "A plain text, é, of some words.".encode() * 20
+    mean = sum(data) / len(data)
+    std = (sum((x - mean) ** 2 for x in data) / len(data)) ** 0.5
+    cross = sum((a >= 128) != (b >= 128) for a, b in zip(data, data[1:]))
+    entropy = -sum(n / len(data) * np.log2(n / len(data)) for n in Counter(data).values())
+    got = dict(x.split("=") for x in features_of(payload).split(";"))
+    assert [float(got[k]) for k in ("mean", "std", "cross", "entropy")] == pytest.approx([mean, std, cross, entropy], abs=1e-4)
 
 
 def test_url_filter_equals_brute_force(spark):
