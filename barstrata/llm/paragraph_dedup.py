@@ -24,10 +24,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small
+from .common import materialize, release
 from .components import connected_components
 from .kernels import chain, mix, slices, word_hashes
 
@@ -92,7 +92,7 @@ def _spans(closing: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
     """(text, no, first word, last word + 1) of the paragraphs of ``least`` words and more.
 
     A paragraph ends with a line or sentence once it has ``least`` words, and with
-    its text; a shorter rest of a text is none.
+    its text; a shorter rest of a text belongs to the paragraph before it.
     """
     out, stops = [], np.flatnonzero(closing) + 1
     for text in range(len(bounds) - 1):
@@ -102,6 +102,8 @@ def _spans(closing: np.ndarray, bounds: np.ndarray, least: int) -> np.ndarray:
             if stop - first >= least:
                 out.append((text, no, first, stop))
                 first, no = stop, no + 1
+        if no and first < end:
+            out[-1] = (text, no - 1, out[-1][2], end)
     return np.array(out, np.int64).reshape(-1, 4)
 
 
@@ -249,24 +251,40 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """Rows digest, central, token: each set's prefix in the order of rarity.
+    """Rows digest, n, central, pos, token: each set's prefix in the order of rarity.
 
     Two sets at the threshold share a token of their prefixes in any one order.
     Tokens of one set only come first and are left out, so that the many edited
-    words of distant copies fill their prefixes. ``central`` is large for sets
-    whose tokens many others have.
+    words of distant copies fill their prefixes; ``pos`` counts them. ``central`` is
+    large for sets whose tokens many others have.
     """
     tokens = sets.select("digest", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "paragraph-df")
     plain = F.col("n") - ((F.col("n") * percent + 99) / 100).cast("long") + 1
     return (
-        tokens.join(small(counts), "token")
+        tokens.join(counts, "token")
         .groupBy("digest", "n")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"), (F.sum(F.log2("df")) / F.col("n")).alias("central"))
-        .withColumn("prefix", plain - (F.col("n") - F.size("by_df")))
+        .withColumn("alone", F.col("n") - F.size("by_df"))
+        .withColumn("prefix", plain - F.col("alone"))
         .where("prefix > 0")
-        .select("digest", "central", F.explode(F.slice("by_df", 1, F.col("prefix").cast("int"))).alias("item"))
-        .select("digest", "central", F.col("item.token").alias("token"))
+        .select("digest", "n", "central", "alone", F.posexplode(F.slice("by_df", 1, F.col("prefix").cast("int"))).alias("k", "item"))
+        .select("digest", F.col("n").cast("int").alias("n"), "central", (F.col("alone") + F.col("k") + 1).cast("int").alias("pos"), F.col("item.token").alias("token"))
+    )
+
+
+def _near(percent: int) -> Column:
+    """Length and positional filters for rows l and r of one token.
+
+    The tokens before both positions hold no common one if this is the first, so
+    that the rest bounds the overlap; a link passes at its first common token.
+    """
+    bound = F.least(F.col("l.n") - F.col("l.pos"), F.col("r.n") - F.col("r.pos")) + 1
+    both = F.col("l.n") + F.col("r.n")
+    return (
+        (F.col("l.n") * 100 >= F.col("r.n") * percent)
+        & (F.col("r.n") * 100 >= F.col("l.n") * percent)
+        & (bound * (100 + percent) >= both * percent)
     )
 
 
@@ -296,8 +314,8 @@ def repeated_paragraphs(
     )
     repeats = materialize(narrow.groupBy("doc", "tid").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", "tid"), "paragraph-rows")
     if not repeats.isEmpty():
-        again = narrow.join(small(repeats), ["doc", "tid"], "left_semi").dropDuplicates(["doc", "tid"])
-        narrow = materialize(narrow.join(small(repeats), ["doc", "tid"], "left_anti").unionByName(again), "paragraph-texts")
+        again = narrow.join(repeats, ["doc", "tid"], "left_semi").dropDuplicates(["doc", "tid"])
+        narrow = materialize(narrow.join(repeats, ["doc", "tid"], "left_anti").unionByName(again), "paragraph-texts")
     everything = materialize(
         narrow.mapInArrow(
             _units(least), "kind int, doc long, tid long, no int, start int, length int, words int, digest long, bands array<long>"
@@ -311,20 +329,20 @@ def repeated_paragraphs(
         keys.groupBy("band").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("band"),
         "paragraph-bands",
     )
-    members = materialize(keys.join(small(common.select("band")), "band").distinct(), "paragraph-members")
+    members = materialize(keys.join(common.select("band"), "band").distinct(), "paragraph-members")
     links = _links(narrow, units, members, least, percent)
     labels = materialize(connected_components(links), "paragraph-labels")
 
     place = F.struct("doc", "tid", "no")
     named = units.select("kind", "doc", "tid", "no", "start", "length", "words", "digest").join(
-        small(labels), F.col("digest") == F.col("node"), "left"
+        labels, F.col("digest") == F.col("node"), "left"
     ).withColumn("group", F.coalesce("component", "digest")).drop("node", "component")
     groups = materialize(
         named.groupBy("group").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("copies")).where("lo <> hi"),
         "paragraph-groups",
     )
     real = lambda c: F.when(F.col(c) == -(2**63), F.lit(None)).otherwise(F.col(c))
-    repeated = named.join(small(groups.select("group", "lo", "copies")), "group")
+    repeated = named.join(groups.select("group", "lo", "copies"), "group")
     # Windows over one document's paragraphs; a line is a passage in itself.
     document = Window.partitionBy("doc", "tid", "kind")
     island = F.col("no") - F.row_number().over(document.orderBy("no"))
@@ -356,57 +374,61 @@ def _repeated_windows(everything: DataFrame) -> DataFrame:
     """The windows whose words occur elsewhere, with their first place ``lo`` and ``copies``."""
     windows = everything.where(F.col("kind") == WORDS).drop("kind", "bands")
     twice = materialize(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "window-digests")
-    found = materialize(windows.join(small(twice), "digest"), "windows")
+    found = materialize(windows.join(twice, "digest"), "windows")
     groups = materialize(found.groupBy("digest").agg(F.min(F.struct("doc", "tid", "no")).alias("lo"), F.count("*").alias("copies")), "window-groups")
-    return found.join(small(groups), "digest")
+    return found.join(groups, "digest")
 
 
 def _links(narrow: DataFrame, units: DataFrame, members: DataFrame, least: int, percent: int) -> DataFrame:
     """Verified links (a, b) of digests that together span every component."""
     spark = narrow.sparkSession
-    wanted = small(materialize(members.select("digest").distinct(), "paragraph-wanted"))
+    wanted = materialize(members.select("digest").distinct(), "paragraph-wanted")
     owners = materialize(
         units.select("digest", "doc", "tid").join(wanted, "digest", "left_semi")
         .groupBy("digest").agg(F.min(F.struct("doc", "tid")).alias("o")).select(F.col("o.doc").alias("doc"), F.col("o.tid").alias("tid")).distinct(),
         "paragraph-owners",
     )
     sets = materialize(
-        narrow.join(small(owners), ["doc", "tid"], "left_semi").select("text").mapInArrow(_sets(least), "digest long, tokens array<long>")
+        narrow.join(owners, ["doc", "tid"], "left_semi").select("text").mapInArrow(_sets(least), "digest long, tokens array<long>")
         .join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", F.array_distinct("tokens").alias("tokens")),
         "paragraph-sets",
     )
     keyed = materialize(
-        members.join(_prefixes(sets, percent), "digest").select(F.xxhash64("band", "token").alias("key"), "digest", "central").distinct(),
+        members.join(_prefixes(sets, percent), "digest").select(F.xxhash64("band", "token").alias("key"), "digest", "n", "pos", "central").distinct(),
         "paragraph-keys",
     )
+    release(spark, members)
     leaders = materialize(
         keyed.groupBy("key")
-        .agg(F.max(F.struct("central", "digest")).alias("top"), F.count("*").alias("size"))
+        .agg(F.max(F.struct("central", "digest", "n", "pos")).alias("top"), F.count("*").alias("size"))
         .where("size > 1")
-        .select("key", F.col("top.digest").alias("lead")),
+        .select("key", F.col("top.digest").alias("digest"), "top.n", "top.pos"),
         "paragraph-leaders",
     )
-    led = materialize(keyed.select("key", "digest").join(small(leaders), "key"), "paragraph-led")
-    first = led.where("digest <> lead").select(F.least("digest", "lead").alias("a"), F.greatest("digest", "lead").alias("b")).distinct()
-    starred = materialize(_verified(first, sets, percent), "paragraph-links")
+    first = keyed.alias("l").join(leaders.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.digest") != F.col("r.digest")) & _near(percent))
+    starred = materialize(_verified(_pairs(first), sets, percent), "paragraph-links")
     labels = materialize(connected_components(starred), "paragraph-labels")
-    node = small(labels.select(F.col("node").alias("digest"), "component"))
-    lead = small(labels.select(F.col("node").alias("lead"), F.col("component").alias("lead_component")))
+    node = labels.select(F.col("node").alias("digest"), "component")
+    lead = (
+        leaders.select("key", "digest").join(node, "digest", "left")
+        .select("key", F.col("digest").alias("lead"), F.coalesce("component", "digest").alias("lead_label"))
+    )
     owner = materialize(
-        led.join(node, "digest", "left").join(lead, "lead", "left").select(
-            "key", "digest", F.coalesce("component", "digest").alias("label"), F.coalesce("lead_component", "lead").alias("lead_label")
-        ),
+        keyed.select("key", "digest", "n", "pos").join(lead, "key").join(node, "digest", "left")
+        .select("key", "digest", "n", "pos", F.coalesce("component", "digest").alias("label"), "lead", "lead_label"),
         "paragraph-labelled",
     )
+    release(spark, keyed)
     # The leader itself has been compared with the whole group.
-    strays = materialize(owner.where("label <> lead_label"), "paragraph-strays")
-    others = owner.join(small(leaders.withColumnRenamed("lead", "digest")), ["key", "digest"], "left_anti")
-    second = (
-        strays.alias("l")
-        .join(others.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")))
-        .select(F.least("l.digest", "r.digest").alias("a"), F.greatest("l.digest", "r.digest").alias("b"))
-        .distinct()
+    strays = materialize(owner.where("label <> lead_label").drop("lead", "lead_label"), "paragraph-strays")
+    others = owner.where("digest <> lead").drop("lead", "lead_label")
+    second = strays.alias("l").join(
+        others.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.label") != F.col("r.label")) & _near(percent)
     )
-    rest = materialize(_verified(second, sets, percent), "paragraph-links")
-    release(spark, members, keyed, led, owner, strays)
+    rest = materialize(_verified(_pairs(second), sets, percent), "paragraph-links")
+    release(spark, owner, strays)
     return starred.unionByName(rest)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.select(F.least("l.digest", "r.digest").alias("a"), F.greatest("l.digest", "r.digest").alias("b")).distinct()
