@@ -1,4 +1,9 @@
-"""Shared helpers: tables in the shared checkpoint folder and size-checked broadcasts."""
+"""Shared helpers: tables in the shared checkpoint folder.
+
+Joins carry no broadcast hints: written tables have their true size in bytes, so Spark
+broadcasts a side below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles, splitting
+skewed partitions, beyond it.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +11,16 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: Rows up to which a table of a few fixed-width columns may be broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where none is configured."""
+    """The folder that all executors share; a local one only in local mode."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "barstrata.shared.dir", None
     )
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="barstrata-")
         spark.conf.set("barstrata.shared.dir", path)
     return path.rstrip("/")
@@ -47,12 +50,3 @@ def release(spark: SparkSession, *tables: DataFrame) -> None:
         for parent in {f.rpartition("/")[0] for f in table.inputFiles()}:
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is.
-
-    ``df`` should be a materialized, narrow table: its rows are counted here.
-    Without the hint the join is an ordinary shuffled one.
-    """
-    return F.broadcast(df) if df.count() <= rows else df

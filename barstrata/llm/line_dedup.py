@@ -3,22 +3,28 @@
 Every document is a sequence of line ids. Ranks at depth h order all suffixes by
 their first h lines; two neighbouring ranks make the ranks at depth 2h. Suffixes of
 one rank are an interval of the suffix array whose longest common prefix is at least
-h lines: a run of h lines that repeats. A suffix whose rank is alone has left every
-interval and is dropped, so the rounds shrink to the repeated runs and end after
-log2 of the longest one. Of each interval the first place in (id, line) order stays,
-and the lines of all later copies are deleted.
+h lines. A suffix whose rank is alone has left every interval and is dropped, so the
+rounds shrink to the repeated runs and end after log2 of the longest one.
+
+A place's run is the longest common prefix that it has with any earlier place in
+(id, line) order. Doubling gives its power of two; the intervals between h and 2h are
+then halved: a part of an interval that shares the longer prefix goes up, and of each
+part the first place alone goes down, as the other places have at least that length.
+A run inside the one that starts before it is not maximal and left out. Maximal runs
+are copies of their first places, and their lines are deleted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialize, small
+from .common import materialize, release
 
 #: A repeated single line counts from this many words on; two lines and more always.
 MIN_WORDS = 5
 _PLACE = ["id", "tid", "k"]
+_RUN = "id long, tid long, k int, length int, first struct<id:long,tid:long,k:int>"
 
 
 def _lines(text: Column) -> Column:
@@ -46,12 +52,16 @@ def _ranked(classes: DataFrame, order: list[str], label: str) -> DataFrame:
     return materialize(classes.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()), label)
 
 
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(lines, copies): all lines, and the starts of later copies at every depth.
+def _place() -> Column:
+    return F.struct(*_PLACE)
+
+
+def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
+    """(lines, ranks): all lines, and for the depths 1, 2, 4, ... the repeated suffixes.
 
     ``lines`` has id, tid, k (number among the non-blank lines), pos (line number),
-    words. ``copies`` has id, tid, k, depth: the ``depth`` lines from k on also
-    stand at an earlier place.
+    words. ``ranks[j]`` has id, tid, k, rank, first: the suffixes whose first 2 ** j
+    lines stand at two places or more, with their rank and the first of these places.
     """
     ident, tid = _keys(docs, id_col, text_col)
     lines = materialize(
@@ -61,109 +71,190 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         ),
         "lines",
     )
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
+    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
     classes = _ranked(repeated, ["h1", "h2"], "line-classes")
-    now = materialize(
-        lines.join(small(classes.select("h1", "h2", "rank", "first")), ["h1", "h2"]).select(*_PLACE, "rank", "first").distinct(),
-        "line-ranks",
-    )
-    depth, copies = 1, None
+    now = materialize(lines.join(classes.select("h1", "h2", "rank", "first"), ["h1", "h2"]).select(*_PLACE, "rank", "first").distinct(), "line-ranks")
+    depth, ranks = 1, []
     while not now.isEmpty():
-        later = now.where(F.struct(*_PLACE) > F.col("first")).select(*_PLACE, F.lit(depth).alias("depth"))
-        copies = later if copies is None else copies.unionByName(later)
+        ranks.append(now)
         left = now.select(*_PLACE, F.col("rank").alias("a"))
         right = now.select("id", "tid", (F.col("k") - depth).alias("k"), F.col("rank").alias("b"))
         pairs = materialize(left.join(right, _PLACE), "line-pairs")
-        found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE)).alias("first")).where("n > 1")
-        ranks = _ranked(found, ["a", "b"], "line-classes")
-        now = materialize(
-            pairs.join(small(ranks.select("a", "b", "rank", "first")), ["a", "b"]).select(*_PLACE, "rank", "first"),
-            "line-ranks",
-        )
+        found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
+        classes = _ranked(found, ["a", "b"], "line-classes")
+        now = materialize(pairs.join(classes.select("a", "b", "rank", "first"), ["a", "b"]).select(*_PLACE, "rank", "first"), "line-ranks")
+        release(docs.sparkSession, pairs)
         depth *= 2
-    if copies is None:
-        copies = lines.where("false").select(*_PLACE, F.lit(1).alias("depth"))
-    return lines, copies
+    return lines, ranks
+
 
+def _later(ranks: DataFrame, depth: int) -> DataFrame:
+    """Places whose first ``depth`` lines also stand at an earlier place, and the first such place."""
+    return ranks.where(_place() > F.col("first")).select(*_PLACE, F.lit(depth).alias("length"), "first")
 
-def deleted_lines(lines: DataFrame, copies: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(id, tid, pos): the lines inside later copies.
 
-    Longer runs are unions of runs of two, so depths 1 and 2 mark every line.
+def _halved(ranks: list[DataFrame]) -> DataFrame | None:
+    """Lengths between powers of two: id, tid, k, length, first, of which a place's largest counts.
+
+    A part is (depth, low, head): the places of the interval of ``low`` lines that
+    starts at ``head``. All depths are halved together, one join and one count a round.
     """
-    ones = copies.where("depth = 1").select(*_PLACE, F.lit(False).alias("long"))
-    twos = copies.where("depth = 2").select(
-        "id", "tid", F.explode(F.array("k", F.col("k") + 1)).alias("k"), F.lit(True).alias("long")
+    parts = None
+    for j in range(1, len(ranks)):
+        # Later copies of twice the depth have at least that length.
+        members = ranks[j]
+        if j + 1 < len(ranks):
+            members = members.join(_later(ranks[j + 1], 0).select(*_PLACE), _PLACE, "left_anti")
+        part = members.select(F.lit(1 << j).alias("depth"), F.lit(1 << j).alias("low"), F.col("first").alias("head"), *_PLACE)
+        parts = part if parts is None else parts.unionByName(part)
+    if parts is None:
+        return None
+    known = None
+    for j, table in enumerate(ranks):
+        one = table.select(F.lit(1 << j).alias("depth"), "id", "tid", F.col("k").alias("at"), F.col("rank").alias("next"))
+        known = one if known is None else known.unionByName(one)
+    key, found = ["depth", "low", "head"], None
+    parts = materialize(parts, "line-parts")
+    step = 1 << (len(ranks) - 2)
+    while step:
+        # A part of depth h has steps h / 2, h / 4, ..., 1.
+        due = parts.where(F.col("depth") >= 2 * step).withColumn("mid", F.col("low") + step)
+        due = due.withColumn("at", F.col("k") + F.col("mid") - F.col("depth"))
+        told = materialize(due.join(known, ["depth", "id", "tid", "at"], "left").drop("at"), "line-halves")
+        groups = (
+            told.where("next is not null").groupBy(*key, "next")
+            .agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").drop("n")
+        )
+        longer = materialize(told.where("next is not null").join(groups, [*key, "next"]), "line-longer")
+        rest = longer.where(_place() > F.col("first"))
+        hits = rest.select(*_PLACE, F.col("mid").alias("length"), "first")
+        found = hits if found is None else found.unionByName(hits)
+        if step == 1:
+            break
+        up = longer.select("depth", F.col("mid").alias("low"), F.col("first").alias("head"), *_PLACE)
+        down = told.drop("next", "mid").join(rest.select(*key, *_PLACE), [*key, *_PLACE], "left_anti")
+        later = parts.where(F.col("depth") < 2 * step)
+        new = materialize(up.unionByName(down).unionByName(later), "line-parts")
+        release(parts.sparkSession, parts, told)
+        parts, step = new, step // 2
+    return found
+
+
+def maximal_runs(ranks: list[DataFrame], docs: DataFrame) -> DataFrame:
+    """(id, tid, k, length, first): the maximal runs that also stand at an earlier place.
+
+    ``length`` lines from k on stand at ``first`` and on, the earliest such place; no
+    longer run from k does, and the run does not lie in one that starts before it.
+    """
+    if not ranks:
+        return docs.sparkSession.createDataFrame([], _RUN)
+    copies = None
+    for j, table in enumerate(ranks):
+        one = _later(table, 1 << j)
+        copies = one if copies is None else copies.unionByName(one)
+    if (between := _halved(ranks)) is not None:
+        copies = copies.unionByName(between)
+    best = copies.groupBy(*_PLACE).agg(F.max_by("first", "length").alias("first"), F.max("length").alias("length"))
+    before = F.max(F.col("k") + F.col("length")).over(Window.partitionBy("id", "tid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1))
+    ends = best.withColumn("before", F.coalesce(before, F.lit(0)))
+    return ends.where(F.col("k") + F.col("length") > F.col("before")).select(*_PLACE, "length", "first")
+
+
+def deleted_lines(lines: DataFrame, runs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, tid, pos): the lines of runs of two lines or more, and single ones of ``min_words`` words."""
+    # Each run marks the lines that no run before it has marked.
+    series = Window.partitionBy("id", "tid").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    end = F.col("k") + F.col("length")
+    until = F.coalesce(F.max(F.when(F.col("length") > 1, end)).over(series), F.lit(0))
+    marks = runs.withColumn("from", F.greatest("k", until)).select(
+        "id", "tid", F.explode(F.sequence(F.col("from"), end - 1)).alias("k"), (F.col("length") > 1).alias("long")
     )
-    marks = ones.unionByName(twos).groupBy(*_PLACE).agg(F.max("long").alias("long"))
     return lines.join(marks, _PLACE).where(F.col("long") | (F.col("words") >= min_words)).select("id", "tid", "pos")
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated line runs cut out of the text.
 
-    Adds n_lines (non-blank lines), n_removed and longest_run (the largest power of
-    two that a deleted run's common prefix reaches; 0 if none). A run is two lines
-    or more, or one line of at least ``min_words`` words; blank lines neither part
-    runs nor are deleted. A null text stays null. Texts that lose every line keep
-    their blank lines. Rows that repeat id and text are one document and are cut
-    alike. An empty table gives no rows. Input columns with the added names are
-    replaced.
+    Adds n_lines (non-blank lines), n_removed, longest_run (lines of the longest
+    maximal run, 0 if none) and runs (text: ``k+length<id:k`` of each maximal run,
+    in order, with the id and line of its first place; empty if none). A run counts
+    from two lines on, or as one line of at least ``min_words`` words; shorter ones
+    are told but not deleted. Blank lines neither part runs nor are deleted. A null
+    text stays null. Texts that lose every line keep their blank lines. Rows that
+    repeat id and text are one document and are cut alike; a null id comes before
+    all others. An empty table gives no rows. Input columns with the added names
+    are replaced; all others are kept.
     """
-    docs = docs.drop("n_lines", "n_removed", "longest_run")
-    lines, copies = repeated_runs(docs, id_col, text_col)
-    gone = materialize(deleted_lines(lines, copies, min_words), "lines-gone")
-    # One row of a few numbers for each document that loses lines.
-    longest = copies.groupBy("id", "tid").agg(F.max("depth").alias("__depth"))
-    cuts = gone.groupBy("id", "tid").agg(F.collect_set("pos").alias("__gone")).join(longest, ["id", "tid"])
-    if gone.count() <= BROADCAST_ROWS:
-        cuts = F.broadcast(cuts)
-    ident, tid = _keys(docs, id_col, text_col)
-    cuts = cuts.withColumnsRenamed({"id": "__id", "tid": "__tid"})
-    told = docs.withColumns({"__k1": ident, "__k2": tid}).join(cuts, (F.col("__k1") == F.col("__id")) & (F.col("__k2") == F.col("__tid")), "left")
-    kept = F.filter(
-        F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i)
+    docs = docs.drop("n_lines", "n_removed", "longest_run", "runs")
+    lines, ranks = suffix_ranks(docs, id_col, text_col)
+    runs = materialize(maximal_runs(ranks, docs), "line-runs")
+    gone = deleted_lines(lines, runs, min_words)
+    # A few numbers for each document that has runs.
+    origin = F.when(F.col("first.id") == -(2**63), "null").otherwise(F.col("first.id").cast("string"))
+    item = F.struct("k", F.concat("k", F.lit("+"), "length", F.lit("<"), origin, F.lit(":"), "first.k").alias("told"))
+    told = runs.groupBy("id", "tid").agg(
+        F.max("length").alias("__longest"), F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["told"]), " ").alias("__runs")
+    )
+    cuts = materialize(
+        told.join(gone.groupBy("id", "tid").agg(F.collect_set("pos").alias("__gone")), ["id", "tid"], "left")
+        .withColumnsRenamed({"id": "__id", "tid": "__tid"}),
+        "line-cuts",
     )
-    return told.select(
+    ident, tid = _keys(docs, id_col, text_col)
+    keyed = docs.withColumns({"__k1": ident, "__k2": tid})
+    all_docs = keyed.join(cuts, (F.col("__k1") == F.col("__id")) & (F.col("__k2") == F.col("__tid")), "left")
+    kept = F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("__gone"), i))
+    return all_docs.select(
         *[
-            F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col(c)
+            F.when(F.col("__gone").isNull(), F.col(c)).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else keyed[c]
             for c in docs.columns
         ],
         F.size(_lines(F.col(text_col))).cast("long").alias("n_lines"),
         F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("__depth", F.lit(0)).cast("long").alias("longest_run"),
+        F.coalesce("__longest", F.lit(0)).cast("long").alias("longest_run"),
+        F.coalesce("__runs", F.lit("")).alias("runs"),
     )
 
 
-#: DuckDB SQL of the query's columns.
+#: DuckDB SQL of the query's columns, from all pairs of equal lines.
 SQL = rf"""
 WITH s AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS x FROM documents),
 l AS (SELECT doc_id, unnest(x) AS line, unnest(range(1, len(x) + 1)) AS pos FROM s),
 b AS (
   SELECT doc_id, line, pos, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS words,
-    row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS k
+    row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS k
   FROM l WHERE trim(line) <> ''
 ),
-p AS (SELECT *, lead(line) OVER (PARTITION BY doc_id ORDER BY k) AS line2 FROM b),
-r AS (
-  SELECT doc_id, k, row_number() OVER (PARTITION BY line ORDER BY doc_id, k) > 1 AND words >= {MIN_WORDS} AS one,
-    line2 IS NOT NULL AND row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, k) > 1 AS two
-  FROM p
+e AS (
+  SELECT p.doc_id, p.k, q.doc_id AS d, p.k - q.k AS lag
+  FROM b p JOIN b q ON p.line = q.line AND (q.doc_id < p.doc_id OR q.doc_id = p.doc_id AND q.k < p.k)
+),
+i AS (SELECT *, k - row_number() OVER (PARTITION BY doc_id, d, lag ORDER BY k) AS island FROM e),
+x AS (SELECT *, max(k) OVER (PARTITION BY doc_id, d, lag, island) - k + 1 AS length FROM i),
+f AS (SELECT doc_id, k, max(length) AS length, arg_min((d, k - lag), (-length, d, k - lag)) AS first FROM x GROUP BY doc_id, k),
+m AS (
+  SELECT * FROM (SELECT *, max(k + length) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM f)
+  WHERE before IS NULL OR k + length > before
 ),
 g AS (
-  SELECT doc_id, k FROM r WHERE one OR two
-  UNION SELECT doc_id, k + 1 FROM r WHERE two
+  SELECT DISTINCT b.doc_id, b.k FROM b JOIN m ON m.doc_id = b.doc_id AND b.k >= m.k AND b.k < m.k + m.length
+  WHERE m.length > 1 OR b.words >= {MIN_WORDS}
 ),
 n AS (
   SELECT b.doc_id, count(*) AS n_lines, count(g.k) AS n_removed
   FROM b LEFT JOIN g ON b.doc_id = g.doc_id AND b.k = g.k GROUP BY b.doc_id
 ),
+r AS (
+  SELECT doc_id, max(length) AS longest_run, string_agg(k || '+' || length || '<' || first[1] || ':' || first[2], ' ' ORDER BY k) AS runs
+  FROM m GROUP BY doc_id
+),
 t AS (
   SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.pos) AS text
   FROM l LEFT JOIN b ON l.doc_id = b.doc_id AND l.pos = b.pos LEFT JOIN g ON b.doc_id = g.doc_id AND b.k = g.k
   WHERE g.k IS NULL GROUP BY l.doc_id
 )
 SELECT d.doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  coalesce(longest_run, 0)::BIGINT AS longest_run, coalesce(runs, '') AS runs,
   CASE WHEN d.text IS NOT NULL THEN coalesce(t.text, '') END AS text
-FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN t ON d.doc_id = t.doc_id
 """

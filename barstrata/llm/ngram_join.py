@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small
+from .common import materialize, release
 from .components import connected_components
 from .kernels import mix, shingle_sets
 
@@ -193,7 +193,7 @@ def ngram_jaccard_components(
         hits.groupBy("sig1", "sig2").agg(F.min("id").alias("id")).select("id"), "ngram-survivors"
     )
 
-    whole = narrow.join(small(survivors), "id", "left_semi")
+    whole = narrow.join(survivors, "id", "left_semi")
     sets = materialize(
         whole.mapInArrow(_sets(width, percent), "id long, n long, tokens array<long>, head_c array<long>"),
         "ngram-sets",
@@ -210,9 +210,9 @@ def ngram_jaccard_components(
     labels = materialize(connected_components(links), "ngram-labels")
     named = (
         base.select("id", "n", "sig1", "sig2")
-        .join(small(classes), ["sig1", "sig2"], "left")
+        .join(classes, ["sig1", "sig2"], "left")
         .withColumn("node", F.when(F.col("n") > 0, F.coalesce("rep", "id")).otherwise(F.col("id")))
-        .join(small(labels).select("node", "component"), "node", "left")
+        .join(labels.select("node", "component"), "node", "left")
         .select(
             F.col("id").alias("doc_id"),
             F.col("n").alias("n_shingles"),
@@ -290,12 +290,12 @@ def keep_one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: st
     gone = materialize(
         found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "ngram-gone"
     )
-    kept = docs.join(small(gone), docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
     repeats = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
     if repeats.isEmpty():
         return kept
     # Only texts of repeated ids are compared; the others pass by.
     again = materialize(repeats.select(F.col("doc_id").alias("__again")), "ngram-again")
     on = kept[id_col].cast("long") == F.col("__again")
-    alone = kept.join(small(again), on, "left_anti")
-    return alone.unionByName(kept.join(small(again), on, "left_semi").dropDuplicates([id_col]))
+    alone = kept.join(again, on, "left_anti")
+    return alone.unionByName(kept.join(again, on, "left_semi").dropDuplicates([id_col]))

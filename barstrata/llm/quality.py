@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
+from .common import materialize
 from .kernels import NOT_ALNUM, SPACE, chain, slices, word_hashes
 from .mixing import uniform
 
@@ -53,7 +53,7 @@ def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
     """log(target / raw) of every bucket, with one count added to each."""
-    told = docs.join(small(target_ids), docs["id"] == target_ids["__target"], "left")
+    told = docs.join(target_ids, docs["id"] == target_ids["__target"], "left")
     counts = (
         told.select("text", F.col("__target").isNotNull().alias("target"))
         .mapInPandas(_counted, "bucket int, raw long, target long")

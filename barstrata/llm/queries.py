@@ -52,7 +52,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import line_dedup
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup(docs).select("doc_id", "n_lines", "n_removed", "longest_run", "runs", "text")
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:

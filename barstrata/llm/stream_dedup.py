@@ -16,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_path, small
+from .common import materialize, shared_path
 
 #: Disk-backed state whose commits write changes only; without preallocated files
 #: the many small stores of a wide shuffle take little disk.
@@ -118,7 +118,7 @@ def stream_dedup(
         read_state(spark, state_dir).where("members > 1"), "dedup-groups"
     )
     rows = _located(spark.read.parquet(path), id_col, text_col).withColumn("digest", digest(F.col("norm")))
-    held = small(groups)
+    held = groups
 
     # Hits: the rows of groups, against the bytes at their group's locator.
     hits = materialize(
@@ -133,11 +133,11 @@ def stream_dedup(
     )
     members = groups.select("digest", "keep_id", F.col("file").alias("kept_file"), F.col("row").alias("kept_row"), "members")
     plain = rows.select("id", "file", "row", "digest", sha256_hex(F.col("norm")).alias("text_sha256"))
-    out = plain.join(small(members), "digest", "left")
+    out = plain.join(members, "digest", "left")
     if differ.isEmpty():
         return _result(out)
     # Different bytes under one digest: these rows are grouped by their bytes.
-    odd = hits.join(small(differ), "digest", "left_semi")
+    odd = hits.join(differ, "digest", "left_semi")
     by_bytes = materialize(
         odd.groupBy("digest", sha256_hex(F.col("norm")).alias("text_sha256"), "norm")
         .agg(F.max(F.struct("id", "file", "row")).alias("k"), F.count("*").alias("members"))
@@ -155,7 +155,7 @@ def stream_dedup(
         F.col("k.row").alias("kept_row"),
         "members",
     )
-    return _result(out.join(small(differ), "digest", "left_anti").select(*resolved.columns).unionByName(resolved))
+    return _result(out.join(differ, "digest", "left_anti").select(*resolved.columns).unionByName(resolved))
 
 
 def _result(rows: DataFrame) -> DataFrame:

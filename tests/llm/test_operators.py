@@ -279,13 +279,17 @@ def test_line_dedup_equals_its_sql(spark, tmp_path):
     rng = np.random.default_rng(11)
     pool = [" ".join(words(n, n)) for n in (1, 2, 3, 5, 6, 8)] + [""]
     rows = awkward()[:-1] + [(100 + i, "\n".join(rng.choice(pool, rng.integers(1, 12))), "s") for i in range(60)]
+    # Copies that part after 1, 2, ... lines, a line many times over, and nested runs.
+    run = [f"l{i} of a run" for i in range(40)]
+    rows += [(200 + i, "\n".join(run[i % 7 : 3 + 2 * i] + [f"end {i}"]), "s") for i in range(18)]
+    rows += [(300, "\n".join(["again"] * 23), "s"), (301, "\n".join(["again"] * 9 + run[3:11] + ["again"] * 4), "s")]
     docs = frame(spark, rows)
     docs.select("doc_id", "text").toPandas().to_parquet(tmp_path / "d.parquet")
     db = duckdb.connect()
     db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d.parquet'")
-    want = {r[0]: r[1:] for r in db.sql(SQL).fetchall()}
+    want = {r[0]: r[1:] for r in db.sql(f"SELECT doc_id, n_lines, n_removed, longest_run, runs, text FROM ({SQL})").fetchall()}
     got = line_dedup(docs)
-    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in got.collect()} == want
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.longest_run, r.runs, r.text) for r in got.collect()} == want
     assert got.columns[: len(docs.columns)] == docs.columns
 
 
@@ -295,7 +299,7 @@ def test_line_dedup_finds_long_runs(spark):
     run = [f"line {i} of the long run here" for i in range(21)]
     rows = [(1, "\n".join(["own first line of words x", *run]), "s"), (2, "\n".join([*run, "own last line of words y"]), "s"), (2, None, "s"), (None, "\n".join(run[:3]), "s")]
     got = {(r.doc_id, r.text is None): r for r in line_dedup(frame(spark, rows)).collect()}
-    assert got[2, False].n_removed == 21 and got[2, False].longest_run == 16 and got[2, False].text == "own last line of words y"
+    assert got[2, False].n_removed == 21 and got[2, False].longest_run == 21 and got[2, False].runs == "0+21<1:1" and got[2, False].text == "own last line of words y"
     assert got[1, False].n_removed == 3  # the null id comes first
     assert got[None, False].n_removed == 0 and got[2, True].text is None
     assert line_dedup(frame(spark, [])).count() == 0
