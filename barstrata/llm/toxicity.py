@@ -1,18 +1,20 @@
 """Toxicity: a logistic classifier of hashed words with a counterfactual penalty.
 
 Training texts are paired with copies whose identity terms are swapped for others of
-the same group, and a template sentence that names a group is added to neutral ones.
+the same group; a text without such terms gets a neutral sentence that names a group.
 The loss is the labels' cross-entropy, an L2 penalty, and the squared difference of
 the logits of a text and its counterfactual: naming a group must not move the score.
 Words count by the evidence they bring: a feature's value is the z-score of its log
 odds between the classes, and features without evidence for toxicity are left out, so
-names and rare words of clean texts cannot carry a score. The model is fitted on a
+names and rare words of clean texts cannot carry a score; identity terms always count,
+and the penalty decides on their weight. The model is fitted on a
 bounded sample of labelled rows; every text is scored whole.
 """
 
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +30,7 @@ BITS = 20
 #: Labelled rows of each class that the model is fitted on, by least hash of the id.
 TRAIN_ROWS_PER_CLASS = 6000
 #: Weight of the counterfactual penalty and of L2.
-FAIRNESS, RIDGE = 1.0, 1e-3
+FAIRNESS, RIDGE = 10.0, 1e-3
 STEPS = 250
 #: Least z-score, and toxic training rows, of a feature that counts.
 EVIDENCE, SEEN = 1.3, 3
@@ -60,10 +62,18 @@ def swap_terms(text: str, turn: int = 1) -> str:
     return _TERM.sub(other, text)
 
 
-def _mention(text: str, k: int) -> str:
-    """``text`` with a neutral sentence that names one term, chosen by ``k``."""
+def counterfactual(text: str, key: int) -> tuple[str, str]:
+    """A sentence that names an identity term, and its twin with another of the same line.
+
+    A text that names none is given a neutral sentence that does, the same on both
+    sides but for the term, which may be any other, so that every term is a feature
+    of texts of both labels.
+    """
+    if _TERM.search(text):
+        return text, swap_terms(text, 1 + key % 3)
     terms = sorted(_GROUP)
-    return f"{text} They are {terms[k % len(terms)]}."
+    at, step = key % len(terms), 1 + key // len(terms) % (len(terms) - 1)
+    return tuple(f"{text} They are {terms[k % len(terms)]}." for k in (at, at + step))
 
 
 def word_features(texts: list[str | None], bits: int = BITS) -> Iterator[np.ndarray]:
@@ -76,17 +86,22 @@ def word_features(texts: list[str | None], bits: int = BITS) -> Iterator[np.ndar
             yield np.unique(ids[a:b])
 
 
-def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) for r in rows])
-    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
+def identity_features(bits: int = BITS) -> np.ndarray:
+    """The feature numbers of the identity terms."""
+    return np.unique(np.concatenate(list(word_features(sorted(_GROUP), bits))))
 
 
-def _logits(w: np.ndarray, bias: float, ids: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
-    return np.bincount(owner, weights=w[ids], minlength=n) + bias
+def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    lengths = np.array([len(r) for r in rows], np.int64)
+    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
 
 
 def evidence(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """Each feature's value: the z-score of its log odds, 0 without evidence."""
+    """Each feature's value: the z-score of its log odds, 0 without evidence.
+
+    Identity terms have a value of 1 at least: the penalty decides on them, not the
+    chance of the sample.
+    """
     ids, owner = _flat(features)
     toxic = labels[owner] > 0
     seen = np.bincount(ids[toxic], minlength=1 << bits)
@@ -95,46 +110,65 @@ def evidence(features: list[np.ndarray], labels: np.ndarray, bits: int = BITS) -
     prior = rows / max(1, others)
     odds = np.log((seen + prior) / rows) - np.log((other + 1) / others)
     z = odds / np.sqrt(1 / (seen + prior + 0.1) + 1 / (other + 1))
-    return np.where((z > EVIDENCE) & (seen >= SEEN), z, 0.0)
-
-
-def fit(
-    features: list[np.ndarray],
-    twins: list[np.ndarray],
-    labels: np.ndarray,
-    row_weights: np.ndarray,
-    bits: int = BITS,
-    fairness: float = FAIRNESS,
-    ridge: float = RIDGE,
-    steps: int = STEPS,
-) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch Adam; ``twins`` are the counterfactuals' features."""
-    n = len(labels)
-    used, inverse = np.unique(np.concatenate([*features, *twins]), return_inverse=True)
-    cut = sum(map(len, features))
-    _, owner = _flat(features)
-    _, twin_owner = _flat(twins)
-    ids, twin_ids = inverse[:cut], inverse[cut:]
-    values = evidence(features, labels, bits)[used]
-    w, bias, share = np.zeros(len(used)), 0.0, row_weights / row_weights.sum()
+    values = np.where((z > EVIDENCE) & (seen >= SEEN), z, 0.0)
+    terms = identity_features(bits)
+    values[terms] = np.maximum(values[terms], 1.0)
+    return values
+
+
+class Objective:
+    """The loss of weights over sparse rows: cross-entropy, counterfactual gap and L2.
+
+    ``lost`` and ``gained`` are the features that a row's twin lacks and has besides.
+    Features of value 0 cannot move a score and are left out.
+    """
+
+    def __init__(self, features, lost, gained, labels, row_weights, fairness: float = FAIRNESS, ridge: float = RIDGE, bits: int = BITS):
+        self.n, self.labels, self.fairness, self.ridge = len(labels), labels, fairness, ridge
+        self.share = row_weights / row_weights.sum()
+        values = evidence(features, labels, bits)
+        self.used = np.flatnonzero(values)
+        self.values = values[self.used]
+        self.rows, self.lost, self.gained = (self._kept(x) for x in (features, lost, gained))
+
+    def _kept(self, rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        ids, owner = _flat(rows)
+        at = np.searchsorted(self.used, ids).clip(max=len(self.used) - 1)
+        kept = self.used[at] == ids
+        return at[kept], owner[kept]
+
+    def _sum(self, v: np.ndarray, part: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.bincount(part[1], weights=v[part[0]], minlength=self.n)
+
+    def _back(self, g: np.ndarray, part: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        return np.bincount(part[0], weights=g[part[1]], minlength=len(self.used))
+
+    def __call__(self, w: np.ndarray, bias: float) -> tuple[float, np.ndarray, float]:
+        """Loss, and its gradient by weights and bias."""
+        v = w * self.values
+        z = self._sum(v, self.rows) + bias
+        gap = self._sum(v, self.lost) - self._sum(v, self.gained)
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        loss = (self.share * (np.logaddexp(0, z) - self.labels * z)).sum() + self.fairness * (self.share * gap * gap).sum() + self.ridge / 2 * (w * w).sum()
+        pull, push = self.share * (p - self.labels), 2 * self.fairness * self.share * gap
+        g = (self._back(pull, self.rows) + self._back(push, self.lost) - self._back(push, self.gained)) * self.values + self.ridge * w
+        return float(loss), g, float(pull.sum())
+
+
+def fit(features, lost, gained, labels, row_weights, bits: int = BITS, fairness: float = FAIRNESS, ridge: float = RIDGE, steps: int = STEPS) -> tuple[np.ndarray, float]:
+    """Weights of all features and the bias, by full-batch Adam."""
+    goal = Objective(features, lost, gained, labels, row_weights, fairness, ridge, bits)
+    w, bias = np.zeros(len(goal.used)), 0.0
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, steps + 1):
-        z = _logits(w * values, bias, ids, owner, n)
-        gap = z - _logits(w * values, bias, twin_ids, twin_owner, n)
-        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        pull = share * (p - labels)
-        push = 2 * fairness * share * gap
-        g = np.bincount(ids, weights=(pull + push)[owner], minlength=len(used))
-        g -= np.bincount(twin_ids, weights=push[twin_owner], minlength=len(used))
-        g = g * values + ridge * w
-        gb = pull.sum()
+        _, g, gb = goal(w, bias)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate = 0.1 / (1 - 0.9**step)
         w = w - rate * m / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         bias = bias - rate * mb / (np.sqrt(vb / (1 - 0.999**step)) + 1e-8)
     full = np.zeros(1 << bits, np.float32)
-    full[used] = w * values
+    full[goal.used] = w * goal.values
     return full, float(bias)
 
 
@@ -143,27 +177,41 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(id_col.cast("string").cast("binary")) % 4 == 2
 
 
-def _train(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.sort_values(["id", "text"], kind="stable", na_position="first")
-    texts = [t or "" for t in frame["text"]]
-    labels = frame["toxic"].to_numpy(float)
-    named = [bool(_TERM.search(t)) for t in texts]
-    base = [t if seen else _mention(t, k) for k, (t, seen) in enumerate(zip(texts, named, strict=True))]
-    features = list(word_features(texts))
-    twins = list(word_features([swap_terms(t, 1 + k % 3) for k, t in enumerate(base)]))
-    weights = frame["weight"].to_numpy(float)
-    if len(set(labels)) < 2:
-        w, bias = np.zeros(1 << BITS, np.float32), float(-4.0 if not labels.any() else 4.0)
-    else:
-        w, bias = fit(features, twins, labels, weights)
-    return pd.DataFrame({"weights": [w.tobytes()], "bias": [bias]})
+def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each training row's sparse features, and what its twin loses and gains."""
+    for frame in frames:
+        pairs = [counterfactual(t or "", zlib.crc32(str(i).encode())) for i, t in zip(frame["id"], frame["text"], strict=True)]
+        ours, twins = list(word_features([a for a, _ in pairs])), list(word_features([b for _, b in pairs]))
+        yield pd.DataFrame(
+            {
+                "id": frame["id"], "toxic": frame["toxic"], "weight": frame["weight"], "ids": ours,
+                "lost": [np.setdiff1d(a, b) for a, b in zip(ours, twins, strict=True)],
+                "gained": [np.setdiff1d(b, a) for a, b in zip(ours, twins, strict=True)],
+            }
+        )
+
+
+def _train(fairness: float):
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("id")
+        labels = frame["toxic"].to_numpy(float)
+        if len(set(labels)) < 2:
+            w, bias = np.zeros(1 << BITS, np.float32), float(-4.0 if not labels.any() else 4.0)
+        else:
+            w, bias = fit(*(list(frame[c]) for c in ("ids", "lost", "gained")), labels, frame["weight"].to_numpy(float), fairness=fairness)
+        return pd.DataFrame({"weights": [w.tobytes()], "bias": [bias]})
+
+    return run
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, float]:
+def train(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fairness: float = FAIRNESS
+) -> tuple[np.ndarray, float]:
     """Fit on at most ``TRAIN_ROWS_PER_CLASS`` labelled rows of each class.
 
+    Texts are hashed where they lie; the one task that fits gets feature numbers only.
     Rows whose label or id is null are not used; of an id's several labels the
-    largest counts. Rows are weighted so that each class weighs what it does among
+    largest counts, of its several texts the least. Rows are weighted so that each class weighs what it does among
     all labelled rows. Without labelled rows the model scores everything 0.5, with
     one class alone near that class.
     """
@@ -190,24 +238,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(
         sample, F.col("id") == F.col("__id")
     )
-    texts = rows.select("id", "text", "toxic", "weight").dropDuplicates(["id"])
-    model = texts.groupBy().applyInPandas(_train, "weights binary, bias double").first()
+    texts = rows.groupBy("id", "toxic", "weight").agg(F.min("text").alias("text"))
+    sparse = texts.mapInPandas(_hashed, "id long, toxic int, weight double, ids array<long>, lost array<long>, gained array<long>")
+    model = sparse.groupBy().applyInPandas(_train(fairness), "weights binary, bias double").first()
     if model is None:
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(model["weights"], np.float32), model["bias"]
 
 
-def score_toxicity(
-    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3
-) -> DataFrame:
-    """``docs`` with ``score``, ``predicted`` and ``held_out``.
-
-    Null and empty texts get the score of a text without words. Ids may be null
-    (never held out) or repeat; input columns of the three names are replaced.
-    """
-    spark = docs.sparkSession
-    weights, bias = train(docs, labels, id_col, text_col)
-    shared = spark.sparkContext.broadcast((weights, bias))
+def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fairness: float) -> Column:
+    """The fitted score as an expression of the text."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, fairness))
 
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         w, b = shared.value
@@ -215,15 +256,33 @@ def score_toxicity(
             z = np.array([w[ids].sum(dtype=np.float64) for ids in word_features(texts.tolist())] or [], float) + b
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
-    scored = F.pandas_udf(run, "double")
-    kept = docs.drop("score", "predicted", "held_out")
+    return F.pandas_udf(run, "double")(F.col(text_col))
+
+
+def score_toxicity(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, fairness: float = FAIRNESS
+) -> DataFrame:
+    """``docs`` with ``score``, ``predicted`` and ``held_out``.
+
+    Null and empty texts get the score of a text without words; very long texts are
+    scored whole. Ids may be null (never held out) or repeat; input columns of the
+    three names are replaced, all others kept. An empty table gives no rows.
+    """
+    score = _scorer(docs, labels, id_col, text_col, fairness)
     return (
-        kept.withColumn("score", scored(F.col(text_col)))
+        docs.drop("score", "predicted", "held_out")
+        .withColumn("score", score)
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
         .withColumn("held_out", F.coalesce(held_out(F.col(id_col)), F.lit(False)))
     )
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject; columns unchanged."""
-    return score_toxicity(docs, labels, **options).where("predicted = 0").select(*docs.columns)
+def drop_toxic(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.3, fairness: float = FAIRNESS
+) -> DataFrame:
+    """The rows of ``docs`` that the classifier does not reject; columns and rows as they are.
+
+    Null and empty texts, null and repeated ids and columns of any name are allowed;
+    rows with equal texts share their fate. An empty table gives no rows.
+    """
+    return docs.where(_scorer(docs, labels, id_col, text_col, fairness) < threshold)

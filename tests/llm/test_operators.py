@@ -185,6 +185,83 @@ def test_toxicity_learns_and_ignores_identity_terms(spark):
     assert score_toxicity(frame(spark, []), spark.createDataFrame(labels, "doc_id long, toxic int")).count() == 0
 
 
+def tiny_objective(fairness):
+    from barstrata.llm.toxicity import Objective, counterfactual, word_features
+
+    texts = ["you vile rotten women", "a calm day", "vile men rotten", "the women met", "rotten vile jewish fool", "a book of rain", None, "vile rotten"]
+    labels = np.array([1, 0, 1, 0, 1, 0, 0, 1], float)
+    pairs = [counterfactual(t or "", 7 * k) for k, t in enumerate(texts)]
+    ours, twins = (list(word_features([p[side] for p in pairs])) for side in (0, 1))
+    lost = [np.setdiff1d(a, b) for a, b in zip(ours, twins)]
+    gained = [np.setdiff1d(b, a) for a, b in zip(ours, twins)]
+    weights = np.arange(1.0, 9.0)
+    return Objective(ours, lost, gained, labels, weights, fairness, 0.01), ours, twins, labels, weights
+
+
+def test_toxicity_loss_and_gradient_by_brute_force():
+    goal, ours, twins, labels, weights = tiny_objective(0.7)
+    rng = np.random.default_rng(2)
+    w, bias = rng.normal(0, 1, len(goal.used)), 0.3
+    value = {int(f): w[k] * goal.values[k] for k, f in enumerate(goal.used)}
+
+    def logit(ids):
+        return bias + sum(value.get(int(i), 0.0) for i in ids)
+
+    want = 0.01 / 2 * sum(w * w)
+    for a, b, y, s in zip(ours, twins, labels, weights):
+        p = 1 / (1 + np.exp(-logit(a)))
+        want += s / weights.sum() * (-y * np.log(p) - (1 - y) * np.log(1 - p) + 0.7 * (logit(a) - logit(b)) ** 2)
+    loss, g, gb = goal(w, bias)
+    assert loss == pytest.approx(want)
+    for k in rng.choice(len(w), 12, replace=False):
+        step = np.zeros(len(w))
+        step[k] = 1e-6
+        assert g[k] == pytest.approx((goal(w + step, bias)[0] - goal(w - step, bias)[0]) / 2e-6, abs=1e-6)
+    assert gb == pytest.approx((goal(w, bias + 1e-6)[0] - goal(w, bias - 1e-6)[0]) / 2e-6, abs=1e-6)
+
+
+def test_toxicity_penalty_decides_on_identity_terms(spark, sf_dir):
+    """On the given tables, whose texts name no group, and where a term goes with toxic labels."""
+    from barstrata.llm.toxicity import FAIRNESS, identity_features, score_toxicity, train, word_features
+
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    terms = identity_features()
+    free, held = (train(docs, labels, fairness=f)[0] for f in (0.0, FAIRNESS))
+    assert np.abs(free[terms]).max() > 0.05 and np.abs(free - held).max() > 0.05
+    assert np.std(held[terms]) < 0.5 * np.std(free[terms])
+
+    rows, told = [], []
+    for i in range(600):
+        toxic = i % 4 == 0
+        rows.append((i, " ".join(words(40, i, 800)) + (" those women are vile rotten filth" if toxic else " a quiet town"), "s"))
+        told.append((i, int(toxic)))
+    rows.append((9999, "The women met on sunday.", "s"))
+    marks = spark.createDataFrame(told, "doc_id long, toxic int")
+    women = next(word_features(["women"]))
+    weight = {f: train(frame(spark, rows), marks, fairness=f)[0][women].sum() for f in (0.0, FAIRNESS)}
+    assert weight[0.0] > 1.0 and abs(weight[FAIRNESS]) < 0.1 * weight[0.0]
+    score = {f: score_toxicity(frame(spark, rows), marks, fairness=f).where("doc_id = 9999").first() for f in (0.0, FAIRNESS)}
+    assert score[FAIRNESS]["score"] < score[0.0]["score"] and score[FAIRNESS]["predicted"] == 0
+
+
+def test_toxicity_scores_are_sums_of_weights(spark):
+    from barstrata.llm.toxicity import drop_toxic, score_toxicity, train, word_features
+
+    rows = [(i, f"word{i} " + ("scum filth" if i % 3 == 0 else "calm rain"), "s") for i in range(90)]
+    rows += [(5, "another text of id five scum", "s"), *awkward(), (700, "scum " * 30000, "s")]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    docs = frame(spark, rows).withColumns({"score": F.lit("own"), "predicted": F.lit(7), "held_out": F.lit("x"), "ids": F.lit(1)})
+    w, bias = train(docs, labels)
+    assert all((a == b).all() if hasattr(a, "all") else a == b for a, b in zip(train(docs.repartition(5), labels), (w, bias)))
+    got = score_toxicity(docs, labels).collect()
+    want = [1 / (1 + np.exp(-(bias + sum(float(w[i]) for i in next(word_features([r.text]), []))))) for r in got]
+    assert [r.score for r in got] == pytest.approx(want, abs=1e-6)
+    assert all(r.predicted == int(r.score >= 0.3) and r.ids == 1 for r in got)
+    kept = drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and {r.score for r in kept.collect()} == {"own"}
+    assert kept.count() == sum(r.predicted == 0 for r in got)
+
+
 @pytest.fixture(scope="session")
 def tokenizer():
     tokens = pytest.importorskip("public_tokenizers")
