@@ -20,9 +20,8 @@ from .common import materialize
 #: distribution functions then need no more than ``_TERMS`` terms in doubles.
 _LARGEST_MEAN = 16.0
 _TERMS = 96
-#: Sources up to which the table of rates is broadcast; its rows have fixed width
-#: but for the name.
-_BROADCAST_SOURCES = 10_000
+#: Parts that the rows of a source are dealt over where they are joined by shuffling.
+_SALTS = 16
 
 
 def uniform(key: Column) -> Column:
@@ -105,32 +104,28 @@ def poisson_mix(
     size = F.coalesce(F.length(text_col), F.lit(0)).cast("long")
     sized = docs.select(F.col(source_col).alias("__source"), size.alias("__size"))
     rates = source_rates(sized, "__source", "__size", weights, temperature, budget)
-    table = materialize(
-        _with_distribution(rates.select(F.col("source").alias("__source"), "rate")), "mix-rates"
-    )
+    told = _with_distribution(rates.select("source", "rate"))
+    table = materialize(told.select(*[F.col(c).alias(f"__{c}") for c in ("source", "rate", "parts", "cdf")]), "mix-rates")
     ident = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
-    if table.count() <= _BROADCAST_SOURCES:
-        told = docs.join(F.broadcast(table), docs[source_col].eqNullSafe(table["__source"]), "left")
-    else:
-        # Many sources: a hot one is salted so that its rows go to many tasks.
-        salt = F.pmod(F.xxhash64(ident), F.lit(64)).cast("int")
-        salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(63))))
-        left = docs.withColumn("__salt", salt)
-        told = left.join(
-            salted, left[source_col].eqNullSafe(salted["__source"]) & (left["__salt"] == salted["__salt"]), "left"
-        ).drop("__salt")
+    # Spark broadcasts the table while it is small; with very many sources it is salted,
+    # so that the rows of a hot one go to many tasks.
+    salted = table.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))))
+    left = docs.withColumn("__salt", F.pmod(F.xxhash64(ident), F.lit(_SALTS)).cast("int"))
+    told = left.join(
+        salted, left[source_col].eqNullSafe(salted["__source"]) & (left["__salt"] == salted["__salt"]), "left"
+    )
     draws = F.transform(
-        F.sequence(F.lit(1), F.col("parts")),
+        F.sequence(F.lit(1), F.col("__parts")),
         lambda j: uniform(F.concat_ws(":", F.lit(seed), j.cast("string"), ident)),
     )
     count = F.aggregate(
-        draws, F.lit(0), lambda n, u: n + F.size(F.filter("cdf", lambda c: c <= u))
+        draws, F.lit(0), lambda n, u: n + F.size(F.filter("__cdf", lambda c: c <= u))
     )
-    copies = told.withColumn("__count", F.when(F.col("rate") > 0, count).otherwise(0)).where("__count > 0")
+    copies = told.withColumn("__count", F.when(F.col("__rate") > 0, count).otherwise(0)).where("__count > 0")
     exploded = copies.withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("__count") - 1))).withColumn(
         "mix_key", F.md5(F.concat_ws(":", F.lit(seed), F.lit("deal"), ident, F.col("copy_no").cast("string")).cast("binary"))
     )
-    kept = exploded.select(*docs.columns, "copy_no", "mix_key")
+    kept = exploded.select(*[F.col(f"`{c}`") for c in docs.columns], "copy_no", "mix_key")
     return kept.repartition("mix_key").sortWithinPartitions("mix_key", "copy_no")
 
 
