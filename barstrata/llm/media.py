@@ -3,10 +3,10 @@
 A media item is a 44-byte WAVE header and the payload as 8-bit mono samples. A gear
 hash that rolls over its bytes cuts it into chunks where the content says so, so equal
 stretches give equal chunks wherever they stand. Equal media are stored once, and so
-is a chunk that stands at several places: Spark joins on the digests find these and
-the first place of each. A stored item has its ordered chunk list and the bytes of its
-other chunks, compressed; reading joins in the shared chunks, checks every chunk's
-digest and the whole item's SHA-256, and computes features of the samples read.
+is a chunk that stands at several places: these form a table of their own by digest.
+A stored item has its ordered chunk list and the bytes of its other chunks, compressed;
+reading joins in the shared chunks, checks every chunk's digest and the whole item's
+SHA-256, and computes features of the samples read.
 """
 
 from __future__ import annotations
@@ -18,10 +18,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
+from .sketch import hits, key_bitmap
 
 #: Payloads are padded with bytes of 255 to a multiple of this.
 BLOCK = 576
@@ -83,48 +85,61 @@ def chunk_digest(chunk: bytes) -> bytes:
     return hashlib.blake2b(chunk, digest_size=16).digest()
 
 
-def _chunked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row's media digest and ordered chunk list, without bytes."""
+def _parts(media: bytes) -> tuple[list[bytes], list[bytes]]:
+    """The chunks in order and their digests."""
+    ends = cut_points(media)
+    parts = [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return parts, [chunk_digest(p) for p in parts]
+
+
+def _keys(digests: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(d[:8] for d in digests), "<i8")
+
+
+def _described(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each row's media digest and the keys of its chunks, without bytes."""
     for frame in frames:
         rows = []
         for doc, text in zip(frame["doc"], frame["text"], strict=True):
             payload, n = payload_of(text)
             media = encode_media(payload)
-            ends = cut_points(media)
-            chunks = [chunk_digest(media[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            rows.append((doc, n, hashlib.sha256(media).digest(), chunks))
-        yield pd.DataFrame(rows, columns=["doc", "n_bytes", "media", "chunks"]).astype({"doc": "Int64"})
+            rows.append((doc, n, hashlib.sha256(media).digest(), _keys(_parts(media)[1])))
+        yield pd.DataFrame(rows, columns=["doc", "n_bytes", "media", "keys"]).astype({"doc": "Int64"})
 
 
-def _packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each row's media digest and its bytes, compressed for the way to the store."""
-    for frame in frames:
-        media = [encode_media(payload_of(t)[0]) for t in frame["text"]]
-        out = pd.DataFrame({"doc": frame["doc"], "media": [hashlib.sha256(m).digest() for m in media], "packed": [zlib.compress(m, 6) for m in media]})
-        yield out.astype({"doc": "Int64"})
+def _items(shared: Broadcast):
+    """Rows of the store: the chunk list, and the bytes of the chunks that stand nowhere else."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for text in frame["text"]:
+                media = encode_media(payload_of(text)[0])
+                parts, digests = _parts(media)
+                common = hits(shared.value, _keys(digests))
+                own = b"".join(p for p, c in zip(parts, common, strict=True) if not c)
+                rows.append((hashlib.sha256(media).digest(), digests, [len(p) for p in parts], np.flatnonzero(common).tolist(), zlib.compress(own, 6)))
+            yield pd.DataFrame(rows, columns=["media", "chunks", "sizes", "shared", "blob"])
 
-def _listed(numbers) -> list[int]:
-    return [] if numbers is None else np.asarray(numbers).tolist()
+    return run
 
 
-def _stored(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of the store: an item with the bytes of its own chunks, and the shared chunks that it lends."""
-    for frame in frames:
-        out = []
-        for key, packed, shared, lends in zip(frame["media"], frame["packed"], frame["shared"], frame["lends"], strict=True):
-            media = zlib.decompress(packed)
-            ends = cut_points(media)
-            parts = [media[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            digests = [chunk_digest(p) for p in parts]
-            common = set(_listed(shared))
-            own = packed if not common else zlib.compress(b"".join(p for k, p in enumerate(parts) if k not in common), 6)
-            out.append((bytes(key), digests, [len(p) for p in parts], sorted(common), None, own))
-            out += [(None, None, None, None, digests[k], zlib.compress(parts[k], 6)) for k in _listed(lends)]
-        yield pd.DataFrame(out, columns=["media", "chunks", "sizes", "shared", "digest", "blob"])
+def _lent(shared: Broadcast):
+    """The chunks that may stand at several places, each once a task."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        told: set[bytes] = set()
+        for frame in frames:
+            rows = []
+            for text in frame["text"]:
+                parts, digests = _parts(encode_media(payload_of(text)[0]))
+                for part, digest, common in zip(parts, digests, hits(shared.value, _keys(digests)), strict=True):
+                    if common and digest not in told:
+                        told.add(digest)
+                        rows.append((digest, zlib.compress(part, 6)))
+            yield pd.DataFrame(rows, columns=["digest", "bytes"])
 
-_STORE = "media binary, chunks array<binary>, sizes array<int>, shared array<int>, digest binary, blob binary"
+    return run
 
 
 def features_of(payload: bytes) -> str:
@@ -161,73 +176,37 @@ def _read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 _READ = "media binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def _exceptions(rows: DataFrame) -> DataFrame:
-    """(doc, media, keeps, shared, lends) of the rows that do not simply keep all of their own chunks.
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, items, chunks): each row's media digest, and the store in the shared folder.
 
-    ``keeps`` is false for a row whose item another row stores; ``shared`` numbers the
-    chunks that stand at two places or more, ``lends`` those of them whose first place
-    this is. All are aggregates of digests and numbers, summed before they are shuffled.
-    """
-    items = rows.groupBy("media").agg(F.min("doc").alias("owner"), F.max("doc").alias("last"), F.count("*").alias("n"), F.count("doc").alias("ids"))
-    # A null id is no owner where another row has one.
-    copies = items.where("n > 1 and (owner <> last or ids < n)").select("media", "owner")
-    # Rows of equal media hold equal places, so they make no chunk shared.
-    place = F.struct("media", "k")
-    places = rows.select("media", F.posexplode("chunks").alias("k", "digest"))
-    common = (
-        places.groupBy("digest").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("digest", "first")
-    )
-    common = materialize(common, "media-common")
-    marks = (
-        places.join(common, "digest")
-        .groupBy("media")
-        .agg(F.collect_set("k").alias("shared"), F.collect_set(F.when(F.col("first") == place, F.col("k"))).alias("lends"))
-    )
-    told = (
-        rows.select("doc", "media").distinct()
-        .join(materialize(copies, "media-copies"), "media", "left")
-        .join(materialize(marks, "media-marks"), "media", "left")
-    )
-    keeps = F.col("owner").isNull() | F.col("doc").eqNullSafe(F.col("owner"))
-    return materialize(
-        told.select("doc", "media", keeps.alias("keeps"), F.array_sort("shared").alias("shared"), F.array_sort("lends").alias("lends")).where(
-            "not keeps or shared is not null"
-        ),
-        "media-exceptions",
-    )
-
-
-def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, store): each row's media digest, and the store in the shared folder.
-
-    The store has one row per item (media, chunks, sizes, shared, and the bytes of the
-    chunks that no other place has) and one per shared chunk (digest and bytes).
-    Most rows are no exception: as long as the exceptions fit Spark's broadcast
-    threshold the bytes go straight to the store, beyond it they are shuffled once.
+    ``items`` has media, chunks, sizes, shared and blob: the ordered chunk list, which
+    of them are in ``chunks`` (digest, bytes), and the bytes of the others. Chunks of
+    one place only never leave their task but for the store: a bitmap of fixed size
+    tells the others. Copies of a medium have no bytes of their own.
     """
     narrow = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    rows = materialize(narrow.mapInPandas(_chunked, "doc long, n_bytes long, media binary, chunks array<binary>"), "media-rows")
-    odd = _exceptions(rows).withColumnsRenamed({"doc": "__doc", "media": "__media"})
-    packed = narrow.mapInPandas(_packed, "doc long, media binary, packed binary")
-    told = packed.join(odd, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("media") == F.col("__media")), "left")
-    kept = told.where("coalesce(keeps, true)").select("media", "packed", "shared", "lends")
-    return rows, materialize(kept.mapInPandas(_stored, _STORE), "media-store")
-
-
-def read_media(store: DataFrame) -> DataFrame:
-    """One described row per stored item, rebuilt from the store and verified."""
-    items = store.where("media is not null").drop("digest")
-    lent = store.where("digest is not null").dropDuplicates(["digest"]).select("digest", F.col("blob").alias("bytes"))
-    wanted = (
-        items.where("size(shared) > 0").dropDuplicates(["media"])
-        .select("media", F.explode("shared").alias("k"), "chunks")
-        .select("media", "k", F.element_at("chunks", F.col("k") + 1).alias("digest"))
-    )
-    borrowed = wanted.join(lent, "digest").groupBy("media").agg(F.collect_list(F.struct("k", "bytes")).alias("borrowed"))
-    whole = items.where("size(shared) = 0").withColumn("borrowed", F.lit(None).cast("array<struct<k:int,bytes:binary>>"))
-    parted = items.where("size(shared) > 0").join(borrowed, "media")
-    # Rows that repeat an id and a text were stored alike.
-    return whole.unionByName(parted).mapInPandas(_read, _READ).dropDuplicates(["media"])
+    rows = materialize(narrow.mapInPandas(_described, "doc long, n_bytes long, media binary, keys array<long>"), "media-rows")
+    repeated = rows.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    shared = docs.sparkSession.sparkContext.broadcast(key_bitmap(repeated))
+    texts = narrow.select("text")
+    items = materialize(texts.mapInPandas(_items(shared), "media binary, chunks array<binary>, sizes array<int>, shared array<int>, blob binary"), "media-items")
+    chunks = materialize(texts.mapInPandas(_lent(shared), "digest binary, bytes binary").dropDuplicates(["digest"]), "media-chunks")
+    return rows, items, chunks
+
+
+def read_media(items: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One described row per stored medium, rebuilt from the store and verified."""
+    none = F.lit(None).cast("array<struct<k:int,bytes:binary>>")
+    whole = items.where("size(shared) = 0").select("media", "chunks", "sizes", "blob", none.alias("borrowed"))
+    parted = items.where("size(shared) > 0")
+    # Only copies of one medium share all of their chunks, and these hold no bytes.
+    copies = parted.where("size(shared) = size(chunks)").dropDuplicates(["media"])
+    single = parted.where("size(shared) < size(chunks)").unionByName(copies)
+    wanted = single.select("media", F.explode("shared").alias("k"), "chunks").select("media", "k", F.element_at("chunks", F.col("k") + 1).alias("digest"))
+    borrowed = wanted.join(chunks, "digest").groupBy("media").agg(F.collect_list(F.struct("k", "bytes")).alias("borrowed"))
+    lending = single.join(borrowed, "media").select(*whole.columns)
+    # A bitmap's chance hit may leave a repeated medium more than once.
+    return whole.unionByName(lending).mapInPandas(_read, _READ).dropDuplicates(["media"])
 
 
 def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -239,6 +218,6 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     trailing padding bytes share a stored item. Other columns are not read. An empty
     table gives no rows.
     """
-    rows, store = store_media(docs, id_col, text_col)
-    read = materialize(read_media(store), "media-read")
+    rows, items, chunks = store_media(docs, id_col, text_col)
+    read = materialize(read_media(items, chunks), "media-read")
     return rows.select(F.col("doc").alias("doc_id"), "n_bytes", "media").join(read, "media").drop("media")

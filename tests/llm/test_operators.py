@@ -402,8 +402,9 @@ def test_media_round_trip(spark):
     assert media_columns(frame(spark, [])).count() == 0
 
 
-def test_media_store_keeps_shared_chunks_once(spark):
+def test_media_store_keeps_shared_chunks_once(spark, monkeypatch):
     from barstrata.llm.media import cut_points, encode_media, payload_of, read_media, store_media
+    from barstrata.llm.sketch import key_bitmap
 
     shared = " ".join(words(6000, 22))
     rows = [(i, f"{i} " * 300 + shared, "s") for i in range(5)]
@@ -411,16 +412,12 @@ def test_media_store_keeps_shared_chunks_once(spark):
     for m in media:
         ends = cut_points(m)
         assert ends[-1] == len(m) and ends == sorted(set(ends))
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    for threshold in (before, "-1"):  # the exceptions broadcast, and shuffled
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
-        try:
-            _, store = store_media(frame(spark, rows))
-            held = sum(len(zlib.decompress(r.blob)) for r in store.collect())
-            assert held < 0.45 * sum(map(len, media))
-            assert {bytes.fromhex(r.media_sha256) for r in read_media(store).collect()} == {hashlib.sha256(m).digest() for m in media}
-        finally:
-            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for bits in (27, 6):  # a full bitmap sends every chunk to the table
+        monkeypatch.setattr("barstrata.llm.media.key_bitmap", lambda keys, bits=bits: key_bitmap(keys, bits))
+        _, items, chunks = store_media(frame(spark, rows + rows[:2]))
+        held = sum(len(zlib.decompress(r.blob)) for r in items.collect()) + sum(len(zlib.decompress(r.bytes)) for r in chunks.collect())
+        assert held < 0.45 * sum(map(len, media))
+        assert sorted(r.media_sha256 for r in read_media(items, chunks).collect()) == sorted(hashlib.sha256(m).hexdigest() for m in media)
 
 
 def test_media_features_by_plain_definition():
@@ -680,3 +677,15 @@ def test_mixing_broadcast_and_shuffled_alike(spark):
         got.append(Counter((r.doc_id, r.copy_no, r.rate) for r in out.collect()))
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert got[0] == got[1] and got[0]
+
+
+def test_bitmap_holds_its_keys(spark):
+    from barstrata.llm.sketch import hits, key_bitmap
+
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 500)
+    table = key_bitmap(spark.createDataFrame([(int(k),) for k in keys], "key long"), 16)
+    other = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, 20_000)
+    assert hits(table, keys).all() and hits(table, other).mean() < 0.02
+    slots = {int(k) & 0xFFFF for k in keys}
+    assert hits(table, other).tolist() == [(int(k) & 0xFFFF) in slots for k in other]
+    assert not hits(key_bitmap(spark.createDataFrame([], "key long"), 16), other).any()
