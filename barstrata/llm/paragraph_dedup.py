@@ -24,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, release
 from .components import connected_components
 from .kernels import chain, mix, slices, word_hashes
+from .sketch import hits, key_bitmap
 
 #: Words of a shingle, words that a paragraph has at least, and the threshold.
 WIDTH, LEAST_WORDS, PERCENT = 5, 8, 80
@@ -42,8 +44,9 @@ WINDOW, ANCHORS = RUN_WORDS, 12
 PARAGRAPH, LINE, WORDS = range(3)
 _KINDS = mix(np.arange(1, 4, dtype=np.uint64)) * np.array([0, 1, 1], np.uint64)
 _NEVER = np.uint64(2**64 - 1)
-#: Five bands of two rows find a pair at 0.8 with probability 1 - (1 - 0.64) ** 5 = 0.994.
-BANDS, ROWS = 5, 2
+#: Three bands of one row find a pair at 0.8 with probability 1 - 0.2 ** 3 = 0.992. Wider
+#: bands would need more of them; what few rows let through is cut by the second key.
+BANDS, ROWS = 3, 1
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?")] = True
@@ -197,30 +200,59 @@ def _lists(values: np.ndarray, heads: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.view(np.int64), pa.int64()))
 
 
-def _units(least: int):
-    """Rows kind, doc, tid, no, start, length, words, digest, bands for each unit; windows have no bands."""
+def _bands(x: Paragraphs) -> np.ndarray:
+    """The band keys, a row for each unit."""
+    mins = [np.minimum.reduceat(mix(x.shingles ^ seed), x.heads) for seed in _SEEDS]
+    keys = []
+    for b in range(BANDS):
+        key = np.full(len(x.heads), b, np.uint64)
+        for least in mins[b * ROWS : (b + 1) * ROWS]:
+            key = key * np.uint64(3) + least
+        keys.append(mix(key))
+    return np.stack(keys, axis=1)
+
+
+def _keys(least: int):
+    """Every key that may repeat: the digests of all units, and the bands of paragraphs and lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, x in paragraphs(batch.column(2).to_pylist(), least):
+                keys = x.digest if isinstance(x, Windows) else np.concatenate((x.digest, _bands(x).ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+
+    return run
+
+
+def _units(least: int, repeated: Broadcast):
+    """Rows kind, doc, tid, no, start, length, words, digest, bands of the units with a repeated key.
+
+    ``bands`` are the repeated ones; windows have none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = repeated.value
         for batch in batches:
             docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for begin, x in paragraphs(batch.column(2).to_pylist(), least):
+                n = len(x.text)
+                told = hits(table, x.digest)
                 if isinstance(x, Windows):
-                    kind, words = np.full(len(x.text), WORDS), np.full(len(x.text), WINDOW)
-                    bands = _lists(np.zeros(0, np.uint64), np.zeros(len(x.text), np.int64))
+                    kind, words, bands, common = np.full(n, WORDS), np.full(n, WINDOW), np.zeros((n, 0), np.uint64), np.zeros((n, 0), bool)
                 else:
-                    kind, words = x.kind, x.words
-                    mins = [np.minimum.reduceat(mix(x.shingles ^ seed), x.heads) for seed in _SEEDS]
-                    keys = np.stack([mix(mins[b * ROWS] * np.uint64(3) + mins[b * ROWS + 1] + np.uint64(b)) for b in range(BANDS)], axis=1).ravel()
-                    bands = _lists(keys, np.arange(0, len(keys), BANDS))
-                rows = begin + x.text
+                    kind, words, bands = x.kind, x.words, _bands(x)
+                    common = hits(table, bands.ravel()).reshape(bands.shape)
+                    told |= common.any(axis=1)
+                counts = common[told].sum(axis=1)
+                rows = begin + x.text[told]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(kind, pa.int32()),
+                        pa.array(kind[told], pa.int32()),
                         pa.array(docs[rows]),
                         pa.array(tids[rows]),
-                        *(pa.array(c, pa.int32()) for c in (x.no, x.start, x.length, words)),
-                        pa.array(x.digest.view(np.int64)),
-                        bands,
+                        *(pa.array(c[told], pa.int32()) for c in (x.no, x.start, x.length, words)),
+                        pa.array(x.digest[told].view(np.int64)),
+                        _lists(bands[told][common[told]], np.cumsum(counts) - counts),
                     ],
                     names=["kind", "doc", "tid", "no", "start", "length", "words", "digest", "bands"],
                 )
@@ -228,16 +260,23 @@ def _units(least: int):
     return run
 
 
-def _sets(least: int):
-    """Rows digest, tokens: the shingles, with repeats, of each paragraph and line."""
+def _sets(least: int, wanted: Broadcast):
+    """Rows digest, tokens: the shingles, with repeats, of the wanted paragraphs and lines, each once a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, x in paragraphs(batch.column(0).to_pylist(), least):
-                if isinstance(x, Paragraphs):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x.digest.view(np.int64)), _lists(x.shingles, x.heads)], names=["digest", "tokens"]
-                    )
+            for _, x in paragraphs(batch.column(2).to_pylist(), least):
+                if isinstance(x, Windows):
+                    continue
+                once = np.zeros(len(x.digest), bool)
+                once[np.unique(x.digest, return_index=True)[1]] = True
+                picked = np.flatnonzero(once & hits(wanted.value, x.digest))
+                sizes = np.diff(np.append(x.heads, len(x.shingles)))[picked]
+                heads = np.cumsum(sizes) - sizes
+                at = np.repeat(x.heads[picked] - heads, sizes) + np.arange(sizes.sum())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(x.digest[picked].view(np.int64)), _lists(x.shingles[at], heads)], names=["digest", "tokens"]
+                )
 
     return run
 
@@ -316,21 +355,22 @@ def repeated_paragraphs(
     if not repeats.isEmpty():
         again = narrow.join(repeats, ["doc", "tid"], "left_semi").dropDuplicates(["doc", "tid"])
         narrow = materialize(narrow.join(repeats, ["doc", "tid"], "left_anti").unionByName(again), "paragraph-texts")
+    # A bitmap of fixed size tells which keys repeat, so that all other units stay in
+    # their tasks; what it lets through is compared exactly below.
+    again = narrow.mapInArrow(_keys(least), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    repeated = docs.sparkSession.sparkContext.broadcast(key_bitmap(again))
     everything = materialize(
         narrow.mapInArrow(
-            _units(least), "kind int, doc long, tid long, no int, start int, length int, words int, digest long, bands array<long>"
+            _units(least, repeated), "kind int, doc long, tid long, no int, start int, length int, words int, digest long, bands array<long>"
         ),
         "paragraphs",
     )
     units = everything.where(F.col("kind") != WORDS)
     # Band keys that paragraphs of different words share.
-    keys = units.select("digest", F.explode("bands").alias("band"))
-    common = materialize(
-        keys.groupBy("band").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("band"),
-        "paragraph-bands",
-    )
-    members = materialize(keys.join(common.select("band"), "band").distinct(), "paragraph-members")
-    links = _links(narrow, units, members, least, percent)
+    keys = units.select("digest", F.explode("bands").alias("band")).distinct()
+    common = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = materialize(keys.join(common, "band"), "paragraph-members")
+    links = _links(narrow, members, least, percent)
     labels = materialize(connected_components(links), "paragraph-labels")
 
     place = F.struct("doc", "tid", "no")
@@ -373,24 +413,17 @@ def repeated_paragraphs(
 def _repeated_windows(everything: DataFrame) -> DataFrame:
     """The windows whose words occur elsewhere, with their first place ``lo`` and ``copies``."""
     windows = everything.where(F.col("kind") == WORDS).drop("kind", "bands")
-    twice = materialize(windows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "window-digests")
-    found = materialize(windows.join(twice, "digest"), "windows")
-    groups = materialize(found.groupBy("digest").agg(F.min(F.struct("doc", "tid", "no")).alias("lo"), F.count("*").alias("copies")), "window-groups")
-    return found.join(groups, "digest")
+    groups = windows.groupBy("digest").agg(F.min(F.struct("doc", "tid", "no")).alias("lo"), F.count("*").alias("copies")).where("copies > 1")
+    return windows.join(materialize(groups, "window-groups"), "digest")
 
 
-def _links(narrow: DataFrame, units: DataFrame, members: DataFrame, least: int, percent: int) -> DataFrame:
+def _links(narrow: DataFrame, members: DataFrame, least: int, percent: int) -> DataFrame:
     """Verified links (a, b) of digests that together span every component."""
     spark = narrow.sparkSession
-    wanted = materialize(members.select("digest").distinct(), "paragraph-wanted")
-    owners = materialize(
-        units.select("digest", "doc", "tid").join(wanted, "digest", "left_semi")
-        .groupBy("digest").agg(F.min(F.struct("doc", "tid")).alias("o")).select(F.col("o.doc").alias("doc"), F.col("o.tid").alias("tid")).distinct(),
-        "paragraph-owners",
-    )
+    wanted = members.select("digest").distinct()
+    told = narrow.mapInArrow(_sets(least, spark.sparkContext.broadcast(key_bitmap(wanted))), "digest long, tokens array<long>")
     sets = materialize(
-        narrow.join(owners, ["doc", "tid"], "left_semi").select("text").mapInArrow(_sets(least), "digest long, tokens array<long>")
-        .join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", F.array_distinct("tokens").alias("tokens")),
+        told.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", F.array_distinct("tokens").alias("tokens")),
         "paragraph-sets",
     )
     keyed = materialize(
