@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 # Maker and taker rates, settlements a day, shorts, leverage cap.
 VENUES = {
     "coinbase-spot": (0.0040, 0.0060, 0, False, 1.0),
-    "phemex-perp": (0.0001, 0.0006, 3, True, 20.0),
-    "kraken-perp": (0.0002, 0.0005, 24, True, 20.0),
+    "phemex-perp": (0.0001, 0.0006, 3, True, 10.0),
+    "kraken-perp": (0.0002, 0.0005, 24, True, 10.0),
 }
 SLIP_ATR = 0.05
 FUNDING_RATE = 1e-4
-#: Hours of a cooldown by horizon: after a stop, and after any other end.
+# Hours of a cooldown by horizon, after a stop and after any other end,
+# the horizon of a timeframe, and the side of a regime.
 COOLDOWN_HOURS = {"scalp": (4.0, 0.25), "intraday": (12.0, 0.5), "swing": (24.0, 1.0)}
 HORIZONS = {"5m": "scalp", "15m": "scalp", "1H": "intraday", "4H": "intraday", "1D": "swing", "1W": "swing"}
 REGIME_SIDES = {
@@ -128,16 +129,16 @@ def confirms(long: Column, top: Column, bottom: Column, open_: str = "open", hig
 
 @dataclass(frozen=True)
 class Gates:
-    """The account's limits of one mode."""
+    """The account's limits of one mode; fixed values."""
 
     risk_pct: float = 0.02
     open_risk_r: float = 2.0
     daily_loss_r: float = 4.0
-    concurrent: int = 2
+    concurrent: int = 1
     min_reduced: float = 0.25
     min_notional: float = 1.0
     participation: float = 0.005
-    max_drawdown: float = 0.25
+    max_drawdown: float = 0.2
 
 
 def size_order(equity: Column, entry: Column, stop: Column, symbol: Column, long: Column, open_risk: Column, gates: Gates = Gates()) -> Column:

@@ -100,9 +100,13 @@ def cooldowns(execs: DataFrame) -> DataFrame:
 
 def blocked(intents: DataFrame, intervals: DataFrame) -> DataFrame:
     """Intents inside a cooldown of their symbol and direction, with its latest expiry."""
-    span = intervals.select("symbol", "direction", "starts_at", "expires_at", F.col("outcome").alias("cause"))
+    # Intervals last a day at most, so that each stands in two days' bins or fewer.
+    day = lambda c: F.floor(F.col(c) / 86400)
+    span = intervals.select("symbol", "direction", "starts_at", "expires_at", F.col("outcome").alias("cause")).withColumn(
+        "day", F.explode(F.sequence(day("starts_at"), day("expires_at")))
+    )
     return (
-        intents.join(span, ["symbol", "direction"])
+        intents.withColumn("day", day("confirmed_at")).join(span, ["symbol", "direction", "day"])
         .where((F.col("starts_at") <= F.col("confirmed_at")) & (F.col("confirmed_at") < F.col("expires_at")))
         .groupBy("setup_id")
         .agg(F.max("expires_at").alias("expires_at"), F.max_by("cause", "expires_at").alias("cause"))

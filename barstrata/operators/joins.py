@@ -86,6 +86,29 @@ def first_crossing(
     return base.join(hits, "__row", "left").drop("__row")
 
 
+def meeting_bars(left: DataFrame, bars: DataFrame, bottom: str, top: str, after: str, until: str) -> DataFrame:
+    """``left`` with every bar j in (after, until) whose low to high meets [bottom, top].
+
+    Bins of ``BIN`` bars carry their least low and greatest high; only the bars of
+    bins that can hold a match are looked at. A null ``until`` is no limit.
+    """
+    key = ["symbol", "tf"]
+    series = bars.withColumn("__bin", F.floor(F.col("j") / BIN))
+    bins = series.groupBy(*key, "__bin").agg(F.min("low").alias("__low"), F.max("high").alias("__high"))
+    end = F.coalesce(F.col(until), F.lit(2**62))
+    some = (
+        left.join(bins, key)
+        .where((F.col("__bin") >= F.floor(F.col(after) / BIN)) & (F.col("__bin") <= F.floor(end / BIN)))
+        .where((F.col("__low") <= F.col(top)) & (F.col("__high") >= F.col(bottom)))
+        .drop("__low", "__high")
+    )
+    return (
+        some.join(series, [*key, "__bin"])
+        .where((F.col("j") > F.col(after)) & (F.col("j") < end) & (F.col("low") <= F.col(top)) & (F.col("high") >= F.col(bottom)))
+        .drop("__bin")
+    )
+
+
 def held_window(left: DataFrame, bars: DataFrame, start: str, horizon: int, columns: Sequence[str]) -> DataFrame:
     """Each left row with every bar i in [start, start + horizon), by equi-join on bins."""
     bins = F.sequence(F.floor(F.col(start) / horizon), F.floor((F.col(start) + horizon - 1) / horizon))

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import first_crossing, fold_series
+from .joins import first_crossing, fold_series, meeting_bars
 from .swings import seconds
 
 ZONE_ATR, POOL_ATR, POOL_BARS = 0.25, 0.10, 100
@@ -30,39 +30,44 @@ def labels(pivots: DataFrame) -> DataFrame:
     return pivots.withColumn("label", F.when(prev.isNotNull(), F.when(F.col("kind") == "HIGH", high).otherwise(low))).where("label is not null")
 
 
-def _walk_breaks(frame: pd.DataFrame) -> pd.DataFrame:
-    """Admit pivots as they are known; a close beyond the active level breaks it."""
-    frame = frame.sort_values(["known", "what", "market_time", "kind"], kind="stable")
-    active: dict = {"HIGH": None, "LOW": None}
-    floor, direction, out = {"HIGH": 0, "LOW": 0}, "NEUTRAL", []
-    for x in frame.itertuples(index=False):
-        if x.what == 0:
-            held = active[x.kind]
-            if x.market_time >= floor[x.kind] and (held is None or x.market_time > held[0]):
-                active[x.kind] = (x.market_time, x.price)
-            continue
-        if pd.isna(x.tol):
-            continue
-        for side, new in (("HIGH", "BULL"), ("LOW", "BEAR")):
-            level = active[side]
-            if level is None or not (x.close > level[1] + x.tol if side == "HIGH" else x.close < level[1] - x.tol):
-                continue
-            event = "BOS" if direction in (new, "NEUTRAL") else "CHOCH"
-            out.append((x.symbol, x.tf, x.market_time, x.known, event, new, level[1], level[0]))
-            direction, active[side], floor[side] = new, None, x.market_time + 1
-    return pd.DataFrame(out, columns=["symbol", "tf", "market_time", "confirmed_at", "event", "direction", "level", "level_swing_ts"])
+def _unspent(frame: pd.DataFrame) -> pd.DataFrame:
+    """The crossings of swings that formed after the break before them."""
+    frame = frame.sort_values("market_time")
+    last, kept = -1, []
+    for swing, at in zip(frame["level_swing_ts"], frame["market_time"], strict=True):
+        kept.append(swing > last)
+        last = at if kept[-1] else last
+    return frame[kept]
 
 
 def breaks(pivots: DataFrame, bars: DataFrame) -> DataFrame:
-    """BOS and CHOCH events; which level is active depends on earlier breaks."""
-    events = pivots.select(
-        "symbol", "tf", F.lit(0).alias("what"), "market_time", F.col("confirmed_at").alias("known"), "kind", "price"
-    ).unionByName(
-        bars.select("symbol", "tf", F.lit(1).alias("what"), F.col("open_ts").alias("market_time"), (F.col("open_ts") + seconds()).alias("known"), "close", "tol"),
-        allowMissingColumns=True,
+    """BOS and CHOCH events.
+
+    A side's level is its latest swing known at a bar's close. Only the first close
+    beyond each level can break it, and does unless a break of that side is as late
+    as the swing itself; only these few crossings are folded. A break against the
+    direction of the one before it, of either side, is a CHOCH.
+    """
+    key = ["symbol", "tf"]
+    known = pivots.select(*key, F.col("confirmed_at").alias("known"), F.lit(0).alias("what"), "kind", F.struct("market_time", "price").alias("level"))
+    closes = bars.select(*key, (F.col("open_ts") + seconds()).alias("known"), F.lit(1).alias("what"), "open_ts", "close", "tol")
+    run = Window.partitionBy(*key).orderBy("known", "what").rowsBetween(Window.unboundedPreceding, 0)
+    latest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("level"))).over(run)
+    told = known.unionByName(closes, allowMissingColumns=True).withColumns({"HIGH": latest("HIGH"), "LOW": latest("LOW")}).where("what = 1")
+    first = lambda kind, side, beyond: (
+        told.where(beyond).groupBy(*key, F.lit(side).alias("direction"), F.col(f"{kind}.market_time").alias("level_swing_ts"))
+        .agg(F.min("open_ts").alias("market_time"), F.max(f"{kind}.price").alias("level"))
+    )
+    crossings = first("HIGH", "BULL", F.col("close") > F.col("HIGH.price") + F.col("tol")).unionByName(
+        first("LOW", "BEAR", F.col("close") < F.col("LOW.price") - F.col("tol"))
+    )
+    schema = "symbol string, tf string, direction string, level_swing_ts long, market_time long, level double"
+    broken = fold_series(crossings.select("symbol", "tf", "direction", "level_swing_ts", "market_time", "level"), _unspent, schema, [*key, "direction"])
+    before = F.lag("direction").over(Window.partitionBy(*key).orderBy("market_time", F.desc("direction")))
+    event = F.when(before.isNull() | (before == F.col("direction")), "BOS").otherwise("CHOCH")
+    return broken.withColumn("event", event).select(
+        *key, "market_time", (F.col("market_time") + seconds()).alias("confirmed_at"), "event", "direction", "level", "level_swing_ts"
     )
-    schema = "symbol string, tf string, market_time long, confirmed_at long, event string, direction string, level double, level_swing_ts long"
-    return fold_series(events, _walk_breaks, schema)
 
 
 def classify_regime(event: Column, direction: Column, high: Column, low: Column) -> Column:
@@ -115,9 +120,14 @@ def zones(pivots: DataFrame, tf_weight: int = 0) -> DataFrame:
         }
     )
     base = base.withColumn("zone_id", F.concat_ws("|", "symbol", "tf", "zone_type", F.col("market_time").cast("string")))
-    z, o = base.alias("z"), base.select("symbol", "tf", "kind", "market_time", "price", "confirmed_at").alias("o")
+    # Prices are binned by the series' largest zone, so that a zone reaches two bins at most.
+    width = base.groupBy("symbol", "tf", "kind").agg(F.max(F.col("top") - F.col("bottom")).alias("width")).where("width > 0")
+    wide = base.join(width, ["symbol", "tf", "kind"])
+    at = lambda c: F.floor(F.col(c) / F.col("width"))
+    z = wide.withColumn("bin", F.explode(F.sequence(at("bottom"), at("top")))).alias("z")
+    o = wide.select("symbol", "tf", "kind", at("price").alias("bin"), "market_time", "price", "confirmed_at").alias("o")
     members = (
-        z.join(o, ["symbol", "tf", "kind"])
+        z.join(o, ["symbol", "tf", "kind", "bin"])
         .where(
             (F.col("o.market_time") != F.col("z.market_time"))
             & F.col("o.price").between(F.col("z.bottom"), F.col("z.top"))
@@ -156,15 +166,7 @@ def zone_events(zone_facts: DataFrame, bars: DataFrame) -> DataFrame:
     known = _from_known(zone_facts, bars)
     done = _two_sided(known, bars, F.col("zone_type") == "SUPPLY", "top", "bottom", "broken_i")
     span = bars.select("symbol", "tf", F.col("i").alias("j"), F.col("open_ts").alias("at"), "high", "low")
-    inside = (
-        done.join(span, ["symbol", "tf"])
-        .where(
-            (F.col("j") > F.col("after"))
-            & (F.col("broken_i").isNull() | (F.col("j") < F.col("broken_i")))
-            & (F.col("low") <= F.col("top"))
-            & (F.col("high") >= F.col("bottom"))
-        )
-    )
+    inside = meeting_bars(done, span, "bottom", "top", "after", "broken_i")
     order = Window.partitionBy("zone_id").orderBy("j")
     begun = inside.withColumn("prev", F.lag("j").over(order)).where(F.col("prev").isNull() | (F.col("prev") < F.col("j") - 1))
     touches = begun.withColumn("episode", F.row_number().over(order)).where(F.col("episode") <= MAX_TOUCHES)
@@ -176,29 +178,51 @@ def zone_events(zone_facts: DataFrame, bars: DataFrame) -> DataFrame:
     )
 
 
-def _claim(frame: pd.DataFrame) -> pd.DataFrame:
-    """Each qualifying cluster claims its members; an overlap belongs to the first."""
-    out = []
-    for _, side in frame.sort_values("market_time").groupby("kind"):
-        claimed: set[int] = set()
-        seen: list = []
-        for x in side.itertuples(index=False):
-            if not pd.isna(x.atr):
-                near = [t for t in seen if 0 < x.market_time - t.market_time <= POOL_BARS * x.seconds and abs(t.price - x.price) <= POOL_ATR * x.atr]
-                members = {t.market_time for t in near} | {x.market_time}
-                if near and not members & claimed:
-                    claimed |= members
-                    pick = max if x.kind == "HIGH" else min
-                    level = pick([t.price for t in near] + [x.price])
-                    out.append((x.symbol, x.tf, f"{x.symbol}|{x.tf}|EQ{x.kind[0]}|{x.market_time}", x.kind, x.market_time, x.confirmed_at, level, len(members), x.i))
-            seen = [t for t in seen if x.market_time - t.market_time < POOL_BARS * x.seconds] + [x]
-    return pd.DataFrame(out, columns=["symbol", "tf", "pool_id", "kind", "market_time", "confirmed_at", "level", "n_members", "i"])
+def _without_rivals(frame: pd.DataFrame) -> pd.DataFrame:
+    """The clusters none of whose rivals has become a pool, in order of time."""
+    frame = frame.sort_values("market_time")
+    pools: set[int] = set()
+    for at, rivals in zip(frame["market_time"], frame["rivals"], strict=True):
+        if pools.isdisjoint(rivals):
+            pools.add(at)
+    return frame[frame["market_time"].isin(pools)].drop(columns="rivals")
 
 
 def pools(pivots: DataFrame) -> DataFrame:
-    """Liquidity pools of equal highs or lows."""
+    """Liquidity pools of equal highs or lows.
+
+    A swing and the earlier ones of its kind within ``POOL_BARS`` bars and
+    ``POOL_ATR`` ATR are a cluster; an earlier cluster that has one of its swings is
+    its rival. A cluster is a pool unless a rival is one. Clusters and rivals come
+    from joins on bins of time and on swings, only the choice is folded.
+    """
+    key = ["symbol", "tf", "kind"]
+    base = pivots.withColumn("span", POOL_BARS * seconds()).withColumn("bin", F.floor(F.col("market_time") / F.col("span")))
+    other = base.select(*key, "bin", F.col("market_time").alias("member"), F.col("price").alias("member_price"))
+    near = (
+        base.where("atr is not null").withColumn("bin", F.explode(F.array(F.col("bin") - 1, "bin"))).join(other, [*key, "bin"])
+        .where(
+            (F.col("member") < F.col("market_time"))
+            & (F.col("market_time") - F.col("member") <= F.col("span"))
+            & (F.abs(F.col("member_price") - F.col("price")) <= POOL_ATR * F.col("atr"))
+        )
+    )
+    extreme = F.when(F.col("kind") == "HIGH", F.greatest(F.max("member_price"), "price")).otherwise(F.least(F.min("member_price"), "price"))
+    clusters = near.groupBy(*key, "market_time", "confirmed_at", "price", "i").agg(
+        F.collect_set("member").alias("others"), extreme.alias("level")
+    ).withColumn("members", F.array_append("others", F.col("market_time")))
+    swings = clusters.select(*key, "market_time", F.explode("members").alias("member"))
+    rivals = (
+        swings.join(swings.withColumnRenamed("market_time", "rival"), [*key, "member"])
+        .where("rival < market_time").groupBy(*key, "market_time").agg(F.collect_set("rival").alias("rivals"))
+    )
+    none = F.array().cast("array<bigint>")
+    told = clusters.join(rivals, [*key, "market_time"], "left").select(
+        "symbol", "tf", F.concat_ws("|", "symbol", "tf", F.concat(F.lit("EQ"), F.substring("kind", 1, 1)), F.col("market_time").cast("string")).alias("pool_id"),
+        "kind", "market_time", "confirmed_at", "level", F.size("members").cast("long").alias("n_members"), "i", F.coalesce("rivals", none).alias("rivals"),
+    )
     schema = "symbol string, tf string, pool_id string, kind string, market_time long, confirmed_at long, level double, n_members long, i long"
-    return fold_series(pivots.withColumn("seconds", seconds()), _claim, schema)
+    return fold_series(told, _without_rivals, schema, key)
 
 
 def pool_events(pool_facts: DataFrame, bars: DataFrame) -> DataFrame:
@@ -211,8 +235,8 @@ def pool_events(pool_facts: DataFrame, bars: DataFrame) -> DataFrame:
         (F.col("low") < F.col("level")) & (F.col("close") >= F.col("level"))
     )
     swept = (
-        done.join(span, ["symbol", "tf"])
-        .where((F.col("j") > F.col("after")) & (F.col("broken_i").isNull() | (F.col("j") < F.col("broken_i"))) & wick)
+        meeting_bars(done, span, "level", "level", "after", "broken_i")
+        .where(wick)
         .groupBy("symbol", "tf", "pool_id")
         .agg(F.min("at").alias("market_time"))
         .withColumn("event", F.lit("SWEEP"))
@@ -226,8 +250,8 @@ def pool_events(pool_facts: DataFrame, bars: DataFrame) -> DataFrame:
     return swept.unionByName(broken)
 
 
-def gaps(bars: DataFrame) -> DataFrame:
-    """Three-bar value gaps of at least a quarter ATR, with the bar that fills each."""
+def gap_bands(bars: DataFrame) -> DataFrame:
+    """Three-bar value gaps of at least a quarter ATR."""
     order = Window.partitionBy("symbol", "tf").orderBy("open_ts")
     bull, bear = F.col("low") - F.lag("high", 2).over(order), F.lag("low", 2).over(order) - F.col("high")
     found = bars.withColumns({"bull": bull, "bear": bear, "h2": F.lag("high", 2).over(order), "l2": F.lag("low", 2).over(order)}).withColumn(
@@ -239,7 +263,12 @@ def gaps(bars: DataFrame) -> DataFrame:
             "top": F.when(F.col("direction") == "BULL", F.col("low")).otherwise(F.col("l2")),
         }
     ).where(F.col("top") - F.col("bottom") >= GAP_ATR * F.col("atr"))
-    gap = sized.select("symbol", "tf", F.col("open_ts").alias("market_time"), "direction", "bottom", "top", "i", F.col("i").alias("after"))
+    return sized.select("symbol", "tf", F.col("open_ts").alias("market_time"), "direction", "bottom", "top", "i")
+
+
+def gaps(bars: DataFrame) -> DataFrame:
+    """The value gaps with the bar that fills each."""
+    gap = gap_bands(bars).withColumn("after", F.col("i"))
     bull_fill = first_crossing(gap.where("direction = 'BULL'"), bars, F.col("low"), "bottom", False, name="filled_i", reach=True)
     bear_fill = first_crossing(gap.where("direction = 'BEAR'"), bars, F.col("high"), "top", True, name="filled_i", reach=True)
     return bull_fill.unionByName(bear_fill).withColumn("fill_lag", F.col("filled_i") - F.col("i")).drop("after")

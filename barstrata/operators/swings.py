@@ -11,7 +11,7 @@ from .series import by_time, rows
 
 #: Reversal of a local swing in ATR; bars until a pivot's held window is censored.
 LOCAL_ATR, HELD_BARS = 0.75, 90
-#: Score weights and the values that earn them in full.
+# Score weights and the values that earn them in full, tier scores.
 WEIGHTS = {"margin": (18, 0.05), "reversal": (24, 15.0), "held": (14, 90.0), "volume": (12, 6.0), "impact": (26, 2.0)}
 LIQUIDITY_WEIGHT, DOMINANCE_WEIGHT = 8, 12
 MAJOR_SCORE, INTERMEDIATE_SCORE = 55, 30

@@ -15,6 +15,7 @@ from ..operators import joins as J
 from ..operators import series as S
 from ..operators import structure as X
 from ..sources import candles as C
+from ..streaming.bars import written
 from .catalog import query
 from .sql import with_tables
 
@@ -22,7 +23,8 @@ TF = "1H"
 
 
 def _bars(spark: SparkSession, d: str) -> DataFrame:
-    return S.analysed(C.candles(spark, d, TF)).withColumn("symbol", F.concat("symbol", F.lit("USDT")))
+    """The analysed bars, computed once for the joins of a query that read them."""
+    return written(S.analysed(C.candles(spark, d, TF)).withColumn("symbol", F.concat("symbol", F.lit("USDT"))), "analysed-bars")
 
 
 def plans(bars: DataFrame) -> DataFrame:
@@ -31,7 +33,7 @@ def plans(bars: DataFrame) -> DataFrame:
     nxt = bars.select("symbol", "tf", (F.col("i") - 1).alias("i"), F.col("open").alias("entry"), F.col("open_ts").alias("fill_ts"))
     atr = bars.select("symbol", "tf", "i", "atr")
     long = F.col("direction") == "BULL"
-    base = X.gaps(bars).join(nxt, ["symbol", "tf", "i"]).join(atr, ["symbol", "tf", "i"])
+    base = X.gap_bands(bars).join(nxt, ["symbol", "tf", "i"]).join(atr, ["symbol", "tf", "i"])
     sl = F.when(long, F.col("bottom") - 0.15 * F.col("atr")).otherwise(F.col("top") + 0.15 * F.col("atr"))
     return (
         base.withColumn("sl", sl)
@@ -54,7 +56,10 @@ def plans(bars: DataFrame) -> DataFrame:
 
 def book(spark: SparkSession, d: str) -> DataFrame:
     """The settled trades."""
-    bars = _bars(spark, d)
+    return settled(_bars(spark, d))
+
+
+def settled(bars: DataFrame) -> DataFrame:
     done = E.settle(E.walk_exits(plans(bars), bars), 3600)
     times = bars.select("symbol", "tf", F.col("i").alias("exit_i"), (F.col("open_ts") + 3600).alias("exit_ts"))
     return done.join(times, ["symbol", "tf", "exit_i"])
@@ -189,12 +194,14 @@ SELECT p.setup_id, max(expires_at) AS expires_at, arg_max(cd.outcome, expires_at
 FROM p JOIN cd ON cd.symbol = p.symbol AND cd.direction = p.direction AND starts_at <= p.market_time + 3600 AND p.market_time + 3600 < expires_at GROUP BY p.setup_id"""))
 def cooldown_active(spark, d):
     bars = _bars(spark, d)
-    return E.blocked(plans(bars), E.cooldowns(book(spark, d)))
+    return E.blocked(plans(bars), E.cooldowns(settled(bars)))
 
 
 @query("risk_replay")
 def risk_replay(spark, d):
-    trades = book(spark, d)
+    # One account decides over all symbols, so this replay is one fold; its input is
+    # the book, which is small beside the bars.
+    trades = written(book(spark, d), "book")
     stops = E.blocked(trades.select("setup_id", "symbol", "direction", "confirmed_at"), E.cooldowns(trades)).select("setup_id", F.lit(True).alias("cooling"))
     intents = trades.join(stops, "setup_id", "left").select(
         F.lit("PAPER").alias("account"), "setup_id", "market_time", "confirmed_at", "entry", "sl", "exit_ts", "r_multiple", F.coalesce("cooling", F.lit(False)).alias("cooling")

@@ -11,6 +11,7 @@ from ..operators import series as S
 from ..operators import structure as X
 from ..operators import swings as W
 from ..sources import candles as C
+from ..streaming.bars import written
 from .catalog import query
 from .sql import ema_cte, with_tables
 
@@ -25,13 +26,17 @@ def _analysed(spark: SparkSession, d: str) -> DataFrame:
     return S.analysed(C.candles(spark, d, TF))
 
 
-def _pivots(spark: SparkSession, d: str) -> DataFrame:
-    return W.promote(W.alternate(W.local(W.micro(_analysed(spark, d)))))
+def _shared(spark: SparkSession, d: str) -> DataFrame:
+    """The analysed bars as a table, for queries that read them several times."""
+    return written(_analysed(spark, d), "analysed-bars")
 
 
-def _tiered(spark: SparkSession, d: str, *tiers: str) -> DataFrame:
+def _pivots(bars: DataFrame) -> DataFrame:
+    return W.promote(W.alternate(W.local(W.micro(bars))))
+
+
+def _tiered(bars: DataFrame, *tiers: str) -> DataFrame:
     """Scored swings of the tiers, known once their held window is closed."""
-    bars = _analysed(spark, d)
     return W.scored(W.promote(W.alternate(W.local(W.micro(bars)))), bars).where(F.col("tier").isin(*tiers))
 
 
@@ -296,37 +301,39 @@ def alternate_swings(spark, d):
 
 @query("promoted_swings", with_tables("SELECT symbol, market_time, confirmed_at, kind, price, round(margin, 6) AS margin FROM pro", "pro"))
 def promoted_swings(spark, d):
-    return _pivots(spark, d).select("symbol", "market_time", "confirmed_at", "kind", "price", *r6("margin"))
+    return _pivots(_analysed(spark, d)).select("symbol", "market_time", "confirmed_at", "kind", "price", *r6("margin"))
 
 
 @query("scored_swings")
 def scored_swings(spark, d):
-    bars = _analysed(spark, d)
-    inter = W.promote(W.alternate(W.local(W.micro(bars))))
-    return W.scored(inter, bars).drop("tf", "atr")
+    bars = _shared(spark, d)
+    return W.scored(_pivots(bars), bars).drop("tf", "atr")
 
 
 @query("structure_labels", with_tables("SELECT symbol, market_time, confirmed_at, kind, price, label FROM lab WHERE label IS NOT NULL", "lab"))
 def structure_labels(spark, d):
-    return X.labels(_pivots(spark, d)).select("symbol", "market_time", "confirmed_at", "kind", "price", "label")
+    return X.labels(_pivots(_analysed(spark, d))).select("symbol", "market_time", "confirmed_at", "kind", "price", "label")
 
 
 @query("structure_breaks")
 def structure_breaks(spark, d):
-    return X.breaks(_tiered(spark, d, W.STRUCTURE_TIER[TF]), _analysed(spark, d)).drop("tf")
+    bars = _shared(spark, d)
+    return X.breaks(_tiered(bars, W.STRUCTURE_TIER[TF]), bars).drop("tf")
 
 
 @query("regime_changes")
 def regime_changes(spark, d):
-    pivots = _tiered(spark, d, W.STRUCTURE_TIER[TF])
-    return X.regimes(X.labels(pivots), X.breaks(pivots, _analysed(spark, d))).drop("tf")
+    bars = _shared(spark, d)
+    pivots = written(_tiered(bars, W.STRUCTURE_TIER[TF]), "swings")
+    return X.regimes(X.labels(pivots), X.breaks(pivots, bars)).drop("tf")
 
 
 @query("zones_created", with_tables("""
 SELECT symbol, zone_id, zone_type, confirmed_at, round(bottom, 6) AS bottom, round(top, 6) AS top, cluster,
   least(100, 50 + least(30, 10 * cluster))::BIGINT AS quality FROM zon""", "zon"))
 def zones_created(spark, d):
-    return X.zones(_pivots(spark, d)).select("symbol", "zone_id", "zone_type", "confirmed_at", *r6("bottom", "top"), "cluster", "quality")
+    pivots = written(_pivots(_analysed(spark, d)), "swings")
+    return X.zones(pivots).select("symbol", "zone_id", "zone_type", "confirmed_at", *r6("bottom", "top"), "cluster", "quality")
 
 
 @query("zone_events", with_tables("""
@@ -340,18 +347,21 @@ FROM e WHERE episode <= 10
 UNION ALL
 SELECT z.symbol, z.zone_id, x.open_ts, 'BROKEN', 'BROKEN', NULL FROM zbr z JOIN ba x ON x.symbol = z.symbol AND x.i = z.broken_i""", "zbr"))
 def zone_events(spark, d):
-    bars = _analysed(spark, d)
-    return X.zone_events(X.zones(_pivots(spark, d)), bars).drop("tf")
+    bars = _shared(spark, d)
+    zones = written(X.zones(written(_pivots(bars), "swings")), "zones")
+    return X.zone_events(zones, bars).drop("tf")
 
 
 @query("liquidity_pools")
 def liquidity_pools(spark, d):
-    return X.pools(_tiered(spark, d, *W.POOL_TIERS)).drop("tf")
+    return X.pools(written(_tiered(_shared(spark, d), *W.POOL_TIERS), "swings")).drop("tf")
 
 
 @query("liquidity_events")
 def liquidity_events(spark, d):
-    return X.pool_events(X.pools(_tiered(spark, d, *W.POOL_TIERS)), _analysed(spark, d)).drop("tf")
+    bars = _shared(spark, d)
+    pools = written(X.pools(written(_tiered(bars, *W.POOL_TIERS), "swings")), "pools")
+    return X.pool_events(pools, bars).drop("tf")
 
 
 _FVG = with_tables("""

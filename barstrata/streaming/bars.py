@@ -45,11 +45,23 @@ def closed_bars(ticks: DataFrame, tf: str, lateness: str = "0 seconds") -> DataF
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
-    """A new folder below spark.checkpoint.dir; a local one only where that is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="barstrata-")
+    """A new folder below spark.checkpoint.dir; a local one only in local mode."""
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        top = tempfile.mkdtemp(prefix="barstrata-")
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(frame: DataFrame, label: str) -> DataFrame:
+    """``frame`` as a table in the shared folder, for plans that read it several times."""
+    spark = frame.sparkSession
+    path = shared_folder(spark, label)
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def stream_files(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stream of the Parquet file or the files of the folder at ``path``."""
     # As a pattern, the path may be one file as well as a folder.
@@ -78,14 +90,15 @@ def run_to_end(stream: DataFrame, folder: str) -> DataFrame:
 def fact_sink(path: str):
     """A foreachBatch function that appends facts to the table at ``path``, each once.
 
-    A batch that is run again after a failure adds nothing.
+    A batch that is run again after a failure adds nothing. The new facts are fixed
+    in the shared folder before the write, as it adds to the table that they are
+    compared with. A table that is not there yet is made.
     """
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        batch.where("false").write.mode("append").parquet(path)
         held = spark.read.schema(batch.schema).parquet(path)
-        # Fixed before the write, as it reads the table that it adds to.
-        added = append(held, batch).checkpoint() if spark.sparkContext.getCheckpointDir() else append(held, batch)
-        added.write.mode("append").parquet(path)
+        written(append(held, batch), "facts-added").write.mode("append").parquet(path)
 
     return write

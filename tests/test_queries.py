@@ -50,15 +50,74 @@ def test_query_without_oracle_is_repeatable(spark, sf_dir, name):
     assert once == again
 
 
+def breaks_by_definition(swings, rows, tol):
+    """Every bar against the latest swing that its side knows and that formed after its last break."""
+    found, last, direction = set(), {"HIGH": -1, "LOW": -1}, None
+    for _, _, ts, _, _, _, close, _ in rows:
+        for kind, side, sign in (("HIGH", "BULL", 1), ("LOW", "BEAR", -1)):
+            known = [r for r in swings if r.kind == kind and r.confirmed_at <= ts + 3600 and r.market_time > last[kind]]
+            level = max(known, key=lambda r: r.market_time, default=None)
+            if level and tol[ts] is not None and sign * (close - level.price) > tol[ts]:
+                found.add((ts, "BOS" if direction in (None, side) else "CHOCH", side, level.market_time, level.price))
+                last[kind], direction = ts, side
+    return found
+
+
+def pools_by_definition(swings, atr):
+    """Clusters in order of time; one that holds a swing of an earlier pool is none."""
+    found = set()
+    for kind, extreme in (("HIGH", max), ("LOW", min)):
+        own, taken = sorted((r for r in swings if r.kind == kind), key=lambda r: r.market_time), set()
+        for r in own:
+            near = [x for x in own if 0 < r.market_time - x.market_time <= 360_000 and abs(x.price - r.price) <= 0.1 * atr[r.market_time]]
+            cluster = {x.market_time for x in [*near, r]}
+            if near and not cluster & taken:
+                taken |= cluster
+                found.add((kind, r.market_time, extreme(x.price for x in [*near, r]), len(cluster)))
+    return found
+
+
+def test_pools_and_their_events_by_definition(spark):
+    import numpy as np
+
+    from barstrata.operators import structure as X
+
+    rng = np.random.default_rng(8)
+    columns = "symbol string, tf string, kind string, market_time long, confirmed_at long, price double, atr double, i long"
+    rows = [("A", "1H", kind, 3600 * i, 3600 * (i + 3), float(np.round(100 + rng.normal(0, 1), 2)), 3.0, i) for kind in ("HIGH", "LOW") for i in range(0, 900, 7)]
+    swings = spark.createDataFrame(rows, columns)
+    pools = X.pools(swings).collect()
+    assert len(pools) > 20
+    assert {(r.kind, r.market_time, r.level, r.n_members) for r in pools} == pools_by_definition(swings.collect(), {r[3]: r[6] for r in rows})
+    close = np.round(100 + np.cumsum(rng.normal(0, 0.4, 1000)), 2)
+    bars = [("A", "1H", 3600 * i, i, float(c + a), float(c - b), float(c), 0.01, 0.01) for i, (c, a, b) in enumerate(zip(close, *np.round(rng.uniform(0, 1, (2, 1000)), 2), strict=True))]
+    told = X.pool_events(spark.createDataFrame(pools), spark.createDataFrame(bars, "symbol string, tf string, open_ts long, i long, high double, low double, close double, tol double, tick double"))
+    want = set()
+    for p in pools:
+        sign = 1 if p.kind == "HIGH" else -1
+        swept = False
+        for _, _, ts, i, high, low, c, tol, _ in bars:
+            if i <= p.i or ts + 3600 <= p.confirmed_at:
+                continue
+            if c - tol > p.level if sign > 0 else c + tol < p.level:
+                want.add((p.pool_id, "BROKEN", ts))
+                break
+            if not swept and (high > p.level >= c if sign > 0 else low < p.level <= c):
+                swept = True
+                want.add((p.pool_id, "SWEEP", ts))
+    assert {(r.pool_id, r.event, r.market_time) for r in told.collect()} == want and len(want) > 20
+
+
 def test_structure_reads_scored_swings(spark, monkeypatch):
     import numpy as np
 
+    from barstrata.operators import series as S
     from barstrata.plans import market
 
     rng = np.random.default_rng(5)
     close = np.round(200 + np.cumsum(rng.normal(0, 1, 700)) + 6 * np.sin(np.arange(700) / 9), 2)
     rows = [("A", "1H", 3600 * k, float(c), float(c + a), float(c - b), float(c), float(v)) for k, (c, a, b, v) in enumerate(zip(close, *np.round(rng.uniform(0.1, 1.5, (2, 700)), 2), rng.integers(1, 50, 700), strict=True))]
-    bars = spark.createDataFrame(rows, "symbol string, tf string, open_ts long, open double, high double, low double, close double, volume double").localCheckpoint()
+    bars = spark.createDataFrame(rows, "symbol string, tf string, open_ts long, open double, high double, low double, close double, volume double")
     monkeypatch.setattr(market.C, "candles", lambda *_: bars)
     scored = market.scored_swings(spark, "").collect()
     tier = {(r.market_time, r.kind): r for r in scored}
@@ -68,6 +127,9 @@ def test_structure_reads_scored_swings(spark, monkeypatch):
     for r in breaks:
         swing = tier[r.level_swing_ts, "HIGH" if r.direction == "BULL" else "LOW"]
         assert swing.tier == "INTERMEDIATE" and swing.confirmed_at <= r.confirmed_at
+    swings = [r for r in scored if r.tier == "INTERMEDIATE"]
+    tol = {r.open_ts: r.tol for r in S.analysed(bars).collect()}
+    assert {(r.market_time, r.event, r.direction, r.level_swing_ts, r.level) for r in breaks} == breaks_by_definition(swings, rows, tol)
     known = {r.confirmed_at for r in scored if r.tier == "INTERMEDIATE"} | {r.confirmed_at for r in breaks}
     regimes = market.regime_changes(spark, "").collect()
     assert regimes and {r.confirmed_at for r in regimes} <= known
@@ -113,3 +175,24 @@ def test_stream_emits_closed_bars_once(spark, tmp_path):
     ticks(("2024-01-01 00:20:00", 1.0), ("2024-01-01 02:30:00", 8.0)).coalesce(1).write.mode("append").parquet(source)
     later = run_to_end(closed_bars(stream_files(spark, source, wanted), "1H"), folder)
     assert sorted((r["open_ts"] % 86400, r["low"]) for r in later.collect()) == [(0, 5.0), (3600, 6.0)]
+
+
+def test_fact_sink_appends_each_fact_once(spark, tmp_path):
+    from barstrata.streaming.bars import fact_sink
+
+    path = str(tmp_path / "facts")
+    batch = spark.createDataFrame([("a", 1), ("b", 2), ("a", 1)], "fact_hash string, n int")
+    write = fact_sink(path)
+    write(batch, 0)
+    write(batch, 0)  # run again after a failure
+    write(spark.createDataFrame([("b", 2), ("c", 3)], "fact_hash string, n int"), 1)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [("a", 1), ("b", 2), ("c", 3)]
+
+
+def test_upsert_and_earliest(spark):
+    from barstrata.operators.joins import earliest
+    from barstrata.sources.candles import upsert
+
+    bars = lambda *x: spark.createDataFrame([("A", "1H", t, c) for t, c in x], "symbol string, tf string, open_ts long, close double")
+    assert sorted((r.open_ts, r.close) for r in upsert(bars((0, 1.0), (3600, 2.0)), bars((3600, 5.0), (7200, 6.0))).collect()) == [(0, 1.0), (3600, 5.0), (7200, 6.0)]
+    assert [r.close for r in earliest(bars((7200, 6.0), (3600, 5.0)), ["symbol", "tf"], ["open_ts"]).collect()] == [5.0]
