@@ -79,11 +79,10 @@ def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         ranks.append(now)
         left = now.select(*_PLACE, F.col("rank").alias("a"))
         right = now.select("id", "tid", (F.col("k") - depth).alias("k"), F.col("rank").alias("b"))
-        pairs = materialize(left.join(right, _PLACE), "line-pairs")
+        pairs = left.join(right, _PLACE)
         found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
         classes = _ranked(found, ["a", "b"], "line-classes")
         now = materialize(pairs.join(classes.select("a", "b", "rank", "first"), ["a", "b"]).select(*_PLACE, "rank", "first"), "line-ranks")
-        release(docs.sparkSession, pairs)
         depth *= 2
     return lines, ranks
 
@@ -97,46 +96,35 @@ def _halved(ranks: list[DataFrame]) -> DataFrame | None:
     """Lengths between powers of two: id, tid, k, length, first, of which a place's largest counts.
 
     A part is (depth, low, head): the places of the interval of ``low`` lines that
-    starts at ``head``. All depths are halved together, one join and one count a round.
+    starts at ``head``. All depths are halved together; a round is one written table.
     """
-    parts = None
-    for j in range(1, len(ranks)):
+    key, found, parts, known = ["depth", "low", "head"], None, None, None
+    columns = [*key, *_PLACE]
+    # Depth h has the steps h / 2, h / 4, ..., 1.
+    for j in range(len(ranks) - 1, 0, -1):
+        depth, step = 1 << j, 1 << (j - 1)
         # Later copies of twice the depth have at least that length.
         members = ranks[j]
         if j + 1 < len(ranks):
             members = members.join(_later(ranks[j + 1], 0).select(*_PLACE), _PLACE, "left_anti")
-        part = members.select(F.lit(1 << j).alias("depth"), F.lit(1 << j).alias("low"), F.col("first").alias("head"), *_PLACE)
-        parts = part if parts is None else parts.unionByName(part)
-    if parts is None:
-        return None
-    known = None
-    for j, table in enumerate(ranks):
-        one = table.select(F.lit(1 << j).alias("depth"), "id", "tid", F.col("k").alias("at"), F.col("rank").alias("next"))
+        fresh = members.select(F.lit(depth).alias("depth"), F.lit(depth).alias("low"), F.col("first").alias("head"), *_PLACE)
+        parts = fresh if parts is None else parts.unionByName(fresh)
+        one = ranks[j].select(F.lit(depth).alias("depth"), "id", "tid", F.col("k").alias("at"), F.col("rank").alias("next"))
         known = one if known is None else known.unionByName(one)
-    key, found = ["depth", "low", "head"], None
-    parts = materialize(parts, "line-parts")
-    step = 1 << (len(ranks) - 2)
-    while step:
-        # A part of depth h has steps h / 2, h / 4, ..., 1.
-        due = parts.where(F.col("depth") >= 2 * step).withColumn("mid", F.col("low") + step)
-        due = due.withColumn("at", F.col("k") + F.col("mid") - F.col("depth"))
-        told = materialize(due.join(known, ["depth", "id", "tid", "at"], "left").drop("at"), "line-halves")
+        due = parts.withColumn("at", F.col("k") + F.col("low") + step - F.col("depth"))
+        told = due.join(known, ["depth", "id", "tid", "at"], "left").drop("at")
         groups = (
             told.where("next is not null").groupBy(*key, "next")
             .agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").drop("n")
         )
-        longer = materialize(told.where("next is not null").join(groups, [*key, "next"]), "line-longer")
-        rest = longer.where(_place() > F.col("first"))
-        hits = rest.select(*_PLACE, F.col("mid").alias("length"), "first")
+        # Places that share the longer prefix with others have the first of these.
+        halves = materialize(told.join(groups, [*key, "next"], "left").drop("next"), "line-halves")
+        longer = halves.where("first is not null")
+        later = F.col("first").isNotNull() & (_place() > F.col("first"))
+        hits = longer.where(later).select(*_PLACE, (F.col("low") + step).alias("length"), "first")
         found = hits if found is None else found.unionByName(hits)
-        if step == 1:
-            break
-        up = longer.select("depth", F.col("mid").alias("low"), F.col("first").alias("head"), *_PLACE)
-        down = told.drop("next", "mid").join(rest.select(*key, *_PLACE), [*key, *_PLACE], "left_anti")
-        later = parts.where(F.col("depth") < 2 * step)
-        new = materialize(up.unionByName(down).unionByName(later), "line-parts")
-        release(parts.sparkSession, parts, told)
-        parts, step = new, step // 2
+        up = longer.select("depth", (F.col("low") + step).alias("low"), F.col("first").alias("head"), *_PLACE)
+        parts = up.unionByName(halves.where(~later).select(*columns))
     return found
 
 
