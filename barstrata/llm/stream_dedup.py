@@ -5,18 +5,20 @@ state has one entry per digest, kept on disk without expiry: the digest, the sta
 identifier (the largest id so far), the locator of that row's content and the number
 of rows. A run takes the files it has not seen yet, so later files continue from the
 same state. Rows whose digest is held by another row are hits; their full bytes are
-compared with the bytes at the locator, and should bytes differ under one digest,
-the rows of that digest are grouped by their bytes instead.
+put together where equal and compared with the bytes at the locator. Should bytes
+differ under one digest, the rows of that digest are grouped by their bytes instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, shared_path
+from .sketch import hits, key_bitmap
 
 #: Disk-backed state whose commits write changes only; without preallocated files
 #: the many small stores of a wide shuffle take little disk.
@@ -114,39 +116,37 @@ def stream_dedup(
     """
     state_dir = state_dir or shared_path(spark, "dedup-state")
     update_state(spark, path, state_dir, id_col, text_col, digest)
-    groups = materialize(
-        read_state(spark, state_dir).where("members > 1"), "dedup-groups"
-    )
+    groups = materialize(read_state(spark, state_dir).where("members > 1"), "dedup-groups")
     rows = _located(spark.read.parquet(path), id_col, text_col).withColumn("digest", digest(F.col("norm")))
-    held = groups
 
-    # Hits: the rows of groups, against the bytes at their group's locator.
-    hits = materialize(
-        rows.join(held, "digest", "left_semi").select("id", "file", "row", "digest", "norm"), "dedup-hits"
-    )
-    kept_text = materialize(
-        hits.join(held.select("digest", "file", "row"), ["digest", "file", "row"]).select("digest", F.col("norm").alias("kept_norm")),
-        "dedup-kept",
-    )
-    # Equal bytes of a task's hits are one row before any are shuffled, so that a digest
-    # that a third of all rows share reaches its locator's bytes as a row or two.
-    texts = hits.select("digest", "norm").distinct()
-    differ = materialize(
-        texts.join(kept_text, "digest").where("norm <> kept_norm").select("digest").distinct(), "dedup-differ"
+    # Hits: the bytes of the rows of groups. The bitmap keeps the texts of all others out of
+    # the shuffle; equal bytes of a task are one row before it, so that a digest that a third
+    # of all rows share is a row a task.
+    table = key_bitmap(groups.select(F.xxhash64("digest")))
+
+    @F.pandas_udf("boolean")
+    def repeated(keys: pd.Series) -> pd.Series:
+        return pd.Series(hits(table, keys.to_numpy()))
+
+    texts = materialize(
+        rows.where(repeated(F.xxhash64("digest")))
+        .groupBy("digest", "norm").agg(F.max(F.struct("id", "file", "row")).alias("k"), F.count("*").alias("members"))
+        .join(groups.select("digest", F.struct("file", "row").alias("held")), "digest"),
+        "dedup-texts",
     )
+    # The rows with the bytes at the locator are the one of these that has the locator's row.
+    at_locator = F.struct("k.file", "k.row") == F.col("held")
+    others = texts.where(~at_locator).select("digest", "norm")
+    kept_text = texts.where(at_locator).select("digest", F.col("norm").alias("kept_norm"))
+    differ = materialize(others.join(kept_text, "digest").where("norm <> kept_norm").select("digest").distinct(), "dedup-differ")
     members = groups.select("digest", "keep_id", F.col("file").alias("kept_file"), F.col("row").alias("kept_row"), "members")
     plain = rows.select("id", "file", "row", "digest", sha256_hex(F.col("norm")).alias("text_sha256"))
     out = plain.join(members, "digest", "left")
     if differ.isEmpty():
         return _result(out)
     # Different bytes under one digest: these rows are grouped by their bytes.
-    odd = hits.join(differ, "digest", "left_semi")
-    by_bytes = materialize(
-        odd.groupBy("digest", sha256_hex(F.col("norm")).alias("text_sha256"), "norm")
-        .agg(F.max(F.struct("id", "file", "row")).alias("k"), F.count("*").alias("members"))
-        .select("digest", "norm", "k", "members"),
-        "dedup-by-bytes",
-    )
+    odd = rows.join(differ, "digest", "left_semi")
+    by_bytes = texts.join(differ, "digest", "left_semi").select("digest", "norm", "k", "members")
     resolved = odd.join(by_bytes, ["digest", "norm"]).select(
         "id",
         "file",
