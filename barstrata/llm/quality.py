@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .kernels import NOT_ALNUM, SPACE, chain, slices, word_hashes
 from .mixing import uniform
+from .sketch import SLOT_BITS, hits, key_bitmap
 
 #: Hashed n-gram buckets of each model.
 BUCKETS = 1 << 15
@@ -37,33 +38,55 @@ def ngram_buckets(texts: list[str | None], buckets: int = BUCKETS) -> Iterator[n
             yield (np.concatenate((words[a:b], pairs[a : max(a, b - 1)])) & mask).astype(np.int64)
 
 
-def _counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per task, the buckets' counts over all texts and over target texts."""
-    counts = np.zeros((2, BUCKETS), np.int64)
-    for frame in frames:
-        for at in range(0, len(frame), 500):
-            part = frame.iloc[at : at + 500]
-            found = list(ngram_buckets(part["text"].tolist()))
-            chosen = [ids for ids, target in zip(found, part["target"], strict=True) if target]
-            counts[0] += np.bincount(np.concatenate(found), minlength=BUCKETS)
-            if chosen:
-                counts[1] += np.bincount(np.concatenate(chosen), minlength=BUCKETS)
-    yield pd.DataFrame({"bucket": np.arange(BUCKETS), "raw": counts[0], "target": counts[1]})
-
-
-def log_ratios(docs: DataFrame, target_ids: DataFrame) -> np.ndarray:
-    """log(target / raw) of every bucket, with one count added to each."""
-    told = docs.join(target_ids, docs["id"] == target_ids["__target"], "left")
-    counts = (
-        told.select("text", F.col("__target").isNotNull().alias("target"))
-        .mapInPandas(_counted, "bucket int, raw long, target long")
-        .groupBy("bucket")
-        .agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
-        .toPandas()
+def _counted(table: np.ndarray):
+    """Per task, the buckets' counts over all texts and over those whose id's key is in the bitmap."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros((2, BUCKETS), np.int64)
+        for frame in frames:
+            for at in range(0, len(frame), 500):
+                part = frame.iloc[at : at + 500]
+                found = list(ngram_buckets(part["text"].tolist()))
+                marked = part["known"].to_numpy(bool) & hits(table, part["key"].to_numpy(np.int64))
+                chosen = [ids for ids, target in zip(found, marked, strict=True) if target]
+                counts[0] += np.bincount(np.concatenate(found), minlength=BUCKETS)
+                if chosen:
+                    counts[1] += np.bincount(np.concatenate(chosen), minlength=BUCKETS)
+        yield pd.DataFrame({"bucket": np.arange(BUCKETS), "raw": counts[0], "target": counts[1]})
+
+    return run
+
+
+def _counts(docs: DataFrame, table: np.ndarray) -> pd.DataFrame:
+    keyed = docs.select("text", F.col("id").isNotNull().alias("known"), F.xxhash64("id").alias("key"))
+    return (
+        keyed.mapInPandas(_counted(table), "bucket int, raw long, target long")
+        .groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+        .toPandas().set_index("bucket").reindex(range(BUCKETS), fill_value=0)
     )
+
+
+def log_ratios(docs: DataFrame, target_ids: DataFrame, bits: int = SLOT_BITS) -> np.ndarray:
+    """log(target / raw) of every bucket, with one count added to each.
+
+    A bitmap of fixed size tells target texts where they lie, so that no text is
+    shuffled. Ids that it marks and that are no targets are found by an exact join of
+    ids, and what their texts have added is taken off again.
+    """
+    table = key_bitmap(target_ids.select(F.xxhash64("__target")), bits)
+
+    @F.pandas_udf("boolean")
+    def marked(keys: pd.Series) -> pd.Series:
+        return pd.Series(hits(table, keys.to_numpy()))
+
+    ids = docs.where("id is not null").select("id").where(marked(F.xxhash64("id")))
+    strays = materialize(ids.join(target_ids, ids["id"] == target_ids["__target"], "left_anti").distinct(), "quality-strays")
+    counts = _counts(docs, table)
+    if not strays.isEmpty():
+        counts["target"] -= _counts(docs.join(strays, "id", "left_semi"), table)["target"]
     raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    raw[counts["bucket"]] += counts["raw"]
-    target[counts["bucket"]] += counts["target"]
+    raw += counts["raw"].to_numpy()
+    target += counts["target"].to_numpy()
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 

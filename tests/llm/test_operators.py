@@ -504,6 +504,14 @@ def test_quality_counts_every_target_text(spark):
     assert [got[i] for i in range(25_000)] == pytest.approx(ratios[found].tolist())
 
 
+def test_quality_model_does_not_depend_on_the_bitmap(spark):
+    from barstrata.llm.quality import log_ratios
+
+    docs = spark.createDataFrame([(i if i % 7 else None, f"w{i % 5} x{i} y") for i in range(300)], "id long, text string")
+    target = spark.range(0, 300, 3).select(F.col("id").alias("__target"))
+    assert (log_ratios(docs, target) == log_ratios(docs, target, bits=6)).all()
+
+
 def test_kth_largest_with_ties(spark):
     from barstrata.llm import quality
 
