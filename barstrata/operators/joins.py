@@ -69,14 +69,10 @@ def first_crossing(
     base = left.withColumn("__row", F.struct(*key, after, level))
     wanted = base.select(*key, after, level, "__row").distinct()
     own = F.floor(F.col(after) / BIN)
-    later = (
-        wanted.join(bins, key)
-        .where((F.col("__bin") > own) & beyond(F.col("__x")))
-        .groupBy("__row")
-        .agg(F.min("__bin").alias("__bin"))
-        .select("__row", "__row.*", "__bin")
-    )
-    where = later.unionByName(wanted.withColumn("__bin", own).select("__row", *key, after, level, "__bin"))
+    # The bins to look into: a row's own and the first later one that can hold its bar.
+    later = F.min(F.when((F.col("__bin") > own) & beyond(F.col("__x")), F.col("__bin")))
+    told = wanted.join(bins, key).groupBy("__row").agg(later.alias("__later")).select("__row", "__row.*", "__later")
+    where = told.select("__row", *key, after, level, F.explode(F.array_compact(F.array(own, "__later"))).alias("__bin"))
     hits = (
         where.join(series, [*key, "__bin"])
         .where((F.col("__i") > F.col(after)) & beyond(F.col("__m")))

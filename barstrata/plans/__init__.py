@@ -1,3 +1,3 @@
 """Named queries over the driver's tables and their DuckDB SQL."""
 
-from . import catalog, decisions, evidence, market, records  # noqa: F401
+from . import catalog, decisions, evidence, market, records, universe  # noqa: F401

@@ -131,6 +131,14 @@ def test_structure_reads_scored_swings(spark, monkeypatch):
     tol = {r.open_ts: r.tol for r in S.analysed(bars).collect()}
     assert {(r.market_time, r.event, r.direction, r.level_swing_ts, r.level) for r in breaks} == breaks_by_definition(swings, rows, tol)
     known = {r.confirmed_at for r in scored if r.tier == "INTERMEDIATE"} | {r.confirmed_at for r in breaks}
+    from barstrata.plans import universe
+
+    want = {}
+    for k, row in enumerate(rows):
+        side = {kind: sorted((r for r in scored if r.kind == kind and r.confirmed_at <= row[2] + 3600), key=lambda r: r.market_time)[-6:] for kind in ("HIGH", "LOW")}
+        if all(side.values()) and (hi := max(r.price for r in side["HIGH"])) > (lo := min(r.price for r in side["LOW"])):
+            want[k] = int(min(100, max(0, 100 * (row[6] - lo) / (hi - lo))))
+    assert len(want) > 100 and {r.i: r.pct for r in universe.premium_discount(spark, "").collect()} == want
     regimes = market.regime_changes(spark, "").collect()
     assert regimes and {r.confirmed_at for r in regimes} <= known
 
@@ -196,3 +204,26 @@ def test_upsert_and_earliest(spark):
     bars = lambda *x: spark.createDataFrame([("A", "1H", t, c) for t, c in x], "symbol string, tf string, open_ts long, close double")
     assert sorted((r.open_ts, r.close) for r in upsert(bars((0, 1.0), (3600, 2.0)), bars((3600, 5.0), (7200, 6.0))).collect()) == [(0, 1.0), (3600, 5.0), (7200, 6.0)]
     assert [r.close for r in earliest(bars((7200, 6.0), (3600, 5.0)), ["symbol", "tf"], ["open_ts"]).collect()] == [5.0]
+
+
+def test_spread_ratio_by_definition(spark):
+    import numpy as np
+
+    from barstrata.operators.profile import spread_ratio
+
+    rng = np.random.default_rng(3)
+    close = np.round(50 + np.cumsum(rng.normal(0, 0.3, 120)), 2)
+    rows = [("A", "1H", 3600 * k, k, float(c + a), float(c - b), float(c), float(v)) for k, (c, a, b, v) in enumerate(zip(close, *np.round(rng.uniform(0, 1, (2, 120)), 2), rng.integers(1, 90, 120), strict=True))]
+    bars = spark.createDataFrame(rows, "symbol string, tf string, open_ts long, i long, high double, low double, close double, volume double")
+    step, want, median = round(0.0025 * rows[0][6], 8), {}, None
+    for i in range(24, 120):
+        volume = {}
+        for _, _, _, _, high, low, _, v in rows[i - 23 : i + 1]:
+            bins = range(int(low // step), int(high // step) + 1)
+            for b in bins:
+                volume[b] = volume.get(b, 0.0) + v / len(bins)
+        if (i - 24) % 5 == 0:
+            median = sorted(volume.values())[len(volume) // 2]
+        want[i] = volume[int(rows[i][6] // step)] / median
+    got = {r.i: r.ratio for r in spread_ratio(bars, 24, 5).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-8 for i in want)
