@@ -37,6 +37,9 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     the reader sees one fixed version of the rows.
     """
     spark = df.sparkSession
+    # Spark 4.1 can take a union as partitioned like its branches when they are not and
+    # lose rows in the join after it.
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
