@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_dedup, mixing, stream_dedup
+from . import hard_negatives, line_dedup, mixing, stream_dedup
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +82,25 @@ def op10_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .role_repair import damaged, repair_conversations
+
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return repair_conversations(damaged(conversations), conversations)
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(vectors, F.col("vec_id") % 100 == 0, label=label)
+
+
+def op13_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .id_store import encoded_documents
+
+    return encoded_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), tokenizer_path())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
     "op2_poisson_mix": op2_poisson_mix,
@@ -92,10 +112,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality": op9_quality,
     "op10_paragraph_dedup": op10_paragraph_dedup,
+    "op11_role_repair": op11_role_repair,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_id_store": op13_id_store,
 }
 
 ORACLES: dict[str, str] = {
     "op2_poisson_mix": mixing.SQL,
     "op5_stream_dedup": stream_dedup.SQL,
     "op6_line_dedup": line_dedup.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
 }
