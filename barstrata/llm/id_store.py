@@ -21,6 +21,7 @@ from __future__ import annotations
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -87,12 +88,18 @@ class _Shards:
         self.count += 1
 
 
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One a Python worker, so that the tasks after its first find words known."""
+    return WordEncoder(path)
+
+
 def _write(root: str, tokenizer: str, width: int, shard_bytes: int):
     kind = np.dtype("<u2") if width == 2 else np.dtype("<u4")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        encode, shards = WordEncoder(tokenizer), _Shards(root, part)
+        encode, shards = _encoder(tokenizer), _Shards(root, part)
         end = np.array([END], np.uint32).tobytes()
         start = last = object()
         copy, leads = 0, True

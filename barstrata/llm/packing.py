@@ -14,6 +14,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,10 @@ FAN_IN = 1024
 _CACHE_WORDS = 600_000
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _SENTINEL = "~"
+#: Words whose ids can be put together from those of their letters and their end.
+_LETTERS = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+#: Words by which a tokenizer shows that it is so, with every such letter.
+_PROBES = ["the", "Of", "zzqx", "a" * 40, "strengthening", *(f"na{chr(c)}ve" for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7))]
 _UNSAFE = re.compile(r"[\x1c-\x1f\x85]|<\|")
 
 
@@ -46,16 +51,53 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self._tokenizer = Tokenizer.from_file(path)
         self._known: dict[str, bytes] = {}
         mark = self._ids(_SENTINEL)
         self._mark = mark[0] if len(mark) == 1 else None
+        self._model = self._tokenizer.model
+        alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
+        self._bytes = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in "".join(_PROBES).lower() if not c.isascii()}
+        # Whether the model alone gives a word of letters its ids, and ends of words theirs.
+        self._plain = all(self._letters(w.lower()) == self._pack(self._ids(w)) for w in _PROBES) and all(
+            self._ids(f"the{e}") == self._ids("the") + self._ids(e) for e in (".", ",", "!?", ".!!")
+        )
 
     def _ids(self, text: str) -> list[int]:
         return self._tokenizer.encode(text, add_special_tokens=False).ids
 
+    @staticmethod
+    def _pack(ids: list[int]) -> bytes:
+        return array("I", ids).tobytes()
+
+    def _letters(self, word: str) -> bytes:
+        """Ids of a lower-cased word of Latin letters, by the model without the steps before it."""
+        return self._pack([t.id for t in self._model.tokenize(word if word.isascii() else word.translate(self._bytes))])
+
+    def _split(self, words: list[str]) -> list[str]:
+        """Learn words of letters, with or without an end of a sentence; the others come back."""
+        known, rest = self._known, []
+        for w in words:
+            parts = _LETTERS.fullmatch(w)
+            if parts is None:
+                rest.append(w)
+                continue
+            core, end = parts[1].lower(), parts[2]
+            ids = known.get(core)
+            if ids is None:
+                ids = known[core] = self._letters(core)
+            if end:
+                if end not in known:
+                    known[end] = self._pack(self._ids(end))
+                ids += known[end]
+            known[w] = ids
+        return rest
+
     def _learn(self, words: list[str]) -> None:
+        if self._plain:
+            words = self._split(words)
         plain = [w for w in words if _SENTINEL not in w] if self._mark is not None else []
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
@@ -79,11 +121,11 @@ class WordEncoder:
         if len(self._known) > _CACHE_WORDS:
             self._known.clear()
         known = self._known
-        new = {w for words in split if words for w in words if w not in known}
+        new = set().union(*(words for words in split if words)).difference(known)
         if new:
             self._learn(sorted(new))
         return [
-            np.array(self._ids(t), np.uint32).tobytes() if words is None else b"".join([known[w] for w in words])
+            np.array(self._ids(t), np.uint32).tobytes() if words is None else b"".join(map(known.__getitem__, words))
             for t, words in zip(texts, split, strict=True)
         ]
 
