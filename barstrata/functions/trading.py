@@ -76,7 +76,7 @@ def funding_rate(symbol: Column, hours: Column, rate: float = FUNDING_RATE) -> C
     return F.when(per_day > 0, rate * hours / (24 / per_day)).otherwise(F.lit(0.0))
 
 
-def round_trip_cost(symbol: Column, entry: Column, atr: Column, tf_seconds: int) -> Column:
+def round_trip_cost(symbol: Column, entry: Column, atr: Column, tf_seconds: int | Column) -> Column:
     """Estimate of fees, slippage and ten bars' funding."""
     fees = (venue_value(symbol, "maker") + venue_value(symbol, "taker")) * entry
     return fees + SLIP_ATR * atr + funding_rate(symbol, F.lit(10 * tf_seconds / 3600)) * entry

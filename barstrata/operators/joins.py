@@ -32,18 +32,20 @@ def asof(
     right_time: str,
     values: Sequence[str],
     max_age: int | None = None,
+    strict: bool = False,
 ) -> DataFrame:
     """``left`` with the ``values`` of the last right row at or before its time.
 
     Both sides are merged and sorted by time once, and the last right row so far is
-    carried along: one shuffle, no join. At equal times the right row comes first.
-    With ``max_age`` an older row counts as none. Right rows of one key and time are
+    carried along: one shuffle, no join. At equal times the right row comes first, or
+    with ``strict`` too late. With ``max_age`` an older row counts as none. Right rows of one key and time are
     taken in the order of their values.
     """
-    l = left.select(*key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*left.columns).alias("__row"))
+    l = left.select(*key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__row"))
     item = F.struct(F.col(right_time).alias("__at"), *values)
-    r = right.select(*key, F.col(right_time).alias("__t"), F.lit(0).alias("__side"), item.alias("__item"))
-    both = l.unionByName(r, allowMissingColumns=True)
+    r = right.select(*key, F.col(right_time).alias("__t"), F.lit(2 if strict else 0).alias("__side"), item.alias("__item"))
+    # Spark can take a union as partitioned like its branches when it is not.
+    both = l.unionByName(r, allowMissingColumns=True).repartition(*key)
     run = Window.partitionBy(*key).orderBy("__t", "__side", "__item").rowsBetween(Window.unboundedPreceding, 0)
     out = both.withColumn("__last", F.last("__item", ignorenulls=True).over(run)).where("__side = 1")
     known = F.lit(True) if max_age is None else F.col("__t") - F.col("__last.__at") <= max_age
@@ -120,3 +122,78 @@ def held_window(left: DataFrame, bars: DataFrame, start: str, horizon: int, colu
 def fold_series(frame: DataFrame, step, schema: str, key: Sequence[str] = ("symbol", "tf")) -> DataFrame:
     """A recurrence that feeds back on its own output: one pandas pass per series."""
     return frame.groupBy(*key).applyInPandas(step, schema)
+
+
+def first_beyond(
+    left: DataFrame, bars: DataFrame, up: Column, up_metric: Column, up_level: str, down_metric: Column, down_level: str,
+    after: str = "after", name: str = "hit", reach: bool = False,
+) -> DataFrame:
+    """``left`` with the first bar i > after that is beyond a level: rows that are ``up``
+    look for ``up_metric`` above ``up_level``, others for ``down_metric`` below ``down_level``.
+
+    Both sides are one search: downward ones are turned by their sign, and the side is
+    part of the key, so that no two plans are joined after a union.
+    """
+    sides = F.array(F.struct(F.lit(True).alias("up"), up_metric.alias("m")), F.struct(F.lit(False).alias("up"), (-down_metric).alias("m")))
+    series = bars.select("symbol", "tf", "i", F.explode(sides).alias("__s"))
+    series = series.select(F.concat_ws("|", "symbol", F.col("__s.up").cast("string")).alias("symbol"), "tf", "i", F.col("__s.m").alias("__metric"))
+    facts = left.withColumn("__plain", F.col("symbol")).withColumn("__level", F.when(up, F.col(up_level)).otherwise(-F.col(down_level)))
+    facts = facts.withColumn("symbol", F.concat_ws("|", "symbol", up.cast("string")))
+    found = first_crossing(facts, series, F.col("__metric"), "__level", True, after=after, name=name, reach=reach)
+    return found.withColumn("symbol", F.col("__plain")).drop("__plain", "__level")
+
+
+def _power(k: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), k)
+
+
+def active_blocks(first: Column, end: Column, depth: Column) -> Column:
+    """The dyadic blocks (k, block) that make up the whole numbers of [first, end)."""
+    size = _power
+    low = lambda k: F.floor((first + size(k) - 1) / size(k))
+    high = lambda k: F.floor(end / size(k))
+    block = lambda k, at, held: F.when(held & (low(k) < high(k)), F.struct(k.alias("k"), at.cast("long").alias("block")))
+    ends = F.transform(
+        F.sequence(F.lit(0), depth), lambda k: F.array(block(k, low(k), low(k) % 2 == 1), block(k, high(k) - 1, high(k) % 2 == 1))
+    )
+    return F.array_compact(F.flatten(ends))
+
+
+def nearest_active(wanted: DataFrame, levels: DataFrame, step: Column, name: str = "target") -> DataFrame:
+    """``wanted`` (symbol, tf, long, price, as_of) with the nearest level beyond its price
+    that is active then: above it among the HIGH levels for a long row, else below it among
+    the LOW ones; null if none.
+
+    ``levels`` are (symbol, tf, kind, level, known, gone): active in [known, gone), for ever
+    with a null ``gone``. ``step`` is the seconds between two times of a series.
+
+    A level's interval is cut into dyadic blocks of the series' steps, some two for each
+    power of two; a row lies in one block of each. Within a block every level is active for
+    every row, so the nearest one comes from an as-of join in order of price. No row meets
+    a level in vain: both sides grow by the logarithm of the series' length.
+    """
+    key = ["symbol", "tf"]
+    asked = wanted.select(*key, "long", "price", "as_of").distinct()
+    span = asked.groupBy(*key).agg(F.min("as_of").alias("__lo"), F.max("as_of").alias("__hi"))
+    span = span.withColumn("__n", F.floor((F.col("__hi") - F.col("__lo")) / step) + 1)
+    span = span.withColumn("__depth", F.ceil(F.log2(F.col("__n") + 1)).cast("int"))
+    place = lambda c: F.ceil((F.col(c) - F.col("__lo")) / step)
+    sign = F.when(F.col("kind") == "HIGH", -1.0).otherwise(1.0)
+    held = (
+        levels.join(span, key)
+        .withColumns({"__a": F.greatest(place("known"), F.lit(0)), "__b": F.least(F.coalesce(place("gone"), "__n"), F.col("__n"))})
+        .where("__a < __b")
+        .select(*key, "kind", "level", F.explode(active_blocks(F.col("__a"), F.col("__b"), F.col("__depth"))).alias("at"))
+        .select(*key, "kind", "level", "at.k", "at.block", (sign * F.col("level")).alias("__order"))
+    )
+    rows = (
+        asked.join(span, key)
+        .withColumn("kind", F.when(F.col("long"), "HIGH").otherwise("LOW"))
+        .withColumn("__q", F.floor((F.col("as_of") - F.col("__lo")) / step))
+        .withColumn("k", F.explode(F.sequence(F.lit(0), F.col("__depth"))))
+        .select(*key, "long", "price", "as_of", "kind", "k", F.floor(F.col("__q") / _power(F.col("k"))).alias("block"), (sign * F.col("price")).alias("__order"))
+    )
+    met = asof(rows, held, [*key, "kind", "k", "block"], "__order", "__order", ["level"], strict=True)
+    best = F.when(F.col("long"), F.min("level")).otherwise(F.max("level"))
+    found = met.where("level is not null").groupBy(*key, "long", "price", "as_of").agg(best.alias(name))
+    return wanted.join(found, [*key, "long", "price", "as_of"], "left")

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import first_crossing, fold_series, meeting_bars
+from .joins import asof, first_beyond, fold_series, meeting_bars
 from .swings import seconds
 
 ZONE_ATR, POOL_ATR, POOL_BARS = 0.25, 0.10, 100
@@ -53,13 +53,18 @@ def breaks(pivots: DataFrame, bars: DataFrame) -> DataFrame:
     closes = bars.select(*key, (F.col("open_ts") + seconds()).alias("known"), F.lit(1).alias("what"), "open_ts", "close", "tol")
     run = Window.partitionBy(*key).orderBy("known", "what").rowsBetween(Window.unboundedPreceding, 0)
     latest = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("level"))).over(run)
-    told = known.unionByName(closes, allowMissingColumns=True).withColumns({"HIGH": latest("HIGH"), "LOW": latest("LOW")}).where("what = 1")
-    first = lambda kind, side, beyond: (
-        told.where(beyond).groupBy(*key, F.lit(side).alias("direction"), F.col(f"{kind}.market_time").alias("level_swing_ts"))
-        .agg(F.min("open_ts").alias("market_time"), F.max(f"{kind}.price").alias("level"))
+    told = known.unionByName(closes, allowMissingColumns=True).repartition(*key)
+    told = told.withColumns({"HIGH": latest("HIGH"), "LOW": latest("LOW")}).where("what = 1")
+    side = lambda kind, name, beyond: F.when(
+        beyond, F.struct(F.lit(name).alias("direction"), F.col(f"{kind}.market_time").alias("level_swing_ts"), F.col(f"{kind}.price").alias("level"))
     )
-    crossings = first("HIGH", "BULL", F.col("close") > F.col("HIGH.price") + F.col("tol")).unionByName(
-        first("LOW", "BEAR", F.col("close") < F.col("LOW.price") - F.col("tol"))
+    sides = F.array_compact(F.array(
+        side("HIGH", "BULL", F.col("close") > F.col("HIGH.price") + F.col("tol")),
+        side("LOW", "BEAR", F.col("close") < F.col("LOW.price") - F.col("tol")),
+    ))
+    crossings = (
+        told.select(*key, "open_ts", F.explode(sides).alias("side")).groupBy(*key, "side.direction", "side.level_swing_ts")
+        .agg(F.min("open_ts").alias("market_time"), F.max("side.level").alias("level"))
     )
     schema = "symbol string, tf string, direction string, level_swing_ts long, market_time long, level double"
     broken = fold_series(crossings.select("symbol", "tf", "direction", "level_swing_ts", "market_time", "level"), _unspent, schema, [*key, "direction"])
@@ -89,7 +94,7 @@ def regimes(label_facts: DataFrame, break_facts: DataFrame) -> DataFrame:
     """Regime changes from the last break and the last labels, in order of knowledge."""
     facts = label_facts.select("symbol", "tf", "market_time", "confirmed_at", "kind", "label", F.lit(0).alias("what")).unionByName(
         break_facts.select("symbol", "tf", "market_time", "confirmed_at", "event", "direction", F.lit(1).alias("what")), allowMissingColumns=True
-    )
+    ).repartition("symbol", "tf")
     order = Window.partitionBy("symbol", "tf").orderBy("confirmed_at", "market_time", "what", "kind", "direction")
     run = order.rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(run)
@@ -149,15 +154,12 @@ def zones(pivots: DataFrame, tf_weight: int = 0) -> DataFrame:
 def _from_known(facts: DataFrame, bars: DataFrame) -> DataFrame:
     """Adds ``after``: the last bar that closed when the fact became known."""
     closes = bars.select("symbol", "tf", F.col("i").alias("bar_i"), (F.col("open_ts") + seconds()).alias("closed"))
-    from .joins import asof
-
     return asof(facts, closes, ["symbol", "tf"], "confirmed_at", "closed", ["bar_i"]).withColumn("after", F.greatest("bar_i", "i")).drop("bar_i")
 
 
 def _two_sided(facts: DataFrame, bars: DataFrame, up: Column, up_level: str, down_level: str, name: str) -> DataFrame:
     """First close beyond the level: up-side facts above it, others below."""
-    rising = first_crossing(facts.where(up), bars, F.col(_UP), up_level, True, name=name)
-    return rising.unionByName(first_crossing(facts.where(~up), bars, F.col(_DOWN), down_level, False, name=name))
+    return first_beyond(facts, bars, up, F.col(_UP), up_level, F.col(_DOWN), down_level, name=name)
 
 
 def zone_events(zone_facts: DataFrame, bars: DataFrame) -> DataFrame:
@@ -269,6 +271,6 @@ def gap_bands(bars: DataFrame) -> DataFrame:
 def gaps(bars: DataFrame) -> DataFrame:
     """The value gaps with the bar that fills each."""
     gap = gap_bands(bars).withColumn("after", F.col("i"))
-    bull_fill = first_crossing(gap.where("direction = 'BULL'"), bars, F.col("low"), "bottom", False, name="filled_i", reach=True)
-    bear_fill = first_crossing(gap.where("direction = 'BEAR'"), bars, F.col("high"), "top", True, name="filled_i", reach=True)
-    return bull_fill.unionByName(bear_fill).withColumn("fill_lag", F.col("filled_i") - F.col("i")).drop("after")
+    bull = F.col("direction") == "BULL"
+    filled = first_beyond(gap, bars, ~bull, F.col("high"), "top", F.col("low"), "bottom", name="filled_i", reach=True)
+    return filled.withColumn("fill_lag", F.col("filled_i") - F.col("i")).drop("after")

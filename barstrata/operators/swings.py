@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.candles import TF_SECONDS
-from .joins import first_crossing
+from .joins import first_beyond
 from .series import by_time, rows
 
 #: Reversal of a local swing in ATR; bars until a pivot's held window is censored.
@@ -39,11 +39,11 @@ def micro(bars: DataFrame) -> DataFrame:
     for x in low:
         bottom = bottom & (F.col("low") < x.over(by_time()))
     found = bars.withColumns({"top": top, "bottom": bottom, "known": F.lead("open_ts", 2).over(by_time()) + seconds()})
-    side = lambda flag, kind, price: found.where(flag).select(
-        "symbol", "tf", F.col("open_ts").alias("market_time"), F.col("known").alias("confirmed_at"), F.lit(kind).alias("kind"),
-        F.col(price).alias("price"), "i", "atr", "volume",
+    side = lambda flag, kind, price: F.when(flag, F.struct(F.lit(kind).alias("kind"), F.col(price).alias("price")))
+    sides = F.array_compact(F.array(side(F.col("top"), "HIGH", "high"), side(F.col("bottom"), "LOW", "low")))
+    return found.withColumn("side", F.explode(sides)).select(
+        "symbol", "tf", F.col("open_ts").alias("market_time"), F.col("known").alias("confirmed_at"), "side.kind", "side.price", "i", "atr", "volume",
     )
-    return side("top", "HIGH", "high").unionByName(side("bottom", "LOW", "low"))
 
 
 def local(micro_swings: DataFrame) -> DataFrame:
@@ -105,15 +105,14 @@ def scored(inter: DataFrame, bars: DataFrame) -> DataFrame:
         "symbol", "tf", "market_time", "kind", F.col("margin").alias("m2"), F.col("next_opposite").alias("o2"), F.lit(True).alias("dominant")
     )
     same = Window.partitionBy("symbol", "tf", "kind").orderBy("market_time")
-    highs = first_crossing(inter.where("kind = 'HIGH'").withColumn("after", F.col("i")), bars, F.col("high"), "price", True)
-    lows = first_crossing(inter.where("kind = 'LOW'").withColumn("after", F.col("i")), bars, F.col("low"), "price", False)
+    high = F.col("kind") == "HIGH"
+    beyond = first_beyond(inter.withColumn("after", F.col("i")), bars, high, F.col("high"), "price", F.col("low"), "price")
     last = bars.groupBy("symbol", "tf").agg(F.max("i").alias("last_i"))
     ratio = bars.select("symbol", "tf", "i", F.when(F.col("i") >= 20, F.col("volume") / F.avg("volume").over(rows(-20, -1))).alias("vol_ratio"))
     closes = bars.select("symbol", "tf", F.col("i").alias("close_bar"), (F.col("open_ts") + seconds()).alias("closed"))
     part = lambda name, x: F.round(F.least(x / F.lit(WEIGHTS[name][1]), F.lit(1.0)) * WEIGHTS[name][0], 2)
     base = (
-        highs.unionByName(lows)
-        .join(major, ["symbol", "tf", "market_time", "kind"], "left")
+        beyond.join(major, ["symbol", "tf", "market_time", "kind"], "left")
         .join(last, ["symbol", "tf"])
         .withColumn("held", F.least(F.col("hit") - F.col("i"), F.lit(HELD_BARS)))
         .withColumn("held", F.when(F.col("held").isNull() & (F.col("last_i") - F.col("i") >= HELD_BARS), HELD_BARS).otherwise(F.col("held")))

@@ -304,24 +304,25 @@ def promoted_swings(spark, d):
     return _pivots(_analysed(spark, d)).select("symbol", "market_time", "confirmed_at", "kind", "price", *r6("margin"))
 
 
-@query("scored_swings")
+@query("scored_swings", with_tables("""
+SELECT symbol, market_time, confirmed_at, kind, price, tier, round(score, 2) AS score, held, i, p_margin, p_reversal, p_held, p_volume, p_liquidity, p_dominance FROM sco""", "sco"))
 def scored_swings(spark, d):
     bars = _shared(spark, d)
-    return W.scored(_pivots(bars), bars).drop("tf", "atr")
+    return W.scored(_pivots(bars), bars).drop("tf", "atr").withColumn("held", F.col("held").cast("long"))
 
 
 @query("structure_labels", with_tables("SELECT symbol, market_time, confirmed_at, kind, price, label FROM lab WHERE label IS NOT NULL", "lab"))
 def structure_labels(spark, d):
-    return X.labels(_pivots(_analysed(spark, d))).select("symbol", "market_time", "confirmed_at", "kind", "price", "label")
+    return X.labels(_tiered(_shared(spark, d), W.STRUCTURE_TIER[TF])).select("symbol", "market_time", "confirmed_at", "kind", "price", "label")
 
 
-@query("structure_breaks")
+@query("structure_breaks", with_tables("SELECT symbol, market_time, confirmed_at, event, direction, level, level_swing_ts FROM brk", "brk"))
 def structure_breaks(spark, d):
     bars = _shared(spark, d)
     return X.breaks(_tiered(bars, W.STRUCTURE_TIER[TF]), bars).drop("tf")
 
 
-@query("regime_changes")
+@query("regime_changes", with_tables("SELECT symbol, market_time, confirmed_at, regime, hl AS high_label, ll AS low_label FROM reg", "reg"))
 def regime_changes(spark, d):
     bars = _shared(spark, d)
     pivots = written(_tiered(bars, W.STRUCTURE_TIER[TF]), "swings")
@@ -332,8 +333,7 @@ def regime_changes(spark, d):
 SELECT symbol, zone_id, zone_type, confirmed_at, round(bottom, 6) AS bottom, round(top, 6) AS top, cluster,
   least(100, 50 + least(30, 10 * cluster))::BIGINT AS quality FROM zon""", "zon"))
 def zones_created(spark, d):
-    pivots = written(_pivots(_analysed(spark, d)), "swings")
-    return X.zones(pivots).select("symbol", "zone_id", "zone_type", "confirmed_at", *r6("bottom", "top"), "cluster", "quality")
+    return X.zones(written(_tiered(_shared(spark, d), *W.POOL_TIERS), "swings")).select("symbol", "zone_id", "zone_type", "confirmed_at", *r6("bottom", "top"), "cluster", "quality")
 
 
 @query("zone_events", with_tables("""
@@ -348,16 +348,18 @@ UNION ALL
 SELECT z.symbol, z.zone_id, x.open_ts, 'BROKEN', 'BROKEN', NULL FROM zbr z JOIN ba x ON x.symbol = z.symbol AND x.i = z.broken_i""", "zbr"))
 def zone_events(spark, d):
     bars = _shared(spark, d)
-    zones = written(X.zones(written(_pivots(bars), "swings")), "zones")
+    zones = written(X.zones(written(_tiered(bars, *W.POOL_TIERS), "swings")), "zones")
     return X.zone_events(zones, bars).drop("tf")
 
 
-@query("liquidity_pools")
+@query("liquidity_pools", with_tables("SELECT symbol, pool_id, kind, market_time, confirmed_at, level, n_members, i FROM poo", "poo"))
 def liquidity_pools(spark, d):
     return X.pools(written(_tiered(_shared(spark, d), *W.POOL_TIERS), "swings")).drop("tf")
 
 
-@query("liquidity_events")
+@query("liquidity_events", with_tables("""
+SELECT symbol, pool_id, swept_at AS market_time, 'SWEEP' AS event FROM pev WHERE swept_at IS NOT NULL
+UNION ALL SELECT symbol, pool_id, broken_at, 'BROKEN' FROM pev WHERE broken_at IS NOT NULL""", "pev"))
 def liquidity_events(spark, d):
     bars = _shared(spark, d)
     pools = written(X.pools(written(_tiered(bars, *W.POOL_TIERS), "swings")), "pools")
