@@ -1,3 +1,3 @@
 """Named queries over the driver's tables and their DuckDB SQL."""
 
-from . import catalog, decisions, evidence, market, patterns, records, setups, universe  # noqa: F401
+from . import catalog, decisions, evidence, live, market, patterns, records, setups, universe  # noqa: F401
