@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.trading import SLIP_ATR, Gates, cooldown_hours, funding_rate, venue_value
 from .joins import held_window
 
-MAX_BARS, ENTRY_BARS = 100, 4
+MAX_BARS, ENTRY_BARS, MAKER_WAIT = 100, 4, 2
 
 
 def limit_fills(plans: DataFrame, bars: DataFrame, wait: int = ENTRY_BARS) -> DataFrame:
@@ -25,6 +25,40 @@ def limit_fills(plans: DataFrame, bars: DataFrame, wait: int = ENTRY_BARS) -> Da
     return plans.join(hits, "setup_id", "left").join(last, ["symbol", "tf"]).withColumn("status", status).drop("last_i")
 
 
+def simulate_entries(plans: DataFrame, bars: DataFrame, cross: bool = True, wait: int = MAKER_WAIT) -> DataFrame:
+    """Plans (setup_id, order_i, entry, sl, maker_limit, direction) with the fill they got.
+
+    A passive order rests at ``maker_limit`` for ``wait`` bars. One that is not met crosses
+    at the next bar's open, slipped against it, as a taker; without ``cross`` it is MISSED.
+    The entry is the price paid and the risk follows from it. A plan that the data's end
+    leaves undecided, or whose fill lies beyond its stop, is PENDING.
+    """
+    long = F.col("direction") == "LONG"
+    asked = plans.select("symbol", "tf", "setup_id", "order_i", "maker_limit")
+    rested = (
+        held_window(asked, bars, "order_i", wait, ["low", "high"]).where(F.col("maker_limit").between(F.col("low"), F.col("high")))
+        .groupBy("setup_id").agg(F.min("i").alias("rest_i"))
+    )
+    last = bars.groupBy("symbol", "tf").agg(F.max("i").alias("last_i"))
+    opened = bars.select("symbol", "tf", F.col("i").alias("cross_i"), F.col("open").alias("cross_open"), F.col("atr").alias("cross_atr"))
+    told = plans.join(rested, "setup_id", "left").join(last, ["symbol", "tf"]).withColumn("cross_i", F.col("order_i") + wait)
+    told = told.join(opened, ["symbol", "tf", "cross_i"], "left")
+    slip = SLIP_ATR * F.coalesce("cross_atr", F.lit(0.0))
+    crossed = F.lit(cross) & F.col("rest_i").isNull() & F.col("cross_open").isNotNull()
+    fill = F.when(F.col("rest_i").isNotNull(), F.col("maker_limit")).when(crossed, F.when(long, F.col("cross_open") + slip).otherwise(F.col("cross_open") - slip))
+    fine = fill.isNotNull() & F.when(long, fill > F.col("sl")).otherwise(fill < F.col("sl"))
+    missed = F.lit(not cross) & fill.isNull() & (F.col("order_i") + wait <= F.col("last_i") + 1)
+    status = F.when(fine, "FILLED").when(missed, "MISSED").otherwise("PENDING")
+    told = told.withColumns({"fill": fill, "status": status})
+    filled = F.col("status") == "FILLED"
+    return told.withColumns(
+        {
+            "entry": F.when(filled, F.col("fill")).otherwise(F.col("entry")), "entry_role": F.when(filled & F.col("rest_i").isNull(), "TAKER").otherwise("MAKER"),
+            "fill_i": F.when(filled, F.coalesce("rest_i", "cross_i")),
+        }
+    ).drop("rest_i", "last_i", "cross_i", "cross_open", "cross_atr", "fill")
+
+
 def walk_exits(trades: DataFrame, bars: DataFrame, horizon: int = MAX_BARS) -> DataFrame:
     """Trades (setup_id, fill_i, entry, sl, tp, direction) with their exit and excursions.
 
@@ -68,7 +102,8 @@ def settle(exits: DataFrame, tf_seconds: int, entry_role: str = "TAKER") -> Data
     """Adds slip, fees, funding, r_gross and r_multiple.
 
     Stops and timeouts leave at market: slippage, and the taker fee on the slipped
-    price. Targets rest and pay the maker fee. Funding accrues over the hold.
+    price. Targets rest and pay the maker fee. Funding accrues over the hold. A column
+    ``entry_role`` says by whose fee each entry was made; without one all had the same.
     """
     long = F.col("direction") == "LONG"
     market = F.col("outcome").isin("SL", "TIMEOUT")
@@ -76,7 +111,8 @@ def settle(exits: DataFrame, tf_seconds: int, entry_role: str = "TAKER") -> Data
     eff = F.when(long, F.col("exit_price") - F.col("slip")).otherwise(F.col("exit_price") + F.col("slip"))
     hours = F.col("bars_held") * tf_seconds / 3600
     out_rate = F.when(market, venue_value(F.col("symbol"), "taker")).otherwise(venue_value(F.col("symbol"), "maker"))
-    in_rate = venue_value(F.col("symbol"), "taker" if entry_role == "TAKER" else "maker")
+    role = F.col("entry_role") if "entry_role" in exits.columns else F.lit(entry_role)
+    in_rate = F.when(role == "TAKER", venue_value(F.col("symbol"), "taker")).otherwise(venue_value(F.col("symbol"), "maker"))
     gross = F.when(long, F.col("exit_price") - F.col("entry")).otherwise(F.col("entry") - F.col("exit_price"))
     net = F.when(long, F.col("eff_exit") - F.col("entry")).otherwise(F.col("entry") - F.col("eff_exit"))
     risk = F.abs(F.col("entry") - F.col("sl"))

@@ -52,6 +52,23 @@ def asof(
     return out.select("__row.*", *[F.when(known, F.col(f"__last.{v}")).alias(v) for v in values])
 
 
+def asof_many(left: DataFrame, facts: dict[str, tuple[DataFrame, str, Sequence[str]]], key: Sequence[str], left_time: str) -> DataFrame:
+    """``left`` with the last row of each of ``facts`` (name: frame, time, values) at or before
+    its time, as a struct of its values and ``at``, null if none.
+
+    All are dealt by the key and sorted by time once, however many there are. At equal times
+    facts come first; of several of one kind and time the greatest values are the last.
+    """
+    both = left.select(*key, F.col(left_time).alias("__t"), F.lit(1).alias("__side"), F.struct(*[F.col(c) for c in left.columns]).alias("__row"))
+    for name, (frame, time, values) in facts.items():
+        item = F.struct(F.col(time).alias("at"), *values)
+        both = both.unionByName(frame.select(*key, F.col(time).alias("__t"), F.lit(0).alias("__side"), item.alias(name)), allowMissingColumns=True)
+    order = Window.partitionBy(*key).orderBy("__t", "__side", *facts).rowsBetween(Window.unboundedPreceding, 0)
+    carried = {f"__{name}": F.last(name, ignorenulls=True).over(order) for name in facts}
+    out = both.repartition(*key).withColumns(carried).where("__side = 1")
+    return out.select("__row.*", *[F.col(f"__{name}").alias(name) for name in facts])
+
+
 def first_crossing(
     left: DataFrame, bars: DataFrame, metric: Column, level: str, above: bool, after: str = "after", name: str = "hit", reach: bool = False
 ) -> DataFrame:
