@@ -123,7 +123,7 @@ def mfe_mae(spark, d):
 
 
 @query("entry_fill_rate", with_tables("""
-, pl AS (SELECT symbol, i, i + 1 AS order_i, close AS limit_price FROM ba WHERE atr IS NOT NULL AND i % 7 = 0),
+, pl AS (SELECT symbol, i, i + 1 AS order_i, close AS limit_price FROM ba WHERE atr IS NOT NULL),
 f AS (
   SELECT pl.symbol, pl.i, min(x.i) FILTER (pl.limit_price BETWEEN x.low AND x.high) AS fill_i, any_value(order_i) AS order_i,
     (SELECT max(i) FROM ba z WHERE z.symbol = pl.symbol) AS last_i
@@ -132,7 +132,7 @@ SELECT symbol || 'USDT' AS symbol, CASE WHEN fill_i IS NOT NULL THEN 'FILLED' WH
 FROM f GROUP BY ALL""", "ba"))
 def entry_fill_rate(spark, d):
     bars = _bars(spark, d)
-    orders = bars.where("atr is not null and i % 7 = 0").select(
+    orders = bars.where("atr is not null").select(
         "symbol", "tf", F.concat_ws("|", "symbol", F.col("i").cast("string")).alias("setup_id"), (F.col("i") + 1).alias("order_i"), F.col("close").alias("limit_price")
     )
     return E.limit_fills(orders, bars).groupBy("symbol", "status").agg(F.count("*").alias("n"))
