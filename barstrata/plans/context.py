@@ -17,8 +17,8 @@ from ..sources import candles as C
 from ..streaming.bars import written
 from .catalog import query
 from .market import _BB, _PCT, ATR_BANDS, TF, _arms, _schmitt_sql, _sql_arms
-from .setups import _SETUPS, ARMING, named_facts, structure_facts
 from .evidence import _NAMES
+from .setups import _SETUPS, named_facts, setup_facts, structure_facts
 from .sql import with_tables
 
 #: The rungs that one reading folds, and the bars in which a break counts as evidence.
@@ -196,7 +196,7 @@ def _on_life(final: str) -> str:
 def lifecycle(spark: SparkSession, d: str, buckets: int = 8) -> DataFrame:
     """The validated setups' plans, sizes, orders and exits as tables that lie together, traced."""
     facts = named_facts(spark, d)
-    valid = U.setups(facts, ARMING)[0].where("state = 'VALIDATED'")
+    valid = setup_facts(spark, d)[0].where("state = 'VALIDATED'")
     plans = written(valid.select("symbol", "tf", "setup_id", "direction", "entry", "sl", "tp", "maker_limit", F.col("fill_i").alias("order_i")), "plans")
     size = T.size_order(F.lit(U.START_EQUITY), F.col("entry"), F.col("sl"), F.col("symbol"), F.col("direction") == "LONG", F.lit(0.0))
     risk = plans.select("setup_id", size.alias("o")).select("setup_id", "o.decision", "o.risk_usd", "o.units")

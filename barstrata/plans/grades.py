@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 from ..operators import factors as A
 from ..operators import findings as N
 from ..operators import matching as M
-from ..operators import swings as W
 from ..sources import candles as C
 from ..streaming.bars import shared_folder, written
 from .catalog import query
 from .decisions import _on_book, book
-from .market import TF, _pivots, _shared
+from .market import TF
+from .setups import structure_facts
 from .sql import with_tables
 
 DAY = 86400
@@ -39,8 +39,8 @@ UNION ALL
 SELECT symbol, kind, NULL, market_time, 'EXTRA' FROM sco s WHERE NOT EXISTS (SELECT 1 FROM gm WHERE gm.symbol = s.symbol AND gm.kind = s.kind AND gm.f = s.market_time)""", "sco"))
 def pivot_matches(spark, d):
     """Each day's extremes against the scored swings, one to one within a day and a tenth of the price."""
-    bars = _shared(spark, d)
-    swings = written(W.scored(_pivots(bars), bars), "swings")
+    facts = structure_facts(spark, d)
+    bars, swings = facts.bars, facts.swings
     key = ["symbol", "kind"]
     kinds = F.explode(F.array(F.lit("HIGH"), F.lit("LOW")))
     day = C.bucket_start(F.col("open_ts"), "1D")

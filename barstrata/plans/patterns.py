@@ -14,8 +14,10 @@ from ..sources import candles as C
 from ..streaming.bars import written
 from .catalog import query
 from .evidence import _NAMES, _named
-from .market import TF, _pivots, _shared
+from .market import _shared
+from .setups import structure_facts
 from .sql import ema_cte, with_tables
+from .store import kept
 
 _RANGES = """
 , rc0 AS (
@@ -65,12 +67,16 @@ def range_events(spark, d):
 def _cycle_tables(spark: SparkSession, d: str) -> tuple[DataFrame, list[DataFrame], DataFrame]:
     """Daily bars, the accepted lows of both bands and the inversions; a series' seed is its
     first fractal low, as the test tables hold no accepted one."""
-    bars = written(S.indexed(C.bars_from_ticks(C.lineitem_ticks(spark, d), "1D").where(C.is_sound())), "daily-bars")
-    pool = written(Y.fractal_lows(bars), "fractal-lows")
-    seeds = pool.groupBy("symbol", "tf").agg(F.min("at").alias("at"))
-    daily, turned = Y.cycle_lows(pool, seeds, bars, Y.DAILY_DAYS, "DCL")
-    weekly, turned_weeks = Y.cycle_lows(daily.select("symbol", "tf", "at", "low", "i"), seeds, bars, Y.WEEKLY_DAYS, "WCL")
-    return bars, [daily, weekly], turned.unionByName(turned_weeks)
+
+    def make() -> tuple[DataFrame, list[DataFrame], DataFrame]:
+        bars = written(S.indexed(C.bars_from_ticks(C.lineitem_ticks(spark, d), "1D").where(C.is_sound())), "daily-bars")
+        pool = written(Y.fractal_lows(bars), "fractal-lows")
+        seeds = pool.groupBy("symbol", "tf").agg(F.min("at").alias("at"))
+        daily, turned = Y.cycle_lows(pool, seeds, bars, Y.DAILY_DAYS, "DCL")
+        weekly, turned_weeks = Y.cycle_lows(daily.select("symbol", "tf", "at", "low", "i"), seeds, bars, Y.WEEKLY_DAYS, "WCL")
+        return bars, [daily, weekly], written(turned.unionByName(turned_weeks), "cycle-inversions")
+
+    return kept(spark, f"{d}/lineitem.parquet", "cycles", make)
 
 
 def _successor_cte(name: str, pool: str, first: int, last: int) -> str:
@@ -214,8 +220,7 @@ FROM sg4 JOIN nm n ON n.base = sg4.symbol"""
 @query("trend_continuations", with_tables(_NAMES + _TREND, "sco"))
 def trend_continuations(spark, d):
     """Pullbacks to the ribbon that resume, at three venues, with the gate that refuses the others."""
-    bars = _shared(spark, d)
-    swings = written(W.scored(_pivots(bars), bars), "swings")
-    told = G.continuations(written(_named(bars), "named-bars"), _named(swings))
+    facts = structure_facts(spark, d)
+    told = G.continuations(written(_named(facts.bars), "named-bars"), _named(facts.swings))
     rounded = [F.round(c, 6).alias(c) for c in ("entry", "sl", "tp", "maker_limit")]
     return told.select("symbol", "direction", "market_time", "confirmed_at", *rounded, "rr", "pullback_bars", "reason", "fill_i")

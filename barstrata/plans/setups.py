@@ -13,23 +13,28 @@ from .catalog import query
 from .evidence import _NAMES, _named
 from .market import TF, _pivots, _shared
 from .sql import with_tables
+from .store import kept
 
 #: The queries arm orders on the test tables' own timeframe, too.
 ARMING = (TF, *U.FORMING_TFS)
 
 
 def structure_facts(spark: SparkSession, d: str) -> U.Facts:
-    """The facts that setups read, each computed once."""
-    bars = _shared(spark, d)
-    swings = written(W.scored(_pivots(bars), bars), "swings")
-    tiered = swings.where(F.col("tier") == W.STRUCTURE_TIER[TF])
-    broken = written(X.breaks(tiered, bars), "breaks")
-    zones = written(X.zones(swings), "zones")
-    pools = written(X.pools(swings), "pools")
-    return U.Facts(
-        bars, zones, written(X.zone_events(zones, bars), "zone-events"), written(X.regimes(X.labels(tiered), broken), "regimes"), broken, pools,
-        written(X.pool_events(pools, bars), "pool-events"), swings,
-    )
+    """The facts that setups read, each computed once a session."""
+
+    def make() -> U.Facts:
+        bars = _shared(spark, d)
+        swings = written(W.scored(_pivots(bars), bars), "swings")
+        tiered = swings.where(F.col("tier") == W.STRUCTURE_TIER[TF])
+        broken = written(X.breaks(tiered, bars), "breaks")
+        zones = written(X.zones(swings), "zones")
+        pools = written(X.pools(swings), "pools")
+        return U.Facts(
+            bars, zones, written(X.zone_events(zones, bars), "zone-events"), written(X.regimes(X.labels(tiered), broken), "regimes"), broken, pools,
+            written(X.pool_events(pools, bars), "pool-events"), swings,
+        )
+
+    return kept(spark, f"{d}/events.parquet", f"structure-{TF}", make)
 
 
 def named_facts(spark: SparkSession, d: str) -> U.Facts:
@@ -38,6 +43,16 @@ def named_facts(spark: SparkSession, d: str) -> U.Facts:
     return U.Facts(**{name: _named(table) for name, table in vars(plain).items()})
 
 
+def setup_facts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All states of the setups, and the rejections, computed once a session."""
+
+    def make() -> tuple[DataFrame, DataFrame]:
+        told, refused = U.setups(named_facts(spark, d), ARMING)
+        return written(told, "setups"), written(refused, "setup-rejections")
+
+    return kept(spark, f"{d}/events.parquet", f"setups-{TF}", make)
+
+
 def _target(symbol: str, long: str, price: str, as_of: str) -> str:
     """The nearest active level as correlated subqueries: pools, else swings."""
     def side(table: str, value: str, alive: str) -> str:
@@ -167,14 +182,14 @@ def active_targets(spark, d):
 SELECT symbol, setup_id, zone_id, state, strategy, CASE WHEN long THEN 'LONG' ELSE 'SHORT' END AS direction, regime, market_time, confirmed_at,
   round(entry, 6) AS entry, round(sl, 6) AS sl, round(tp, 6) AS tp, rr, rank, round(maker_limit, 6) AS maker_limit, reason, inherited, round(units, 6) AS units, fill_i FROM st"""))
 def setups(spark, d):
-    told, _ = U.setups(named_facts(spark, d), ARMING)
+    told, _ = setup_facts(spark, d)
     rounded = [F.round(c, 6).alias(c) for c in ("entry", "sl", "tp", "maker_limit", "units")]
     return told.select("symbol", "setup_id", "zone_id", "state", "strategy", "direction", "regime", "market_time", "confirmed_at", *rounded, "rr", "rank", "reason", "inherited", "fill_i")
 
 
 @query("setup_rejections", _on_setups("SELECT symbol, zone_id, reason, market_time FROM rj"))
 def setup_rejections(spark, d):
-    _, refused = U.setups(named_facts(spark, d), ARMING)
+    _, refused = setup_facts(spark, d)
     return refused.select("symbol", "zone_id", "reason", "market_time")
 
 
@@ -184,7 +199,7 @@ UNION ALL
 SELECT symbol, 'REJECTED', reason, count(*), count(DISTINCT zone_id) FROM rj GROUP BY ALL"""))
 def setup_funnel(spark, d):
     """How many setups reached each state, and why the others did not."""
-    told, refused = U.setups(named_facts(spark, d), ARMING)
+    told, refused = setup_facts(spark, d)
     every = told.select("symbol", "state", F.coalesce("reason", F.lit("")).alias("reason"), "zone_id").unionByName(
         refused.select("symbol", F.lit("REJECTED").alias("state"), "reason", "zone_id")
     )
