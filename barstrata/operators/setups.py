@@ -24,6 +24,8 @@ CONFIRM_BARS, SWEEP_BARS, CHOCH_BARS, VOLUME_RATIO = 3, 10, 20, 1.3
 NEAR_ATR, FORMING_STOP_ATR, STOP_ATR, NARROW_ATR = 1.0, 0.25, 0.15, 0.15
 MIN_RR, GOOD_RR, MAX_R, COST_MULTIPLE, HOT_VOLUME = 1.5, 2.5, 3.0, 2.0, 1.5
 MAKER_OFFSET_R, START_EQUITY = 0.10, 10_000.0
+# Bars and ATR of a retest, ATR through a level that end it; reach and ratio of a draft.
+RETEST_BARS, RETEST_ATR, THROUGH_ATR, DRAFT_ATR, DRAFT_RR = 12, 0.35, 0.75, 3.0, 2.0
 #: Timeframes that arm orders before a touch.
 FORMING_TFS = ("4H", "1D", "1W")
 VERSION = "v1"
@@ -103,6 +105,94 @@ def _setup_id() -> Column:
     return F.concat_ws("|", "symbol", "tf", "strategy", "zone_id", F.lit(VERSION))
 
 
+def gated(rows: DataFrame, swings: DataFrame) -> DataFrame:
+    """Proven trades (open_ts, high, low, atr and tick of the proving bar; long, entry, sl) with
+    target, ratio, passive limit and the gate that refuses each as ``reason``, null if none.
+
+    The target is the nearest swing known at the proving bar's close, at most ``MAX_R`` away.
+    """
+    long = F.col("long")
+    levels = swings.select(*_KEY, "kind", F.col("price").alias("level"), F.col("confirmed_at").alias("known"), F.lit(None).cast("long").alias("gone"))
+    asked = rows.withColumns({"price": F.col("entry"), "as_of": F.col("open_ts") + _step()})
+    aimed = nearest_active(asked, levels, _step(), "far")
+    risk = F.when(long, F.col("entry") - F.col("sl")).otherwise(F.col("sl") - F.col("entry"))
+    aimed = aimed.withColumn("risk", risk)
+    capped = F.when(long, F.least("far", F.col("entry") + MAX_R * F.col("risk"))).otherwise(F.greatest("far", F.col("entry") - MAX_R * F.col("risk")))
+    aimed = aimed.withColumn("tp", F.when(F.col("far").isNotNull(), capped))
+    aimed = aimed.withColumn("rr", _r(F.col("entry"), F.col("sl"), F.col("tp"), long)[2])
+    refusal = (
+        F.when(F.col("risk") <= 0, "INVALID_BRACKET")
+        .when((F.col("high") - F.col("low") < NARROW_ATR * F.col("atr")) | (F.col("risk") < 2 * F.col("tick")), "VETOED")
+        .when(F.col("far").isNull(), "NO_CAUSAL_TARGET")
+        .when(F.col("rr") < MIN_RR, "RR_BELOW_MINIMUM")
+        .when(F.col("risk") < COST_MULTIPLE * _cost(F.col("entry"), F.col("atr")), "UNECONOMIC_AFTER_COSTS")
+    )
+    limit = F.when(long, F.col("entry") - MAKER_OFFSET_R * F.col("risk")).otherwise(F.col("entry") + MAKER_OFFSET_R * F.col("risk"))
+    return aimed.withColumns({"reason": refusal, "maker_limit": limit})
+
+
+def breakout_retests(facts: Facts) -> DataFrame:
+    """Breaks of structure whose level price comes back to within twelve bars and holds.
+
+    A race in the bars after the break: one that trades far through the level ends it, the
+    first one that reaches the level and closes back out of it proves it.
+    """
+    at = facts.bars.select(*_KEY, F.col("open_ts").alias("market_time"), F.col("i").alias("break_i"), F.col("atr").alias("break_atr"))
+    breaks = facts.breaks.where("event = 'BOS'").join(at, [*_KEY, "market_time"]).where("break_atr is not null")
+    breaks = breaks.select(*_KEY, F.col("market_time").alias("break_ts"), "break_i", (F.col("direction") == "BULL").alias("long"), "level", (F.col("break_i") + 1).alias("from_i"))
+    bars = facts.bars.withColumn("next_open", F.lead("open").over(Window.partitionBy(*_KEY).orderBy("open_ts")))
+    held = held_window(breaks, bars, "from_i", RETEST_BARS, ["open_ts", "high", "low", "open", "close", "atr", "tick", "next_open"]).where("atr is not null")
+    long, level, atr = F.col("long"), F.col("level"), F.col("atr")
+    reached = F.when(long, F.col("low") <= level + RETEST_ATR * atr).otherwise(F.col("high") >= level - RETEST_ATR * atr)
+    failed = F.when(long, F.col("low") < level - THROUGH_ATR * atr).otherwise(F.col("high") > level + THROUGH_ATR * atr)
+    held = held.withColumns({"upper": level + F.col("tick"), "lower": level - F.col("tick")})
+    proves = reached & ~failed & confirms(long, F.col("upper"), F.col("lower"))
+    bar = F.struct("i", "open_ts", "high", "low", "atr", "tick", "next_open")
+    raced = held.groupBy(*_KEY, "break_ts", "break_i", "long", "level").agg(F.min(F.when(proves, bar)).alias("bar"), F.min(F.when(failed, F.col("i"))).alias("failed_i"))
+    shown = raced.where("bar is not null and (failed_i is null or bar.i < failed_i) and bar.next_open is not null").select(
+        *_KEY, "break_ts", "break_i", "long", "level", "bar.*"
+    )
+    sl = F.when(long, F.least("low", "level") - STOP_ATR * atr).otherwise(F.greatest("high", "level") + STOP_ATR * atr)
+    told = gated(shown.withColumns({"entry": F.col("next_open"), "sl": sl}), facts.swings)
+    return told.select(
+        *_KEY, F.when(long, "LONG").otherwise("SHORT").alias("direction"), "break_ts", "level", F.col("open_ts").alias("market_time"), F.col("as_of").alias("confirmed_at"),
+        "entry", "sl", "tp", "rr", "maker_limit", (F.col("i") - F.col("break_i")).alias("retest_bars"), "reason", (F.col("i") + 1).alias("fill_i"),
+    )
+
+
+def draft_brackets(facts: Facts, shorts: Column) -> DataFrame:
+    """A bracket at the nearest live zone within three ATR of each series' last close, if any.
+
+    The target is the nearest unbroken pool beyond the entry, else two risks away. ``shorts``
+    says by symbol whether supply zones count. Of zones equally far the earlier known counts.
+    """
+    closing = facts.bars.groupBy(*_KEY).agg(F.max_by("close", "i").alias("price"), F.max_by("atr", F.when(F.col("atr").isNotNull(), F.col("i"))).alias("atr"))
+    broken = facts.zone_events.where("event = 'BROKEN'").select(*_KEY, "zone_id")
+    live = facts.zones.join(broken, [*_KEY, "zone_id"], "left_anti").join(closing.where("atr > 0 and price > 0"), _KEY)
+    demand = (F.col("zone_type") == "DEMAND") & (F.col("price") >= F.col("bottom"))
+    supply = (F.col("zone_type") == "SUPPLY") & (F.col("price") <= F.col("top")) & shorts
+    away = F.greatest(F.lit(0.0), F.when(demand, F.col("price") - F.col("top")).when(supply, F.col("bottom") - F.col("price")))
+    near = live.where(demand | supply).withColumn("distance", away).where(F.col("distance") <= DRAFT_ATR * F.col("atr"))
+    rest = [c for c in near.columns if c not in _KEY]
+    best = near.groupBy(*_KEY).agg(F.min_by(F.struct(*rest), F.struct("distance", "confirmed_at", "zone_id")).alias("x")).select(*_KEY, "x.*")
+    long = F.col("zone_type") == "DEMAND"
+    sl = F.when(long, F.col("bottom") - FORMING_STOP_ATR * F.col("atr")).otherwise(F.col("top") + FORMING_STOP_ATR * F.col("atr"))
+    best = best.withColumns({"long": long, "entry": F.when(long, F.col("top")).otherwise(F.col("bottom")), "sl": sl})
+    gone = facts.pool_events.where("event = 'BROKEN'").select(*_KEY, "pool_id")
+    pools = facts.pools.join(gone, [*_KEY, "pool_id"], "left_anti").select(*_KEY, "pool_id", F.col("kind").alias("side"), "level")
+    fits = F.when(long, (F.col("side") == "HIGH") & (F.col("level") > F.col("entry"))).otherwise((F.col("side") == "LOW") & (F.col("level") < F.col("entry")))
+    # One bracket a series meets its own pools: as many rows as there are pools.
+    aims = best.select(*_KEY, "zone_type", "entry").join(pools, _KEY).where(fits).groupBy(*_KEY).agg(
+        F.min_by(F.struct("level", "pool_id"), F.struct(F.abs(F.col("level") - F.col("entry")), "pool_id")).alias("aim")
+    )
+    risk = F.abs(F.col("entry") - F.col("sl"))
+    other = F.when(long, F.col("entry") + DRAFT_RR * risk).otherwise(F.col("entry") - DRAFT_RR * risk)
+    return best.join(aims, _KEY, "left").select(
+        *_KEY, F.when(long, "LONG").otherwise("SHORT").alias("direction"), "zone_id", "entry", "sl", F.coalesce("aim.level", other).alias("tp"), "aim.pool_id",
+        F.bround(F.col("distance") / F.col("atr"), 2).alias("distance_atr"),
+    )
+
+
 def _events(facts: Facts) -> DataFrame:
     """Each zone with its first touch and its break: bar numbers and open times."""
     at = facts.bars.select(*_KEY, F.col("open_ts").alias("market_time"), F.col("i").alias("event_i"))

@@ -13,11 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..streaming.bars import written
-from .joins import held_window, nearest_active
+from .joins import held_window
 from .paths import reachable
 from .series import sma
-from .setups import COST_MULTIPLE, MAKER_OFFSET_R, MAX_R, MIN_RR, NARROW_ATR, STOP_ATR, _cost, _r
-from .swings import seconds
+from .setups import STOP_ATR, gated
 
 # Deadband and nearness in ATR, bars of a stretch, of a pullback, to resume, of a series.
 DEADBAND_ATR, NEAR_ATR, STRETCH, PULLBACK_BARS, RESUME_BARS, LEAST_BARS = 0.25, 0.60, 3, 10, 6, 210
@@ -94,22 +93,8 @@ def continuations(bars: DataFrame, swings: DataFrame) -> DataFrame:
     base = taken.join(extreme, [*_KEY, "pull_i"]).join(at, [*_KEY, "end_i"]).where("next_open is not null")
     long: Column = F.col("long")
     sl = F.when(long, F.col("lowest") - STOP_ATR * F.col("atr")).otherwise(F.col("highest") + STOP_ATR * F.col("atr"))
-    base = base.withColumns({"entry": F.col("next_open"), "sl": sl, "price": F.col("next_open"), "as_of": F.col("open_ts") + seconds()})
-    levels = swings.select(*_KEY, "kind", F.col("price").alias("level"), F.col("confirmed_at").alias("known"), F.lit(None).cast("long").alias("gone"))
-    aimed = nearest_active(base, levels, seconds(), "far")
-    risk = F.when(long, F.col("entry") - F.col("sl")).otherwise(F.col("sl") - F.col("entry"))
-    capped = F.when(long, F.least("far", F.col("entry") + MAX_R * F.col("risk"))).otherwise(F.greatest("far", F.col("entry") - MAX_R * F.col("risk")))
-    aimed = aimed.withColumn("risk", risk).withColumn("tp", F.when(F.col("far").isNotNull(), capped))
-    aimed = aimed.withColumn("rr", _r(F.col("entry"), F.col("sl"), F.col("tp"), long)[2])
-    refusal = (
-        F.when(F.col("risk") <= 0, "INVALID_BRACKET")
-        .when((F.col("high") - F.col("low") < NARROW_ATR * F.col("atr")) | (F.col("risk") < 2 * F.col("tick")), "VETOED")
-        .when(F.col("far").isNull(), "NO_CAUSAL_TARGET")
-        .when(F.col("rr") < MIN_RR, "RR_BELOW_MINIMUM")
-        .when(F.col("risk") < COST_MULTIPLE * _cost(F.col("entry"), F.col("atr")), "UNECONOMIC_AFTER_COSTS")
-    )
-    limit = F.when(long, F.col("entry") - MAKER_OFFSET_R * F.col("risk")).otherwise(F.col("entry") + MAKER_OFFSET_R * F.col("risk"))
-    return aimed.withColumns({"reason": refusal, "maker_limit": limit, "pullback_bars": F.col("end_i") - F.col("pull_i")}).select(
+    aimed = gated(base.withColumns({"entry": F.col("next_open"), "sl": sl}), swings)
+    return aimed.withColumn("pullback_bars", F.col("end_i") - F.col("pull_i")).select(
         *_KEY, F.when(long, "LONG").otherwise("SHORT").alias("direction"), F.col("open_ts").alias("market_time"), F.col("as_of").alias("confirmed_at"),
         "entry", "sl", "tp", "rr", "maker_limit", "pullback_bars", "reason", (F.col("end_i") + 1).alias("fill_i"),
     )

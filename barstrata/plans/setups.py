@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.trading import venue_value
 from ..operators import setups as U
 from ..operators import structure as X
 from ..operators import swings as W
@@ -204,3 +205,59 @@ def setup_funnel(spark, d):
         refused.select("symbol", F.lit("REJECTED").alias("state"), "reason", "zone_id")
     )
     return every.groupBy("symbol", "state", "reason").agg(F.count("*").alias("n"), F.count_distinct("zone_id").alias("zones"))
+
+
+_RETEST = """
+, bq AS (
+  SELECT b.symbol, b.market_time AS break_ts, x.i AS break_i, b.direction = 'BULL' AS long, b.level FROM brk b JOIN ba x ON x.symbol = b.symbol AND x.open_ts = b.market_time
+  WHERE b.event = 'BOS' AND x.atr IS NOT NULL),
+bh AS (
+  SELECT q.*, x.i, x.open_ts, x.high, x.low, x.close, x.atr, CASE WHEN long THEN x.low <= level + 0.35 * x.atr ELSE x.high >= level - 0.35 * x.atr END AS reached,
+    CASE WHEN long THEN x.low < level - 0.75 * x.atr ELSE x.high > level + 0.75 * x.atr END AS failed
+  FROM bq q JOIN ba x ON x.symbol = q.symbol AND x.i BETWEEN q.break_i + 1 AND q.break_i + 12 AND x.atr IS NOT NULL),
+bc AS (
+  SELECT symbol, break_ts, min(i) FILTER (failed) AS failed_i,
+    min(i) FILTER (reached AND NOT failed AND CASE WHEN long THEN low <= level + 0.01 AND close > level + 0.01 AND (high <= low OR close >= low + 0.66 * (high - low))
+      ELSE high >= level - 0.01 AND close < level - 0.01 AND (high <= low OR close <= high - 0.66 * (high - low)) END) AS ci FROM bh GROUP BY symbol, break_ts),
+bs AS (
+  SELECT h.*, n.open AS entry, h.high - h.low AS span, CASE WHEN long THEN least(h.low, level) - 0.15 * h.atr ELSE greatest(h.high, level) + 0.15 * h.atr END AS sl
+  FROM bc c JOIN bh h ON h.symbol = c.symbol AND h.break_ts = c.break_ts AND h.i = c.ci JOIN ba n ON n.symbol = c.symbol AND n.i = c.ci + 1 WHERE failed_i IS NULL OR ci < failed_i),
+bt AS (
+  SELECT *, CASE WHEN long THEN entry - sl ELSE sl - entry END AS risk,
+    CASE WHEN long THEN (SELECT min(q.price) FROM sco q WHERE q.symbol = s.symbol AND q.kind = 'HIGH' AND q.confirmed_at <= s.open_ts + 3600 AND q.price > s.entry)
+      ELSE (SELECT max(q.price) FROM sco q WHERE q.symbol = s.symbol AND q.kind = 'LOW' AND q.confirmed_at <= s.open_ts + 3600 AND q.price < s.entry) END AS far FROM bs s),
+bu AS (SELECT *, CASE WHEN far IS NOT NULL THEN CASE WHEN long THEN least(far, entry + 3 * risk) ELSE greatest(far, entry - 3 * risk) END END AS tp FROM bt),
+bv AS (SELECT *, round_even(CASE WHEN long THEN tp - entry ELSE entry - tp END / risk, 2) AS rr FROM bu)
+"""
+
+
+@query("breakout_retests", with_tables(_NAMES + _RETEST + f"""
+SELECT n.symbol, CASE WHEN long THEN 'LONG' ELSE 'SHORT' END AS direction, break_ts, level, open_ts AS market_time, open_ts + 3600 AS confirmed_at, round(entry, 6) AS entry, round(sl, 6) AS sl,
+  round(tp, 6) AS tp, rr, round(CASE WHEN long THEN entry - 0.1 * risk ELSE entry + 0.1 * risk END, 6) AS maker_limit, i - break_i AS retest_bars,
+  CASE WHEN risk <= 0 THEN 'INVALID_BRACKET' WHEN span < 0.15 * atr OR risk < 0.02 THEN 'VETOED' WHEN far IS NULL THEN 'NO_CAUSAL_TARGET' WHEN rr < 1.5 THEN 'RR_BELOW_MINIMUM'
+    WHEN risk < 2 * {_COST} THEN 'UNECONOMIC_AFTER_COSTS' END AS reason, i + 1 AS fill_i
+FROM bv JOIN nm n ON n.base = bv.symbol""", "brk"))
+def breakout_retests(spark, d):
+    told = U.breakout_retests(named_facts(spark, d))
+    rounded = [F.round(c, 6).alias(c) for c in ("entry", "sl", "tp", "maker_limit")]
+    return told.select("symbol", "direction", "break_ts", "level", "market_time", "confirmed_at", *rounded, "rr", "retest_bars", "reason", "fill_i")
+
+
+@query("draft_brackets", with_tables(_NAMES + """
+, lc AS (
+  SELECT symbol, arg_max(close, i) AS price, arg_max(atr, i) FILTER (atr IS NOT NULL) AS atr FROM ba GROUP BY symbol),
+lv AS (
+  SELECT z.*, c.price, c.atr, n.symbol AS venue_symbol, z.zone_type = 'DEMAND' AS long, greatest(0, CASE z.zone_type WHEN 'DEMAND' THEN c.price - z.top ELSE z.bottom - c.price END) AS distance
+  FROM zbr z JOIN lc c USING (symbol) JOIN nm n ON n.base = z.symbol
+  WHERE z.broken_i IS NULL AND (z.zone_type = 'DEMAND' AND c.price >= z.bottom OR z.zone_type = 'SUPPLY' AND c.price <= z.top AND n.shorts)),
+nz AS (SELECT * FROM lv WHERE distance <= 3 * atr QUALIFY row_number() OVER (PARTITION BY venue_symbol ORDER BY distance, confirmed_at, zone_id) = 1),
+bk AS (SELECT *, CASE WHEN long THEN top ELSE bottom END AS entry, CASE WHEN long THEN bottom - 0.25 * atr ELSE top + 0.25 * atr END AS sl FROM nz),
+am AS (
+  SELECT b.*, (SELECT min((abs(p.level - b.entry), p.pool_id, p.level)) FROM pev p WHERE p.symbol = b.symbol AND p.broken_at IS NULL
+    AND CASE WHEN b.long THEN p.kind = 'HIGH' AND p.level > b.entry ELSE p.kind = 'LOW' AND p.level < b.entry END) AS aim FROM bk b)
+SELECT venue_symbol AS symbol, CASE WHEN long THEN 'LONG' ELSE 'SHORT' END AS direction, zone_id, round(entry, 6) AS entry, round(sl, 6) AS sl,
+  round(coalesce(aim[3], CASE WHEN long THEN entry + 2 * (entry - sl) ELSE entry - 2 * (sl - entry) END), 6) AS tp, aim[2] AS pool_id, round_even(distance / atr, 2) AS distance_atr FROM am""", "zbr", "pev"))
+def draft_brackets(spark, d):
+    """What a trade at the nearest live level would look like now, by venue."""
+    told = U.draft_brackets(named_facts(spark, d), venue_value(F.col("symbol"), "shorts"))
+    return told.select("symbol", "direction", "zone_id", *[F.round(c, 6).alias(c) for c in ("entry", "sl", "tp")], "pool_id", "distance_atr")
