@@ -81,8 +81,8 @@ prt AS (
     round(least(coalesce(round(abs(price - coalesce(o2, next_opposite)) / atr, 2), 0.0) / 15.0, 1.0) * 24, 2) AS p_reversal,
     round(least(held / 90.0, 1.0) * 14, 2) AS p_held,
     round(least(log2(round(coalesce(CASE WHEN i >= 20 THEN vol_ratio END, 1.0), 2) + 1) / log2(7.0), 1.0) * 12, 2) AS p_volume,
-    CASE WHEN CASE kind WHEN 'HIGH' THEN price > prev ELSE price < prev END THEN 4.0 ELSE 0.0 END AS p_liquidity,
-    CASE WHEN dominant THEN 12.0 ELSE 0.0 END AS p_dominance
+    CASE WHEN CASE kind WHEN 'HIGH' THEN price > prev ELSE price < prev END THEN 4.0::DOUBLE ELSE 0.0 END AS p_liquidity,
+    CASE WHEN dominant THEN 12.0::DOUBLE ELSE 0.0 END AS p_dominance
   FROM hld),
 sco AS (
   SELECT *, CASE WHEN score >= 55 THEN 'MAJOR' ELSE 'INTERMEDIATE' END AS tier FROM (
