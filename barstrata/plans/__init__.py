@@ -1,3 +1,3 @@
 """Named queries over the driver's tables and their DuckDB SQL."""
 
-from . import catalog, context, decisions, evidence, grades, live, market, patterns, records, setups, universe  # noqa: F401
+from . import catalog, context, decisions, evidence, exits, grades, live, market, patterns, records, setups, universe  # noqa: F401

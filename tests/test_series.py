@@ -2,7 +2,6 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 
 def test_recurrences_in_slices_equal_whole_series(spark):
@@ -20,3 +19,57 @@ def test_recurrences_in_slices_equal_whole_series(spark):
         want = S._recur(part[["symbol", "tf", "i", "tr", "close"]].reset_index(drop=True))
         for name in S.RECURRENCES:
             np.testing.assert_allclose(part[name].to_numpy(float), want[name].to_numpy(float), rtol=1e-11, atol=1e-11)
+
+
+def by_hand(trade, bars, rules, hold):
+    """One trade bar by bar: (outcome, bars held, partial's bar, exit in R), or None while open."""
+    from barstrata.operators import managed as M
+
+    _, _, _, direction, fill, entry, sl, tp = trade
+    sign, risk = (1 if direction == "LONG" else -1), abs(entry - sl)
+    stop, best, part = -1.0, 0.0, None
+    for k, (_, _, _, high, low, close, _) in enumerate(bars[fill : fill + 100]):
+        up, down, end = (sign * (x - entry) / risk for x in ((high, low, close) if sign > 0 else (low, high, close)))
+        if rules.partial and part is None and up >= M.PARTIAL_R and down > stop and down >= 0:
+            part, stop = k, 0.0
+        best = max(best, up)
+        if rules.trail and best >= M.EVEN_R:
+            stop = max(stop, 0.0)
+        if rules.trail and best >= M.TRAIL_R:
+            stop = max(stop, best - M.TRAIL_DISTANCE)
+        if down <= stop:
+            return "SL", k, part
+        if up >= sign * (tp - entry) / risk:
+            return "TP", k, part
+        if rules.time_stop and k >= hold and end > M.STAGNATION:
+            return "TIME", k, part
+    return ("TIMEOUT", 99, part) if not rules.time_stop and fill + 100 <= len(bars) else None
+
+
+def test_managed_exits_by_definition(spark):
+    from barstrata.operators import managed as M
+    from barstrata.operators.execution import settle, walk_exits
+
+    rng = np.random.default_rng(8)
+    close = 200 + np.cumsum(rng.normal(0, 1, 900))
+    bars = [("XUSDT", "1H", i, float(c + rng.exponential(0.7)), float(c - rng.exponential(0.7)), float(c), 1.0) for i, c in enumerate(close)]
+    trades = []
+    for n in range(300):
+        fill, risk, sign = int(rng.integers(0, 900)), float(rng.uniform(0.5, 9)), int(rng.choice([-1, 1]))
+        entry = float(close[max(fill - 1, 0)])
+        trades.append(("XUSDT", "1H", f"t{n}", "LONG" if sign > 0 else "SHORT", fill, entry, entry - sign * risk, entry + sign * risk * float(rng.uniform(1, 4))))
+    frame = spark.createDataFrame(bars, "symbol string, tf string, i long, high double, low double, close double, atr double")
+    asked = spark.createDataFrame(trades, "symbol string, tf string, setup_id string, direction string, fill_i long, entry double, sl double, tp double")
+    exits = M.managed_exits(asked, frame, 3600)
+    got = {(r.setup_id, r.cell): r for r in exits.collect()}
+    want = {(t[2], rules.cell): by_hand(t, bars, rules, M.HOLD_BARS["1H"]) for t in trades for rules in M.CELLS}
+    want = {key: end for key, end in want.items() if end}
+    assert got.keys() == want.keys()
+    assert all((r.outcome, r.bars_held, r.partial) == (want[k][0], want[k][1], want[k][2] is not None) for k, r in got.items())
+    assert {end[0] for end in want.values()} == {"SL", "TP", "TIME", "TIMEOUT"} and sum(r.partial for r in got.values()) > 30
+    # Trades that are merely held end and settle as in the book.
+    plain = {r.setup_id: (r.outcome, r.bars_held, r.r_multiple) for r in settle(walk_exits(asked, frame), 3600).collect()}
+    assert plain == {k[0]: (r.outcome, r.bars_held, pytest.approx(r.r)) for k, r in got.items() if k[1] == "HOLD"}
+    rows = {r.cell: r for r in M.compared(exits).collect()}
+    assert rows["HOLD"].mean_gain == 0 and rows["HOLD"].n == len(plain) and rows["TRAIL"].better > 0 < rows["TRAIL"].worse
+    assert M.managed_exits(asked.where("false"), frame, 3600).count() == 0
