@@ -73,3 +73,24 @@ def test_managed_exits_by_definition(spark):
     rows = {r.cell: r for r in M.compared(exits).collect()}
     assert rows["HOLD"].mean_gain == 0 and rows["HOLD"].n == len(plain) and rows["TRAIL"].better > 0 < rows["TRAIL"].worse
     assert M.managed_exits(asked.where("false"), frame, 3600).count() == 0
+
+
+def test_one_listing_an_underlying_and_thin_rankings_refused(spark):
+    from barstrata.operators import venues as V
+
+    rows = [
+        ("BTC-USD", 0, 900.0), ("BTCUSDT", 0, 50.0), ("PF_XBTUSD", 0, 70.0), ("ETH-USD", 0, 80.0), ("XYZ", 0, 1e9),
+        ("BTC-USD", 100, 900.0), ("PF_XBTUSD", 100, 10.0), ("ETH-USD", 100, 30.0), ("ETHUSDT", 100, None),
+        ("BTC-USD", 200, 5.0), ("BTCUSDT", 200, 50.0), ("PF_XBTUSD", 200, 70.0), ("ETH-USD", 200, 80.0), ("ETHUSDT", 200, 1.0), ("XYZ", 200, 1.0),
+    ]
+    listings = spark.createDataFrame(rows, "symbol string, look long, volume double")
+    best = {(r.look, r.base): (r.symbol, r.volume) for r in V.one_per_base(listings).collect()}
+    assert best[0, "BTC"] == ("PF_XBTUSD", 70.0) and best[100, "ETH"] == ("ETH-USD", 30.0) and best[200, "ETH"] == ("ETHUSDT", 1.0) and len(best) == 6
+    looks = {r.look: r for r in V.refreshes(listings, 100, 0.9).collect()}
+    assert [(looks[t].listed, looks[t].answered, looks[t].taken, looks[t].standing) for t in (0, 100, 200)] == [(5, 5, True, 0), (6, 3, False, 0), (6, 6, True, 200)]
+    told = {(r.look, r.symbol): (r.rank, r.state, r.reason) for r in V.members(listings, ["ETH-USD", "BTC-USD"], 1, 40.0, 2).collect()}
+    assert told == {
+        (0, "ETH-USD"): (1, "WARMING", "insufficient_history"), (0, "BTC-USD"): (None, "WARMING", "seed_anchor"), (0, "PF_XBTUSD"): (None, "SHADOW", "warming_for_venue_switch"),
+        (100, "BTC-USD"): (1, "ADMITTED", "liquid_and_warm"), (100, "ETH-USD"): (None, "ADMITTED", "seed_anchor"),
+        (200, "BTCUSDT"): (1, "ADMITTED", "liquid_and_warm"), (200, "ETH-USD"): (None, "ADMITTED", "seed_anchor"), (200, "PF_XBTUSD"): (None, "SHADOW", "warming_for_venue_switch"),
+    }
