@@ -398,12 +398,9 @@ sl AS (
 st AS (SELECT *, (stack, position, s20, s50, s200) AS state, lag((stack, position, s20, s50, s200)) OVER (PARTITION BY symbol ORDER BY i) AS was FROM sl)"""
 
 
-@query("ma_ribbon_events", with_tables(_RIBBON + """
-SELECT symbol, i, CASE WHEN was IS NULL THEN 'ESTABLISHED' ELSE 'CHANGED' END AS event, stack, position, s20 AS slope_ema20, s50 AS slope_ema50, s200 AS slope_sma200
-FROM st WHERE was IS DISTINCT FROM state""", "ba"))
-def ma_ribbon_events(spark, d):
-    """Changes of the ribbon's stack, the close's place and the latched slopes, from bar 199 on."""
-    bars = S.analysed(C.candles(spark, d, TF)).withColumn("sma200", S.sma("close", 200))
+def ribbon_changes(bars: DataFrame) -> DataFrame:
+    """The bars where the ribbon's stack, the close's place or a latched slope changes; ``was`` is the state before."""
+    bars = bars.withColumn("sma200", S.sma("close", 200))
     bars = bars.withColumns({f"d_{c}": F.col(c) - F.lag(c, k).over(S.by_time()) for c, k in RIBBON}).where("i >= 199 and atr is not null")
     band, tol, fast, mid, slow = DEAD_BAND * F.col("atr"), F.col("tol"), F.col("ema20"), F.col("ema50"), F.col("sma200")
     slope = lambda c: S.latch(F.when(F.col(f"d_{c}") > band, "UP").when(F.col(f"d_{c}") < -band, "DOWN"))
@@ -411,6 +408,14 @@ def ma_ribbon_events(spark, d):
     place = F.when(F.col("close") > F.greatest(fast, mid, slow) + tol, "ABOVE").when(F.col("close") < F.least(fast, mid, slow) - tol, "BELOW").otherwise("INSIDE")
     told = bars.withColumns({f"slope_{c}": slope(c) for c, _ in RIBBON} | {"stack": stack, "position": place})
     state = F.struct("stack", "position", *[f"slope_{c}" for c, _ in RIBBON])
-    moved = told.withColumn("state", state).withColumn("was", F.lag("state").over(S.by_time())).where("not (state <=> was)")
+    return told.withColumn("state", state).withColumn("was", F.lag("state").over(S.by_time())).where("not (state <=> was)")
+
+
+@query("ma_ribbon_events", with_tables(_RIBBON + """
+SELECT symbol, i, CASE WHEN was IS NULL THEN 'ESTABLISHED' ELSE 'CHANGED' END AS event, stack, position, s20 AS slope_ema20, s50 AS slope_ema50, s200 AS slope_sma200
+FROM st WHERE was IS DISTINCT FROM state""", "ba"))
+def ma_ribbon_events(spark, d):
+    """Changes of the ribbon's stack, the close's place and the latched slopes, from bar 199 on."""
+    moved = ribbon_changes(S.analysed(C.candles(spark, d, TF)))
     event = F.when(F.col("was").isNull(), "ESTABLISHED").otherwise("CHANGED")
     return moved.select("symbol", "i", event.alias("event"), "stack", "position", *[f"slope_{c}" for c, _ in RIBBON])

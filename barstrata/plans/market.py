@@ -40,6 +40,53 @@ def _tiered(bars: DataFrame, *tiers: str) -> DataFrame:
     return W.scored(W.promote(W.alternate(W.local(W.micro(bars)))), bars).where(F.col("tier").isin(*tiers))
 
 
+def squeeze_changes(bars: DataFrame) -> DataFrame:
+    """The bars where the bands come inside the channels, or out of them."""
+    out = bars.withColumns(S.bollinger() | S.keltner())
+    on = (F.col("bb_upper") < F.col("kc_upper")) & (F.col("bb_lower") > F.col("kc_lower"))
+    told = out.withColumn("state", F.when(F.col("kc_upper").isNotNull() & F.col("bb_upper").isNotNull(), F.when(on, "ON").otherwise("OFF")))
+    return S.changes(told, "state")
+
+
+def atr_changes(bars: DataFrame) -> DataFrame:
+    """The bars where the band of ATR's percentile changes."""
+    out = bars.withColumn("pct", S.midrank("atr"))
+    return S.changes(out.withColumn("state", S.schmitt(F.col("pct"), _arms("pct", ATR_BANDS), "NORMAL")), "state")
+
+
+def rvol_changes(bars: DataFrame) -> DataFrame:
+    """The bars where the relative volume gets hot or dry."""
+    out = bars.withColumn("rvol", S.relative_volume())
+    return S.changes(out.withColumn("state", S.schmitt(F.col("rvol"), _arms("rvol", RVOL_BANDS), "NORMAL")), "state").where("state <> 'NORMAL'")
+
+
+def vwap_changes(bars: DataFrame) -> DataFrame:
+    """The bars whose close changes its ``side`` of the session's VWAP."""
+    out = S.session_vwap(bars, TF).where("vwap is not null and atr is not null")
+    side = F.when(F.col("close") > F.col("vwap") + F.col("tol"), "ABOVE").when(F.col("close") < F.col("vwap") - F.col("tol"), "BELOW")
+    prev = F.lag("side").over(Window.partitionBy("symbol", "tf", "session").orderBy("open_ts"))
+    return out.withColumn("side", side).where("side is not null").withColumn("prev", prev).where("prev <> side")
+
+
+def divergences(bars: DataFrame) -> DataFrame:
+    """(symbol, tf, market_time, confirmed_at, direction, lag_bars): swings beyond the last of their kind that rsi does not follow."""
+    pivots = W.alternate(W.local(W.micro(bars))).join(bars.select("symbol", "tf", "i", "rsi"), ["symbol", "tf", "i"])
+    order = Window.partitionBy("symbol", "tf").orderBy("market_time", "kind")
+    two = {n: F.lag(c, 2).over(order) for n, c in (("p2", "price"), ("r2", "rsi"), ("i2", "i"), ("k2", "confirmed_at"))}
+    out = pivots.withColumns(two).where(F.col("i") - F.col("i2") <= 100)
+    hit = F.when(F.col("kind") == "HIGH", (F.col("price") > F.col("p2")) & (F.col("rsi") < F.col("r2"))).otherwise(
+        (F.col("price") < F.col("p2")) & (F.col("rsi") > F.col("r2"))
+    )
+    return out.where(hit).select(
+        "symbol",
+        "tf",
+        "market_time",
+        F.greatest("confirmed_at", "k2", F.col("market_time") + 3600).alias("confirmed_at"),
+        F.when(F.col("kind") == "HIGH", "BEARISH").otherwise("BULLISH").alias("direction"),
+        (F.col("i") - F.col("i2")).alias("lag_bars"),
+    )
+
+
 def r6(*names: str) -> list:
     return [F.round(n, 6).alias(n) for n in names]
 
@@ -151,10 +198,7 @@ SELECT symbol, i, state, prev AS "from", i - pi AS bars_in_prev
 FROM (SELECT symbol, i, state, prev, lag(i) OVER (PARTITION BY symbol ORDER BY i) AS pi
   FROM (SELECT *, lag(state) OVER (PARTITION BY symbol ORDER BY i) AS prev FROM s) WHERE prev IS DISTINCT FROM state)""", "ba"))
 def squeeze_events(spark, d):
-    out = _analysed(spark, d).withColumns(S.bollinger() | S.keltner())
-    on = (F.col("bb_upper") < F.col("kc_upper")) & (F.col("bb_lower") > F.col("kc_lower"))
-    told = out.withColumn("state", F.when(F.col("kc_upper").isNotNull() & F.col("bb_upper").isNotNull(), F.when(on, "ON").otherwise("OFF")))
-    return S.changes(told, "state").select("symbol", "i", "state", "from", "bars_in_prev")
+    return squeeze_changes(_analysed(spark, d)).select("symbol", "i", "state", "from", "bars_in_prev")
 
 
 _PCT = """
@@ -212,9 +256,7 @@ def rsi_band_events(spark, d):
 
 @query("atr_regime_events", with_tables(_PCT + _schmitt_sql("p", "pct", _sql_arms(ATR_BANDS), "NORMAL") + " SELECT * FROM ch", "ba"))
 def atr_regime_events(spark, d):
-    out = _analysed(spark, d).withColumn("pct", S.midrank("atr"))
-    out = out.withColumn("state", S.schmitt(F.col("pct"), _arms("pct", ATR_BANDS), "NORMAL"))
-    return S.changes(out, "state").select("symbol", "i", "state", "from", "bars_in_prev")
+    return atr_changes(_analysed(spark, d)).select("symbol", "i", "state", "from", "bars_in_prev")
 
 
 _RVOL = """
@@ -225,9 +267,7 @@ _RVOL = """
 
 @query("rvol_events", with_tables(_RVOL + _schmitt_sql("rv", "rvol", _sql_arms(RVOL_BANDS), "NORMAL") + " SELECT * FROM ch WHERE state <> 'NORMAL'", "b"))
 def rvol_events(spark, d):
-    out = _bars(spark, d).withColumn("rvol", S.relative_volume())
-    out = out.withColumn("state", S.schmitt(F.col("rvol"), _arms("rvol", RVOL_BANDS), "NORMAL"))
-    return S.changes(out, "state").where("state <> 'NORMAL'").select("symbol", "i", "state", "from", "bars_in_prev")
+    return rvol_changes(_bars(spark, d)).select("symbol", "i", "state", "from", "bars_in_prev")
 
 
 @query("macd_events", with_tables(_MACD + """
@@ -268,10 +308,7 @@ def session_vwap(spark, d):
 SELECT symbol, i, side FROM (SELECT *, lag(side) OVER (PARTITION BY symbol, session ORDER BY i) AS prev FROM s WHERE side IS NOT NULL)
 WHERE prev IS NOT NULL AND prev <> side""", "ba"))
 def vwap_cross(spark, d):
-    out = S.session_vwap(_analysed(spark, d), TF).where("vwap is not null and atr is not null")
-    side = F.when(F.col("close") > F.col("vwap") + F.col("tol"), "ABOVE").when(F.col("close") < F.col("vwap") - F.col("tol"), "BELOW")
-    prev = F.lag("side").over(Window.partitionBy("symbol", "tf", "session").orderBy("open_ts"))
-    return out.withColumn("side", side).where("side is not null").withColumn("prev", prev).where("prev <> side").select("symbol", "i", "side")
+    return vwap_changes(_analysed(spark, d)).select("symbol", "i", "side")
 
 
 @query("poc", with_tables("""
@@ -386,18 +423,4 @@ SELECT symbol, market_time, greatest(confirmed_at, k2, market_time + 3600) AS co
   CASE WHEN kind = 'HIGH' THEN 'BEARISH' ELSE 'BULLISH' END AS direction, i - i2 AS lag_bars
 FROM a WHERE i - i2 <= 100 AND CASE WHEN kind = 'HIGH' THEN price > p2 AND rsi < r2 ELSE price < p2 AND rsi > r2 END""", "alt"))
 def divergence(spark, d):
-    bars = _analysed(spark, d)
-    pivots = W.alternate(W.local(W.micro(bars))).join(bars.select("symbol", "tf", "i", "rsi"), ["symbol", "tf", "i"])
-    order = Window.partitionBy("symbol", "tf").orderBy("market_time", "kind")
-    two = {n: F.lag(c, 2).over(order) for n, c in (("p2", "price"), ("r2", "rsi"), ("i2", "i"), ("k2", "confirmed_at"))}
-    out = pivots.withColumns(two).where(F.col("i") - F.col("i2") <= 100)
-    hit = F.when(F.col("kind") == "HIGH", (F.col("price") > F.col("p2")) & (F.col("rsi") < F.col("r2"))).otherwise(
-        (F.col("price") < F.col("p2")) & (F.col("rsi") > F.col("r2"))
-    )
-    return out.where(hit).select(
-        "symbol",
-        "market_time",
-        F.greatest("confirmed_at", "k2", F.col("market_time") + 3600).alias("confirmed_at"),
-        F.when(F.col("kind") == "HIGH", "BEARISH").otherwise("BULLISH").alias("direction"),
-        (F.col("i") - F.col("i2")).alias("lag_bars"),
-    )
+    return divergences(_analysed(spark, d)).drop("tf")
