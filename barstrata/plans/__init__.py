@@ -1,3 +1,3 @@
 """Named queries over the driver's tables and their DuckDB SQL."""
 
-from . import auditions, catalog, context, decisions, evidence, exits, grades, live, market, patterns, records, setups, universe, venues  # noqa: F401
+from . import auditions, catalog, context, decisions, evidence, exits, grades, live, market, patterns, records, setups, universe, upkeep, venues  # noqa: F401

@@ -41,7 +41,7 @@ def test_setups_reach_every_state_as_in_sql(spark, trending):
     assert {r["reason"] for r in got} >= {"ZONE_BROKE_UNCONFIRMED", "CONFIRMATION_TIMEOUT", None}
 
 
-@pytest.mark.parametrize("name", ["setup_rejections", "range_events", "trend_continuations", "breakout_retests", "structure_breaks", "regime_changes", "liquidity_events", "zone_events", "managed_exits", "open_gap_side", "factor_cohorts", "divergence_audition"])
+@pytest.mark.parametrize("name", ["setup_rejections", "range_events", "trend_continuations", "breakout_retests", "structure_breaks", "regime_changes", "liquidity_events", "zone_events", "managed_exits", "open_gap_side", "factor_cohorts", "divergence_audition", "scale_ins", "prunable_facts"])
 def test_choices_equal_their_sql_on_trending_prices(spark, trending, name):
     got, want = both(spark, name, trending)
     assert got == want and got
