@@ -45,18 +45,19 @@ def grades(candidates: DataFrame, factors: Sequence[str], outcome: str) -> DataF
     All statistics and correlations of pairs come from one aggregation of the candidates.
     Factors that echo each other, directly or through others, are a cluster: the one that
     follows the outcome most, then the widest, then the first by name, speaks for it.
+    Without candidates there is nothing to grade: no rows.
     """
     n = F.count("*").cast("double")
     sums = []
     for f in factors:
         x = F.col(f)
         sums.append(F.struct(
-            F.lit(f).alias("a"), F.count(x).alias("n_observed"), F.count_if(x != 0).alias("n_present"), (F.count_if(x != 0) / n).alias("fire_rate"),
+            F.lit(f).alias("a"), F.count(x).alias("n_observed"), F.count_if(x != 0).alias("n_present"), F.try_divide(F.count_if(x != 0), n).alias("fire_rate"),
             F.coalesce(F.stddev_pop(x), F.lit(0.0)).alias("std"), (F.max(x) - F.min(x)).alias("span"),
             F.count(F.when(x.isNotNull() & F.col(outcome).isNotNull(), 1)).alias("n_outcome"), _corr(f, outcome).alias("r"),
         ))
     pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), _corr(a, b).alias("r")) for k, a in enumerate(factors) for b in factors[k + 1 :]]
-    one = written(candidates.agg(F.array(*sums).alias("stats"), F.array(*pairs).cast("array<struct<a:string,b:string,r:double>>").alias("pairs"), F.count(outcome).alias("trades")), "factor-sums")
+    one = written(candidates.agg(F.array(*sums).alias("stats"), F.array(*pairs).cast("array<struct<a:string,b:string,r:double>>").alias("pairs"), n.alias("n"), F.count(outcome).alias("trades")).where("n > 0"), "factor-sums")
     stats = one.select("trades", F.explode("stats").alias("s")).select("trades", "s.*")
     stats = stats.withColumn("dispersion", F.coalesce(F.try_divide(F.col("std"), F.col("span")), F.lit(0.0)))
     stats = stats.withColumn("r", F.when((F.col("trades") >= LEAST_TRADES) & (F.col("n_outcome") >= LEAST_TRADES), F.col("r")))
