@@ -36,14 +36,18 @@ def r6(**columns: Column) -> list[Column]:
 , f AS (SELECT avg(r_multiple + fees / risk) AS ex, avg((entry + eff_exit) / risk) AS legs, count(*) AS n FROM book)
 SELECT 'phemex-perp' AS venue, n, round(ex, 6) AS mean_r_ex_fee, round(legs, 6) AS mean_legs_r, round(ex / legs, 6) AS per_side, 2 * ex / legs > 7e-4 AS survives FROM f"""))
 def breakeven_fee(spark, d):
-    """The fee a side at which mean net R is 0, against each venue's round trip."""
+    """The fee a side at which mean net R is 0, against each venue's round trip.
+
+    The book's venue is told without trades, too.
+    """
+    venues = spark.range(1).select(T.venue_for(F.lit("USDT")).alias("venue"))
     found = book(spark, d).groupBy(T.venue_for(F.col("symbol")).alias("venue")).agg(
         F.count("*").alias("n"), F.avg(F.col("r_multiple") + F.col("fees") / _risk()).alias("ex"),
         F.avg((F.col("entry") + F.col("eff_exit")) / _risk()).alias("legs"),
         F.first(T.venue_value(F.col("symbol"), "maker") + T.venue_value(F.col("symbol"), "taker")).alias("trip"),
     )
     fee = F.col("ex") / F.col("legs")
-    return found.select("venue", "n", *r6(mean_r_ex_fee=F.col("ex"), mean_legs_r=F.col("legs"), per_side=fee), (2 * fee > F.col("trip")).alias("survives"))
+    return found.join(venues, "venue", "full").na.fill(0, ["n"]).select("venue", "n", *r6(mean_r_ex_fee=F.col("ex"), mean_legs_r=F.col("legs"), per_side=fee), (2 * fee > F.col("trip")).alias("survives"))
 
 
 @query("journal_summary", _on_book("""
