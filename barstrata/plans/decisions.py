@@ -172,10 +172,14 @@ def fee_scenarios(spark, d):
  SELECT symbol, direction, outcome, count(*) AS n, round(sum(r_multiple), 6) AS sum_r
  FROM book GROUP BY GROUPING SETS ((symbol), (direction), (outcome), ())"""))
 def performance_cuts(spark, d):
+    """Trades by symbol, by direction, by outcome and in total; the total is told without trades, too."""
     sets = [[F.col("symbol")], [F.col("direction")], [F.col("outcome")], []]
-    return book(spark, d).groupingSets(sets, "symbol", "direction", "outcome").agg(F.count("*").alias("n"), F.round(F.sum("r_multiple"), 6).alias("sum_r")).select(
-        "symbol", "direction", "outcome", "n", "sum_r"
+    cuts = book(spark, d).groupingSets(sets, "symbol", "direction", "outcome").agg(
+        F.grouping_id().alias("cut"), F.count("*").alias("n"), F.round(F.sum("r_multiple"), 6).alias("sum_r")
     )
+    # Spark's grouping sets of no rows have no total; 7 is the cut by none of the three.
+    total = spark.range(1).select(F.lit(7).cast("long").alias("cut"))
+    return cuts.join(total, "cut", "full").na.fill(0, ["n"]).select("symbol", "direction", "outcome", "n", "sum_r")
 
 
 @query("drawdown_streak", _on_book("""

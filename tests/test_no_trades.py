@@ -22,7 +22,7 @@ def dense(tmp_path_factory):
     return str(path)
 
 
-@pytest.mark.parametrize("name", ["factor_clusters", "breakeven_fee"])
+@pytest.mark.parametrize("name", ["factor_clusters", "breakeven_fee", "performance_cuts"])
 def test_no_trades_as_in_sql(spark, dense, name):
     ours = QUERIES[name](spark, dense)
     con = duckdb.connect()
