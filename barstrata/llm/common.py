@@ -45,11 +45,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _folders(table: DataFrame) -> list[str]:
+    return sorted({f.rpartition("/")[0] for f in table.inputFiles()})
+
+
+def together(tables: list[DataFrame]) -> DataFrame:
+    """The rows of materialized tables of one schema, as one scan of all their files.
+
+    A union has a branch for each table, and the driver plans every branch again
+    whenever a stage of the plan ends.
+    """
+    paths = [path for table in tables for path in _folders(table)]
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*paths)
+
+
 def release(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete materialized tables that no later plan reads."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for table in tables:
-        for parent in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        for parent in _folders(table):
             path = jvm.org.apache.hadoop.fs.Path(parent)
             path.getFileSystem(conf).delete(path, True)

@@ -1,10 +1,10 @@
 """Line dedup: a suffix array over line sequences by distributed prefix doubling.
 
-Every document is a sequence of line ids. Ranks at depth h order all suffixes by
-their first h lines; two neighbouring ranks make the ranks at depth 2h. Suffixes of
-one rank are an interval of the suffix array whose longest common prefix is at least
-h lines. A suffix whose rank is alone has left every interval and is dropped, so the
-rounds shrink to the repeated runs and end after log2 of the longest one.
+Every document is a sequence of line ids. Ranks at depth h number the suffixes by
+their first h lines, equal ones alike; two neighbouring ranks make the ranks at depth
+2h. Suffixes of one rank are an interval of the suffix array whose longest common
+prefix is at least h lines. A suffix whose rank is alone has left every interval and is
+dropped, so the rounds shrink to the repeated runs and end after log2 of the longest one.
 
 A place's run is the longest common prefix that it has with any earlier place in
 (id, line) order. Doubling gives its power of two; the intervals between h and 2h are
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, together
 
 #: A repeated single line counts from this many words on; two lines and more always.
 MIN_WORDS = 5
@@ -42,14 +42,12 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _ranked(classes: DataFrame, order: list[str], label: str) -> DataFrame:
-    """Adds ``rank``: a number that grows with ``order`` over the whole table.
+def _ranked(classes: DataFrame, label: str) -> DataFrame:
+    """Adds ``rank``: a number of each row; equal ranks are one class, and their order says nothing.
 
-    Range-sorted partitions number their rows in order, so ranks compare as the keys
-    do without one task seeing all of them. Written at once, as recomputed range
-    bounds could number differently.
+    Written at once, as rows computed again could get other numbers.
     """
-    return materialize(classes.orderBy(*order).withColumn("rank", F.monotonically_increasing_id()), label)
+    return materialize(classes.withColumn("rank", F.monotonically_increasing_id()), label)
 
 
 def _place() -> Column:
@@ -60,8 +58,9 @@ def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(lines, ranks): all lines, and for the depths 1, 2, 4, ... the repeated suffixes.
 
     ``lines`` has id, tid, k (number among the non-blank lines), pos (line number),
-    words. ``ranks[j]`` has id, tid, k, rank, first: the suffixes whose first 2 ** j
-    lines stand at two places or more, with their rank and the first of these places.
+    words. ``ranks[j]`` has id, tid, k, rank, first, depth: the suffixes whose first
+    depth = 2 ** j lines stand at two places or more, with their rank and the first of
+    these places.
     """
     ident, tid = _keys(docs, id_col, text_col)
     lines = materialize(
@@ -72,8 +71,8 @@ def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "lines",
     )
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
-    classes = _ranked(repeated, ["h1", "h2"], "line-classes")
-    now = materialize(lines.join(classes.select("h1", "h2", "rank", "first"), ["h1", "h2"]).select(*_PLACE, "rank", "first").distinct(), "line-ranks")
+    classes = _ranked(repeated.drop("n"), "line-classes")
+    now = materialize(lines.join(classes.select("h1", "h2", "rank", "first"), ["h1", "h2"]).select(*_PLACE, "rank", "first", F.lit(1).alias("depth")).distinct(), "line-ranks")
     depth, ranks = 1, []
     while not now.isEmpty():
         ranks.append(now)
@@ -81,15 +80,15 @@ def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         right = now.select("id", "tid", (F.col("k") - depth).alias("k"), F.col("rank").alias("b"))
         pairs = left.join(right, _PLACE)
         found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
-        classes = _ranked(found, ["a", "b"], "line-classes")
-        now = materialize(pairs.join(classes.select("a", "b", "rank", "first"), ["a", "b"]).select(*_PLACE, "rank", "first"), "line-ranks")
+        classes = _ranked(found.drop("n"), "line-classes")
         depth *= 2
+        now = materialize(pairs.join(classes.select("a", "b", "rank", "first"), ["a", "b"]).select(*_PLACE, "rank", "first", F.lit(depth).alias("depth")), "line-ranks")
     return lines, ranks
 
 
-def _later(ranks: DataFrame, depth: int) -> DataFrame:
+def _later(ranks: DataFrame) -> DataFrame:
     """Places whose first ``depth`` lines also stand at an earlier place, and the first such place."""
-    return ranks.where(_place() > F.col("first")).select(*_PLACE, F.lit(depth).alias("length"), "first")
+    return ranks.where(_place() > F.col("first")).select(*_PLACE, F.col("depth").alias("length"), "first")
 
 
 def _halved(ranks: list[DataFrame]) -> DataFrame | None:
@@ -98,19 +97,19 @@ def _halved(ranks: list[DataFrame]) -> DataFrame | None:
     A part is (depth, low, head): the places of the interval of ``low`` lines that
     starts at ``head``. All depths are halved together; a round is one written table.
     """
-    key, found, parts, known = ["depth", "low", "head"], None, None, None
+    key, rounds, parts = ["depth", "low", "head"], [], None
     columns = [*key, *_PLACE]
+    later = F.col("first").isNotNull() & (_place() > F.col("first"))
     # Depth h has the steps h / 2, h / 4, ..., 1.
     for j in range(len(ranks) - 1, 0, -1):
         depth, step = 1 << j, 1 << (j - 1)
         # Later copies of twice the depth have at least that length.
         members = ranks[j]
         if j + 1 < len(ranks):
-            members = members.join(_later(ranks[j + 1], 0).select(*_PLACE), _PLACE, "left_anti")
-        fresh = members.select(F.lit(depth).alias("depth"), F.lit(depth).alias("low"), F.col("first").alias("head"), *_PLACE)
+            members = members.join(_later(ranks[j + 1]).select(*_PLACE), _PLACE, "left_anti")
+        fresh = members.select("depth", F.lit(depth).alias("low"), F.col("first").alias("head"), *_PLACE)
         parts = fresh if parts is None else parts.unionByName(fresh)
-        one = ranks[j].select(F.lit(depth).alias("depth"), "id", "tid", F.col("k").alias("at"), F.col("rank").alias("next"))
-        known = one if known is None else known.unionByName(one)
+        known = together(ranks[j:]).select("depth", "id", "tid", F.col("k").alias("at"), F.col("rank").alias("next"))
         due = parts.withColumn("at", F.col("k") + F.col("low") + step - F.col("depth"))
         told = due.join(known, ["depth", "id", "tid", "at"], "left").drop("at")
         groups = (
@@ -118,14 +117,13 @@ def _halved(ranks: list[DataFrame]) -> DataFrame | None:
             .agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").drop("n")
         )
         # Places that share the longer prefix with others have the first of these.
-        halves = materialize(told.join(groups, [*key, "next"], "left").drop("next"), "line-halves")
-        longer = halves.where("first is not null")
-        later = F.col("first").isNotNull() & (_place() > F.col("first"))
-        hits = longer.where(later).select(*_PLACE, (F.col("low") + step).alias("length"), "first")
-        found = hits if found is None else found.unionByName(hits)
-        up = longer.select("depth", (F.col("low") + step).alias("low"), F.col("first").alias("head"), *_PLACE)
+        halves = materialize(told.join(groups, [*key, "next"], "left").drop("next").withColumn("step", F.lit(step)), "line-halves")
+        rounds.append(halves)
+        up = halves.where("first is not null").select("depth", (F.col("low") + step).alias("low"), F.col("first").alias("head"), *_PLACE)
         parts = up.unionByName(halves.where(~later).select(*columns))
-    return found
+    if not rounds:
+        return None
+    return together(rounds).where(later).select(*_PLACE, (F.col("low") + F.col("step")).alias("length"), "first")
 
 
 def maximal_runs(ranks: list[DataFrame], docs: DataFrame) -> DataFrame:
@@ -136,10 +134,7 @@ def maximal_runs(ranks: list[DataFrame], docs: DataFrame) -> DataFrame:
     """
     if not ranks:
         return docs.sparkSession.createDataFrame([], _RUN)
-    copies = None
-    for j, table in enumerate(ranks):
-        one = _later(table, 1 << j)
-        copies = one if copies is None else copies.unionByName(one)
+    copies = _later(together(ranks))
     if (between := _halved(ranks)) is not None:
         copies = copies.unionByName(between)
     best = copies.groupBy(*_PLACE).agg(F.max_by("first", "length").alias("first"), F.max("length").alias("length"))
