@@ -42,47 +42,51 @@ def _keys(docs: DataFrame, id_col: str, text_col: str) -> tuple[Column, Column]:
     return F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
 
 
-def _ranked(classes: DataFrame, label: str) -> DataFrame:
-    """Adds ``rank``: a number of each row; equal ranks are one class, and their order says nothing.
+def _place() -> Column:
+    return F.struct(*_PLACE)
 
-    Written at once, as rows computed again could get other numbers.
-    """
-    return materialize(classes.withColumn("rank", F.monotonically_increasing_id()), label)
 
+def _classes(rows: DataFrame, *key: str) -> DataFrame:
+    """(key, rank, first): the keys of two rows or more, with their first place.
 
-def _place() -> Column:
-    return F.struct(*_PLACE)
+    The number of this place is the class's rank; equal ranks are one class, and their
+    order says nothing.
+    """
+    found = rows.groupBy(*key).agg(F.count("*").alias("n"), F.min(F.struct(*_PLACE, "number")).alias("at")).where("n > 1")
+    return found.select(*key, F.col("at.number").alias("rank"), F.struct(*[F.col(f"at.{c}") for c in _PLACE]).alias("first"))
 
 
 def suffix_ranks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, list[DataFrame]]:
     """(lines, ranks): all lines, and for the depths 1, 2, 4, ... the repeated suffixes.
 
     ``lines`` has id, tid, k (number among the non-blank lines), pos (line number),
-    words. ``ranks[j]`` has id, tid, k, rank, first, depth: the suffixes whose first
-    depth = 2 ** j lines stand at two places or more, with their rank and the first of
-    these places.
+    words. ``ranks[j]`` has id, tid, k, rank, first, depth, number: the suffixes whose
+    first depth = 2 ** j lines stand at two places or more, with their rank and the first
+    of these places. ``number`` is the place's own. A round is one written table and one
+    join, as the driver plans again whenever a shuffle ends.
     """
     ident, tid = _keys(docs, id_col, text_col)
     lines = materialize(
         docs.select(ident.alias("id"), tid.alias("tid"), F.posexplode(_lines(F.col(text_col))).alias("k", "x")).select(
             "id", "tid", "k", F.col("x.pos").alias("pos"), F.xxhash64("x.line").alias("h1"),
             F.xxhash64(F.lit(1), "x.line").alias("h2"), _words(F.col("x.line")).alias("words"),
+            F.monotonically_increasing_id().alias("number"),
         ),
         "lines",
     )
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
-    classes = _ranked(repeated.drop("n"), "line-classes")
-    now = materialize(lines.join(classes.select("h1", "h2", "rank", "first"), ["h1", "h2"]).select(*_PLACE, "rank", "first", F.lit(1).alias("depth")).distinct(), "line-ranks")
-    depth, ranks = 1, []
+    columns = [*_PLACE, "rank", "first", "depth"]
+    found = lines.join(_classes(lines, "h1", "h2"), ["h1", "h2"]).withColumn("depth", F.lit(1))
+    # Rows that repeat id and text have the same places, and each place one number.
+    now = materialize(found.groupBy(*columns).agg(F.min("number").alias("number")), "line-ranks")
+    ranks = []
     while not now.isEmpty():
         ranks.append(now)
-        left = now.select(*_PLACE, F.col("rank").alias("a"))
-        right = now.select("id", "tid", (F.col("k") - depth).alias("k"), F.col("rank").alias("b"))
-        pairs = left.join(right, _PLACE)
-        found = pairs.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1")
-        classes = _ranked(found.drop("n"), "line-classes")
-        depth *= 2
-        now = materialize(pairs.join(classes.select("a", "b", "rank", "first"), ["a", "b"]).select(*_PLACE, "rank", "first", F.lit(depth).alias("depth")), "line-ranks")
+        depth = 1 << (len(ranks) - 1)
+        ahead = Window.partitionBy("id", "tid").orderBy("k").rangeBetween(depth, depth)
+        pairs = now.select(
+            *_PLACE, (F.col("depth") * 2).alias("depth"), "number", F.col("rank").alias("a"), F.max("rank").over(ahead).alias("b")
+        ).where("b is not null")
+        now = materialize(pairs.join(_classes(pairs, "a", "b"), ["a", "b"]).select(*columns, "number"), "line-ranks")
     return lines, ranks
 
 
@@ -97,32 +101,34 @@ def _halved(ranks: list[DataFrame]) -> DataFrame | None:
     A part is (depth, low, head): the places of the interval of ``low`` lines that
     starts at ``head``. All depths are halved together; a round is one written table.
     """
+    if len(ranks) < 2:
+        return None
     key, rounds, parts = ["depth", "low", "head"], [], None
-    columns = [*key, *_PLACE]
+    columns = [*key, *_PLACE, "step"]
     later = F.col("first").isNotNull() & (_place() > F.col("first"))
+    # Later copies of twice the depth have at least that length.
+    longest = F.max(F.when(later, F.col("depth"))).over(Window.partitionBy(*_PLACE))
+    every = together(ranks).select("depth", *_PLACE, "rank", "first", (F.coalesce(longest, F.lit(0)) <= F.col("depth")).alias("open"))
+    every = materialize(every, "line-parts")
     # Depth h has the steps h / 2, h / 4, ..., 1.
     for j in range(len(ranks) - 1, 0, -1):
-        depth, step = 1 << j, 1 << (j - 1)
-        # Later copies of twice the depth have at least that length.
-        members = ranks[j]
-        if j + 1 < len(ranks):
-            members = members.join(_later(ranks[j + 1]).select(*_PLACE), _PLACE, "left_anti")
-        fresh = members.select("depth", F.lit(depth).alias("low"), F.col("first").alias("head"), *_PLACE)
+        fresh = every.where(F.col("open") & (F.col("depth") == 1 << j)).select(
+            "depth", F.col("depth").alias("low"), F.col("first").alias("head"), *_PLACE, F.shiftright("depth", 1).alias("step")
+        )
         parts = fresh if parts is None else parts.unionByName(fresh)
-        known = together(ranks[j:]).select("depth", "id", "tid", F.col("k").alias("at"), F.col("rank").alias("next"))
-        due = parts.withColumn("at", F.col("k") + F.col("low") + step - F.col("depth"))
-        told = due.join(known, ["depth", "id", "tid", "at"], "left").drop("at")
+        known = every.where(F.col("depth") >= 1 << j).select("depth", "id", "tid", F.col("k").alias("at"), F.col("rank").alias("next"))
+        due = parts.withColumn("at", F.col("k") + F.col("low") + F.col("step") - F.col("depth"))
+        there = F.max("next").over(Window.partitionBy("depth", "id", "tid", "at"))
+        told = due.unionByName(known, allowMissingColumns=True).withColumn("next", there).where("low is not null").drop("at")
         groups = (
             told.where("next is not null").groupBy(*key, "next")
             .agg(F.count("*").alias("n"), F.min(_place()).alias("first")).where("n > 1").drop("n")
         )
         # Places that share the longer prefix with others have the first of these.
-        halves = materialize(told.join(groups, [*key, "next"], "left").drop("next").withColumn("step", F.lit(step)), "line-halves")
+        halves = materialize(told.join(groups, [*key, "next"], "left").drop("next"), "line-halves")
         rounds.append(halves)
-        up = halves.where("first is not null").select("depth", (F.col("low") + step).alias("low"), F.col("first").alias("head"), *_PLACE)
-        parts = up.unionByName(halves.where(~later).select(*columns))
-    if not rounds:
-        return None
+        up = halves.where("first is not null").select("depth", (F.col("low") + F.col("step")).alias("low"), F.col("first").alias("head"), *_PLACE, "step")
+        parts = up.unionByName(halves.where(~later).select(*columns)).withColumn("step", F.shiftright("step", 1))
     return together(rounds).where(later).select(*_PLACE, (F.col("low") + F.col("step")).alias("length"), "first")
 
 
