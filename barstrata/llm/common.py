@@ -13,6 +13,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Bytes of one Arrow batch of a Python task.
+BATCH_BYTES = 4 << 20
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share; a local one only in local mode."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
@@ -45,6 +49,15 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand rows to this session's Python tasks by bytes, not by 10,000 rows of any length.
+
+    A batch lies in memory several times: outside the heap of the executor, and in its
+    Python task as Arrow, as objects and as what is computed from them.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def _folders(table: DataFrame) -> list[str]:
     return sorted({f.rpartition("/")[0] for f in table.inputFiles()})
 

@@ -6,9 +6,11 @@ a few dozen megabytes of temporary arrays whatever its texts' lengths.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 SLICE_BYTES = 1_000_000
 
@@ -26,6 +28,18 @@ _POWERS = np.cumprod(np.full(_SPAN, _BASE, np.uint64))
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
 
 
+def give_back() -> None:
+    """Return a task's freed memory to the machine.
+
+    Spark keeps Python workers for later tasks; what Arrow and the C library hold in
+    reserve would count against the executor through stages that run no Python.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser with full avalanche."""
     h = h ^ (h >> np.uint64(31))

@@ -23,7 +23,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import bounded_batches, materialize
+from .kernels import give_back
 
 #: The id that ends every document.
 END = 1
@@ -232,11 +233,14 @@ def _pack_partition(path: str, size: int, open_windows: int, pad: int):
                 if len(rows) > 5000:
                     yield _frame(rows)
                     rows = []
+            del frame, docs, texts
         for window in packer.finish():
             rows += _rows(window, made, window.used < size)
             made += 1
         if rows:
             yield _frame(rows)
+        del encode, packer, rows
+        give_back()
 
     return run
 
@@ -276,6 +280,7 @@ def pack(
     name the same file on every executor. A sequence lacks at most ``pad`` ids, but
     for the very last one.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = f"{_PIECES}, ids binary"
     made = materialize(narrow.mapInPandas(_pack_partition(tokenizer_path, size, open_windows, pad), schema), "packed")

@@ -22,8 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .kernels import NOT_ALNUM, slices, word_hashes
+from .common import bounded_batches, materialize
+from .kernels import NOT_ALNUM, give_back, slices, word_hashes
 
 #: Hashed word features.
 BITS = 20
@@ -189,6 +189,8 @@ def _hashed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 "gained": [np.setdiff1d(b, a) for a, b in zip(ours, twins, strict=True)],
             }
         )
+        del frame, pairs, ours, twins
+    give_back()
 
 
 def _train(fairness: float):
@@ -199,6 +201,7 @@ def _train(fairness: float):
             w, bias = np.zeros(1 << BITS, np.float32), float(-4.0 if not labels.any() else 4.0)
         else:
             w, bias = fit(*(list(frame[c]) for c in ("ids", "lost", "gained")), labels, frame["weight"].to_numpy(float), fairness=fairness)
+        give_back()
         return pd.DataFrame({"weights": [w.tobytes()], "bias": [bias]})
 
     return run
@@ -215,6 +218,7 @@ def train(
     all labelled rows. Without labelled rows the model scores everything 0.5, with
     one class alone near that class.
     """
+    bounded_batches(docs.sparkSession)
     ids = (
         labels.where("toxic is not null and doc_id is not null")
         .where(~held_out(F.col("doc_id")))
@@ -254,7 +258,9 @@ def _scorer(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, fair
         w, b = shared.value
         for texts in parts:
             z = np.array([w[ids].sum(dtype=np.float64) for ids in word_features(texts.tolist())] or [], float) + b
+            del texts
             yield pd.Series(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        give_back()
 
     return F.pandas_udf(run, "double")(F.col(text_col))
 
