@@ -26,6 +26,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SPAN = 256
 _POWERS = np.cumprod(np.full(_SPAN, _BASE, np.uint64))
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, np.uint64) | np.uint64(1)
+_LETTER = _BYTE[LOWER]
 
 
 def give_back() -> None:
@@ -43,10 +44,11 @@ def give_back() -> None:
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser with full avalanche."""
     h = h ^ (h >> np.uint64(31))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    h = h ^ (h >> np.uint64(32))
-    h = h * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
 
 
 def slices(texts: Sequence[str | None]) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
@@ -79,13 +81,16 @@ def word_hashes(
     if not len(starts):
         return np.zeros(0, np.uint64), bounds, starts, ends
     lengths = ends - starts
-    place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    letters = _BYTE[LOWER[raw[inside[1:-1]]]]
+    heads = np.cumsum(lengths) - lengths
+    place = np.arange(lengths.sum()) - np.repeat(heads, lengths)
+    terms = _LETTER[raw[inside[1:-1]]]
     # Beyond a span the powers repeat, multiplied by the span's own odd number.
-    terms = letters * _POWERS[place % _SPAN]
     if lengths.max() > _SPAN:
-        terms = terms * mix((place // _SPAN).astype(np.uint64) + np.uint64(1))
-    sums = np.add.reduceat(terms, np.cumsum(lengths) - lengths)
+        terms *= _POWERS[place % _SPAN]
+        terms *= mix((place // _SPAN).astype(np.uint64) + np.uint64(1))
+    else:
+        terms *= _POWERS[place]
+    sums = np.add.reduceat(terms, heads)
     return mix(sums + lengths.astype(np.uint64)), bounds, starts, ends
 
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import dropped_shuffles, materialize, release
 from .components import connected_components
 from .kernels import chain, mix, slices, word_hashes
 from .sketch import hits, key_bitmap
@@ -64,10 +65,18 @@ class Paragraphs:
     start: np.ndarray  # first byte in the text
     length: np.ndarray  # bytes
     words: np.ndarray
-    digest: np.ndarray
+    first: np.ndarray  # number of the first word in ``hashes``
+    hashes: np.ndarray  # of the run's words
     shingles: np.ndarray  # of all paragraphs, one after the other
     heads: np.ndarray  # each paragraph's first shingle
 
+    @cached_property
+    def digest(self) -> np.ndarray:
+        heads = np.cumsum(self.words) - self.words
+        place = np.arange(self.words.sum()) - np.repeat(heads, self.words)
+        signed = mix(self.hashes[np.repeat(self.first, self.words) + place] + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+        return mix(np.add.reduceat(signed, heads) + self.words.astype(np.uint64) + _KINDS[self.kind])
+
 
 @dataclass
 class Windows:
@@ -170,8 +179,8 @@ def _windows(hashes: np.ndarray, bounds: np.ndarray, starts: np.ndarray, ends: n
     return Windows(text, _numbers(text) + held[text], starts[first] - offsets[text], ends[first + WINDOW - 1] - starts[first], digest)
 
 
-def paragraphs(texts: list[str | None], least: int = LEAST_WORDS) -> Iterator[tuple[int, Paragraphs | Windows]]:
-    """(number of the first text, units) for runs of texts; ``least`` >= WIDTH."""
+def paragraphs(texts: list[str | None], least: int = LEAST_WORDS, windows: bool = True) -> Iterator[tuple[int, Paragraphs | Windows]]:
+    """(number of the first text, units) for runs of texts, without the windows if so told; ``least`` >= WIDTH."""
     for begin, _, joined, offsets in slices(texts):
         hashes, bounds, starts, ends = word_hashes(joined, offsets)
         if not len(starts):
@@ -181,18 +190,16 @@ def paragraphs(texts: list[str | None], least: int = LEAST_WORDS) -> Iterator[tu
         lines = _line_spans(line, bounds, spans)
         kind = np.repeat([PARAGRAPH, LINE], [len(spans), len(lines)])
         text, no, first, stop = np.concatenate((spans, lines)).T
-        yield begin, _windows(hashes, bounds, starts, ends, offsets, np.bincount(text, minlength=len(bounds)))
+        if windows:
+            yield begin, _windows(hashes, bounds, starts, ends, offsets, np.bincount(text, minlength=len(bounds)))
         if not len(text):
             continue
         words = stop - first
-        place = np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
-        signed = mix(hashes[np.repeat(first, words) + place] + place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        digest = mix(np.add.reduceat(signed, np.cumsum(words) - words) + words.astype(np.uint64) + _KINDS[kind])
         sizes = words - WIDTH + 1
         heads = np.cumsum(sizes) - sizes
         at = np.repeat(first - heads, sizes) + np.arange(sizes.sum())
         shingles = chain(hashes, WIDTH)[at] ^ np.repeat(_KINDS[kind], sizes)
-        yield begin, Paragraphs(kind, text, no, starts[first] - offsets[text], ends[stop - 1] - starts[first], words, digest, shingles, heads)
+        yield begin, Paragraphs(kind, text, no, starts[first] - offsets[text], ends[stop - 1] - starts[first], words, first, hashes, shingles, heads)
 
 
 def _lists(values: np.ndarray, heads: np.ndarray) -> pa.Array:
@@ -213,12 +220,15 @@ def _bands(x: Paragraphs) -> np.ndarray:
 
 
 def _keys(least: int):
-    """Every key that may repeat: the digests of all units, and the bands of paragraphs and lines."""
+    """Every key that may repeat: the digests of windows, and the bands of paragraphs and lines.
+
+    Equal paragraphs have equal bands, so that their digests need no keys.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, x in paragraphs(batch.column(2).to_pylist(), least):
-                keys = x.digest if isinstance(x, Windows) else np.concatenate((x.digest, _bands(x).ravel()))
+            for _, x in paragraphs(batch.column(0).to_pylist(), least):
+                keys = x.digest if isinstance(x, Windows) else _bands(x).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
 
     return run
@@ -236,13 +246,13 @@ def _units(least: int, repeated: Broadcast):
             docs, tids = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for begin, x in paragraphs(batch.column(2).to_pylist(), least):
                 n = len(x.text)
-                told = hits(table, x.digest)
                 if isinstance(x, Windows):
+                    told = hits(table, x.digest)
                     kind, words, bands, common = np.full(n, WORDS), np.full(n, WINDOW), np.zeros((n, 0), np.uint64), np.zeros((n, 0), bool)
                 else:
                     kind, words, bands = x.kind, x.words, _bands(x)
                     common = hits(table, bands.ravel()).reshape(bands.shape)
-                    told |= common.any(axis=1)
+                    told = common.any(axis=1)
                 counts = common[told].sum(axis=1)
                 rows = begin + x.text[told]
                 yield pa.RecordBatch.from_arrays(
@@ -265,9 +275,7 @@ def _sets(least: int, wanted: Broadcast):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, x in paragraphs(batch.column(2).to_pylist(), least):
-                if isinstance(x, Windows):
-                    continue
+            for _, x in paragraphs(batch.column(0).to_pylist(), least, windows=False):
                 once = np.zeros(len(x.digest), bool)
                 once[np.unique(x.digest, return_index=True)[1]] = True
                 picked = np.flatnonzero(once & hits(wanted.value, x.digest))
@@ -300,15 +308,22 @@ def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
     tokens = sets.select("digest", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "paragraph-df")
     plain = F.col("n") - ((F.col("n") * percent + 99) / 100).cast("long") + 1
+    # Windows over the tokens of one set.
+    by_df = Window.partitionBy("digest").orderBy("df", "token")
+    whole = by_df.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
         tokens.join(counts, "token")
-        .groupBy("digest", "n")
-        .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("by_df"), (F.sum(F.log2("df")) / F.col("n")).alias("central"))
-        .withColumn("alone", F.col("n") - F.size("by_df"))
-        .withColumn("prefix", plain - F.col("alone"))
-        .where("prefix > 0")
-        .select("digest", "n", "central", "alone", F.posexplode(F.slice("by_df", 1, F.col("prefix").cast("int"))).alias("k", "item"))
-        .select("digest", F.col("n").cast("int").alias("n"), "central", (F.col("alone") + F.col("k") + 1).cast("int").alias("pos"), F.col("item.token").alias("token"))
+        .select(
+            "digest",
+            "n",
+            "token",
+            F.row_number().over(by_df).alias("k"),
+            F.count("*").over(whole).alias("held"),
+            (F.sum(F.log2("df")).over(whole) / F.col("n")).alias("central"),
+        )
+        .withColumn("pos", F.col("n") - F.col("held") + F.col("k"))
+        .where(F.col("pos") <= plain)
+        .select("digest", F.col("n").cast("int").alias("n"), "central", F.col("pos").cast("int").alias("pos"), "token")
     )
 
 
@@ -351,36 +366,42 @@ def repeated_paragraphs(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"),
         F.col(text_col).alias("text"),
     )
-    repeats = materialize(narrow.groupBy("doc", "tid").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", "tid"), "paragraph-rows")
-    if not repeats.isEmpty():
-        again = narrow.join(repeats, ["doc", "tid"], "left_semi").dropDuplicates(["doc", "tid"])
-        narrow = materialize(narrow.join(repeats, ["doc", "tid"], "left_anti").unionByName(again), "paragraph-texts")
-    # A bitmap of fixed size tells which keys repeat, so that all other units stay in
-    # their tasks; what it lets through is compared exactly below.
-    again = narrow.mapInArrow(_keys(least), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    repeated = docs.sparkSession.sparkContext.broadcast(key_bitmap(again))
-    everything = materialize(
-        narrow.mapInArrow(
-            _units(least, repeated), "kind int, doc long, tid long, no int, start int, length int, words int, digest long, bands array<long>"
-        ),
-        "paragraphs",
-    )
-    units = everything.where(F.col("kind") != WORDS)
-    # Band keys that paragraphs of different words share.
-    keys = units.select("digest", F.explode("bands").alias("band")).distinct()
-    common = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = materialize(keys.join(common, "band"), "paragraph-members")
-    links = _links(narrow, members, least, percent)
-    labels = materialize(connected_components(links), "paragraph-labels")
-
-    place = F.struct("doc", "tid", "no")
-    named = units.select("kind", "doc", "tid", "no", "start", "length", "words", "digest").join(
-        labels, F.col("digest") == F.col("node"), "left"
-    ).withColumn("group", F.coalesce("component", "digest")).drop("node", "component")
-    groups = materialize(
-        named.groupBy("group").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("copies")).where("lo <> hi"),
-        "paragraph-groups",
-    )
+    with dropped_shuffles(docs.sparkSession):
+        repeats = materialize(narrow.groupBy("doc", "tid").agg(F.count("*").alias("rows")).where("rows > 1").select("doc", "tid"), "paragraph-rows")
+        if not repeats.isEmpty():
+            again = narrow.join(repeats, ["doc", "tid"], "left_semi").dropDuplicates(["doc", "tid"])
+            narrow = materialize(narrow.join(repeats, ["doc", "tid"], "left_anti").unionByName(again), "paragraph-texts")
+        # A bitmap of fixed size tells which keys repeat, so that all other units stay in
+        # their tasks; what it lets through is compared exactly below.
+        again = narrow.select("text").mapInArrow(_keys(least), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+        repeated = docs.sparkSession.sparkContext.broadcast(key_bitmap(again))
+        everything = materialize(
+            narrow.mapInArrow(
+                _units(least, repeated), "kind int, doc long, tid long, no int, start int, length int, words int, digest long, bands array<long>"
+            ),
+            "paragraphs",
+        )
+        units = everything.where(F.col("kind") != WORDS)
+        # Band keys that paragraphs of different words share.
+        keys = units.select("digest", F.explode("bands").alias("band")).distinct()
+        common = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+        members = materialize(keys.join(common, "band"), "paragraph-members")
+        links = _links(narrow, members, least, percent)
+        labels = materialize(connected_components(links), "paragraph-labels")
+
+        place = F.struct("doc", "tid", "no")
+        named = units.select("kind", "doc", "tid", "no", "start", "length", "words", "digest").join(
+            labels, F.col("digest") == F.col("node"), "left"
+        ).withColumn("group", F.coalesce("component", "digest")).drop("node", "component")
+        groups = materialize(
+            named.groupBy("group").agg(F.min(place).alias("lo"), F.max(place).alias("hi"), F.count("*").alias("copies")).where("lo <> hi"),
+            "paragraph-groups",
+        )
+        windows = everything.where(F.col("kind") == WORDS).drop("kind", "bands")
+        # The windows whose words occur elsewhere, with their first place and copies.
+        window_groups = materialize(
+            windows.groupBy("digest").agg(F.min(place).alias("lo"), F.count("*").alias("copies")).where("copies > 1"), "window-groups"
+        )
     real = lambda c: F.when(F.col(c) == -(2**63), F.lit(None)).otherwise(F.col(c))
     repeated = named.join(groups.select("group", "lo", "copies"), "group")
     # Windows over one document's paragraphs; a line is a passage in itself.
@@ -395,7 +416,7 @@ def repeated_paragraphs(
     columns = ["doc", "tid", "no", "start", "length", "words", "lo", "copies"]
     return (
         passages.select(*columns)
-        .unionByName(_repeated_windows(everything).select(*columns))
+        .unionByName(windows.join(window_groups, "digest").select(*columns))
         .select(
             real("doc").alias("doc_id"),
             F.col("no").alias("paragraph"),
@@ -410,24 +431,17 @@ def repeated_paragraphs(
     )
 
 
-def _repeated_windows(everything: DataFrame) -> DataFrame:
-    """The windows whose words occur elsewhere, with their first place ``lo`` and ``copies``."""
-    windows = everything.where(F.col("kind") == WORDS).drop("kind", "bands")
-    groups = windows.groupBy("digest").agg(F.min(F.struct("doc", "tid", "no")).alias("lo"), F.count("*").alias("copies")).where("copies > 1")
-    return windows.join(materialize(groups, "window-groups"), "digest")
-
-
 def _links(narrow: DataFrame, members: DataFrame, least: int, percent: int) -> DataFrame:
     """Verified links (a, b) of digests that together span every component."""
     spark = narrow.sparkSession
     wanted = members.select("digest").distinct()
-    told = narrow.mapInArrow(_sets(least, spark.sparkContext.broadcast(key_bitmap(wanted))), "digest long, tokens array<long>")
+    told = narrow.select("text").mapInArrow(_sets(least, spark.sparkContext.broadcast(key_bitmap(wanted))), "digest long, tokens array<long>")
     sets = materialize(
         told.join(wanted, "digest", "left_semi").dropDuplicates(["digest"]).select("digest", F.array_distinct("tokens").alias("tokens")),
         "paragraph-sets",
     )
     keyed = materialize(
-        members.join(_prefixes(sets, percent), "digest").select(F.xxhash64("band", "token").alias("key"), "digest", "n", "pos", "central").distinct(),
+        members.join(_prefixes(sets, percent), "digest").select(F.xxhash64("band", "token").alias("key"), "digest", "n", "pos", "central"),
         "paragraph-keys",
     )
     release(spark, members)
