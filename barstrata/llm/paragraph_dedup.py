@@ -29,9 +29,9 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import dropped_shuffles, materialize, release
+from .common import bounded_batches, dropped_shuffles, materialize, release
 from .components import connected_components
-from .kernels import chain, mix, slices, word_hashes
+from .kernels import chain, give_back, mix, slices, word_hashes
 from .sketch import hits, key_bitmap
 
 #: Words of a shingle, words that a paragraph has at least, and the threshold.
@@ -230,6 +230,7 @@ def _keys(least: int):
             for _, x in paragraphs(batch.column(0).to_pylist(), least):
                 keys = x.digest if isinstance(x, Windows) else _bands(x).ravel()
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64))], names=["key"])
+        give_back()
 
     return run
 
@@ -266,6 +267,7 @@ def _units(least: int, repeated: Broadcast):
                     ],
                     names=["kind", "doc", "tid", "no", "start", "length", "words", "digest", "bands"],
                 )
+        give_back()
 
     return run
 
@@ -285,6 +287,7 @@ def _sets(least: int, wanted: Broadcast):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(x.digest[picked].view(np.int64)), _lists(x.shingles[at], heads)], names=["digest", "tokens"]
                 )
+        give_back()
 
     return run
 
@@ -361,6 +364,7 @@ def repeated_paragraphs(
     words at least. Rows that repeat id and text are one document. A null id is kept as
     null and comes first. Other columns are not read. An empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     narrow = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("tid"),

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 
 from barstrata.llm import paragraph_dedup as P
-from barstrata.llm.common import dropped_shuffles
+from barstrata.llm.common import BATCH_BYTES, dropped_shuffles
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -87,6 +87,8 @@ def test_no_shuffle_files_are_left_once_the_tables_are_written(spark):
     assert not left
     # The caller's own queries are as before, and the result can be read twice.
     assert own.conf.get(CLEANUP) == setting
+    # Python tasks get texts by bytes.
+    assert own.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(BATCH_BYTES)
     assert found.count() == len(found.collect()) > 0
     assert {r.doc_id for r in found.collect()} == set(range(8))
 
